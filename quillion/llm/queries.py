@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillion.llm import quality, store, toxicity
+from quillion.llm import packing, quality, store, tokenio, toxicity
 
 
 def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
@@ -26,8 +26,25 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, quality.scorer(spark, model), 0.3)
 
 
+def _byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.fresh_path(spark, "tokens")
+    tokenio.write(store.documents(spark, sf_dir), path, _byte_bpe(), end_id=2)
+    return tokenio.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(store.documents(spark, sf_dir), _byte_bpe(), end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_token_output, op5_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
