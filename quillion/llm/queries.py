@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillion.llm import decontaminate, licences, packing, quality, store, tokenio, toxicity
+from quillion.llm import decontaminate, licences, packing, probminhash, quality, store, tokenio, toxicity
 
 
 def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
@@ -52,8 +52,12 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(store.documents(spark, sf_dir))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.classes(store.documents(spark, sf_dir)).select("doc_id", "class_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_quality, op4_token_output, op5_packing, op10_licences)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_quality, op4_token_output, op5_packing, op6_near_duplicates, op10_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
