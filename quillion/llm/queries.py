@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillion.llm import decontaminate, licences, packing, probminhash, quality, store, tokenio, toxicity
+from quillion.llm import decontaminate, licences, linededup, packing, probminhash, quality, store, tokenio, toxicity
 
 
 def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
@@ -56,8 +56,14 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.classes(store.documents(spark, sf_dir)).select("doc_id", "class_id")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.classes(store.documents(spark, sf_dir))
+    kept = F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("line_no") == F.col("class_line")) & (F.col("tie") == F.col("class_tie"))
+    return found.select("doc_id", "line_no", "class_doc", "class_line", kept.alias("kept"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_quality, op4_token_output, op5_packing, op6_near_duplicates, op10_licences)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_quality, op4_token_output, op5_packing, op6_near_duplicates, op7_line_dedup, op10_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
