@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillion.llm import decontaminate, licences, linededup, packing, probminhash, quality, store, tokenio, toxicity
+from quillion.llm import ann, decontaminate, licences, linededup, packing, probminhash, quality, store, tokenio, toxicity
 
 
 def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
@@ -62,8 +62,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line_no", "class_doc", "class_line", kept.alias("kept"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest(vectors, F.col("id") % 50 == 0, k=5)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_quality, op4_token_output, op5_packing, op6_near_duplicates, op7_line_dedup, op10_licences)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_quality, op4_token_output, op5_packing, op6_near_duplicates, op7_line_dedup, op8_nearest_neighbours, op10_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
