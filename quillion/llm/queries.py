@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillion.llm import ann, decontaminate, licences, linededup, packing, probminhash, quality, store, tokenio, toxicity
+from quillion.llm import ann, decontaminate, licences, linededup, packing, probminhash, quality, store, tokenio, toxicity, warc
 
 
 def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
@@ -67,9 +67,44 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, F.col("id") % 50 == 0, k=5)
 
 
+#: Damage that op9 does to its replica, by the first two digits of the MD5 of a page's id.
+CHANGED, MISSING, ADDED = "0a", "1b", "2c"
+
+
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    kind = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 2)
+    kept = pages.where(kind != MISSING).withColumn("html", F.when(kind == CHANGED, F.concat(F.coalesce("html", F.lit("")), F.lit("!"))).otherwise(F.col("html")))
+    replica = kept.unionByName(pages.where(kind == ADDED).withColumn("html", F.lit("added")))
+    records, nodes = warc.manifest(warc.leaves(pages))
+    damaged = warc.audit(records, nodes, store.materialise(warc.leaves(replica), "replica-leaves"))
+    return warc.fixity(store.materialise(damaged, "damaged"), records)
+
+
+OP9_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, substr(md5(coalesce(page_id::VARCHAR, '')), 1, 2) AS kind FROM pages),
+versions AS (
+  SELECT 0 AS v, * FROM p
+  UNION ALL SELECT 1, page_id, url, CASE WHEN kind = '{CHANGED}' THEN html || '!' ELSE html END, kind FROM p WHERE kind <> '{MISSING}'
+  UNION ALL SELECT 2, page_id, url, 'added', kind FROM p WHERE kind = '{ADDED}'),
+d AS (SELECT *, sha256(html) AS h FROM versions),
+r AS (SELECT v, page_id, kind, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:'
+  || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) || '>' || chr(13) || chr(10)
+  || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Page-Key: ' || coalesce(page_id::VARCHAR, '')
+  || chr(13) || chr(10) || 'WARC-Payload-Digest: sha256:' || h || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)::VARCHAR
+  || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS raw FROM d),
+l AS (SELECT v, page_id AS key, kind, strlen(raw)::BIGINT AS length, sha256(raw) AS leaf FROM r),
+ours AS (SELECT *, coalesce(sum(length) OVER (ORDER BY key NULLS FIRST, leaf ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM l WHERE v = 0)
+SELECT o.key, o."offset", o.length, (o."offset" // {warc.RANGE_BYTES})::BIGINT AS range_no, o.leaf, t.leaf AS replica_leaf,
+  CASE WHEN t.leaf IS NULL THEN 'missing' WHEN t.leaf <> o.leaf THEN 'changed' ELSE 'intact' END AS status
+FROM ours o LEFT JOIN (SELECT key, leaf FROM l WHERE v = 1) t ON o.key IS NOT DISTINCT FROM t.key
+UNION ALL
+SELECT l.key, NULL, NULL, (o."offset" // {warc.RANGE_BYTES})::BIGINT, NULL, l.leaf, 'added' FROM l JOIN ours o ON o.key IS NOT DISTINCT FROM l.key WHERE l.v = 2"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_quality, op4_token_output, op5_packing, op6_near_duplicates, op7_line_dedup, op8_nearest_neighbours, op10_licences)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_quality, op4_token_output, op5_packing, op6_near_duplicates, op7_line_dedup, op8_nearest_neighbours, op9_warc_fixity, op10_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_licences": licences.oracle()}
+    return {"op9_warc_fixity": OP9_SQL, "op10_licences": licences.oracle()}
