@@ -26,7 +26,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, quality.scorer(spark, model), 0.3)
 
 
-def _byte_bpe() -> str:
+def byte_bpe() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -34,12 +34,12 @@ def _byte_bpe() -> str:
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.fresh_path(spark, "tokens")
-    tokenio.write(store.documents(spark, sf_dir), path, _byte_bpe(), end_id=2)
+    tokenio.write(store.documents(spark, sf_dir), path, byte_bpe(), end_id=2)
     return tokenio.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(store.documents(spark, sf_dir), _byte_bpe(), end_id=0)
+    pieces = packing.pack(store.documents(spark, sf_dir), byte_bpe(), end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
