@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import quillion
 from quillion.llm import decontaminate, linededup, packing, probminhash, store, toxicity
 from quillion.llm.queries import byte_bpe
 
@@ -50,6 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quillion.attach(spark)
     docs = store.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = store.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
