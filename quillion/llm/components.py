@@ -7,14 +7,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from quillion.llm import store
 
-#: New leaders that a bucket gets in the second round; each later round has four times as many.
-LEADERS = 16
+#: Nodes of a bucket up to which what its hub leaves open is compared as pairs.
+SMALL = 16
+#: Rows of either side of a cell, about.
+CELL = 256
+LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+#: Payloads of pairs, in two lists -> whether each pair is near.
+NearPairs = Callable[[list[bytes], list[bytes]], list[bool]]
+#: Payloads of rows and of columns -> matrix of whether they are near.
+NearCells = Callable[[list[bytes], list[bytes]], np.ndarray]
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -43,41 +53,96 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of the nodes that verified links connect; nodes without a link are absent.
+def _hubs(members: DataFrame) -> DataFrame:
+    """(bucket, hub): of each bucket's nodes the one that meets most others in all its buckets, which is likely to be their original."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    met = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("met"))
+    return members.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("hub"))
+
+
+def _verified(pairs: DataFrame, payloads: DataFrame, near_pairs: NearPairs) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose payloads are near."""
+
+    def run(batches):
+        for batch in batches:
+            near = near_pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    a, b = (payloads.select(F.col("node").alias(c), F.col("payload").alias(f"payload_{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "payload_a", "payload_b").mapInArrow(run, LINKS)
+
+
+def _cells(outside: DataFrame, inside: DataFrame, payloads: DataFrame, near_cells: NearCells) -> DataFrame:
+    """Links between outside's (bucket, node, c) and inside's of other components, bucket by bucket, in cells of bounded size.
+
+    Each side is cut into blocks of about ``CELL`` rows by a hash; a cell is a block of either. It gives links that span
+    what it joins, not all links.
+    """
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("bucket").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
+
+    n_out, n_in = blocks(outside).withColumnRenamed("n", "n_out"), blocks(inside).withColumnRenamed("n", "n_in")
+    both = n_out.join(n_in, "bucket")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        rows = rows.join(both, "bucket").join(payloads, "node")
+        mine = F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias(own)
+        return rows.select("bucket", "node", "c", "payload", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            near = near_cells(left["payload"].to_pylist(), right["payload_"].to_pylist())
+            cl, cr = np.array(left["c"].to_pylist()), np.array(right["c_"].to_pylist())
+            nl, nr = left["node"].to_pylist(), right["node_"].to_pylist()
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.setdefault(x, x) != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for i, j in zip(*np.nonzero(near & (cl[:, None] != cr[None, :])), strict=True):
+                x, y = find(int(cl[i])), find(int(cr[j]))
+                if x != y:
+                    root[x] = y
+                    found.append((nl[i], nr[j]))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    members has (bucket, node); a pair is a candidate if a bucket holds both. verify takes distinct pairs (a, b) and
-    returns those that are linked. Every candidate pair is verified unless its nodes are in one component already, so
-    the components are those of all links, while a bucket whose members resemble each other costs one pair a member:
+    keys = ["bucket", "n_out", "n_in"]
+    right = dealt(inside, "n_in", "n_out").select("bucket", "n_out", "n_in", "node", "c", "payload").toDF("bucket_", "n_out_", "n_in_", "node_", "c_", "payload_")
+    return dealt(outside, "n_out", "n_in").groupBy(*keys).cogroup(right.groupBy(*(f"{k}_" for k in keys))).applyInArrow(join, LINKS)
 
-    - first, each bucket's smallest node is compared with all its members;
-    - then, in buckets that still hold several components, nodes outside the first one's component are compared with
-      all members of other components, a growing number of them each round, until none is left to compare.
+
+def linked(members: DataFrame, payloads: DataFrame, near_pairs: NearPairs, near_cells: NearCells) -> DataFrame:
+    """(node, component) of the nodes that links connect; nodes without a link are absent.
+
+    members has (bucket, node), payloads (node, payload) what a comparison needs. A pair is a candidate if a bucket holds
+    both; every candidate pair is compared unless its nodes are in one component already, so the components are those
+    of all links.
+
+    - First, each bucket's hub is compared with all its members: a pair a member.
+    - Then, in buckets that still hold several components, the nodes outside the hub's component are compared with
+      those of other components: as pairs in buckets of ``SMALL`` nodes at most, and otherwise in cells, which read
+      each node once for each block of the other side and emit no pairs but links.
     """
     members = store.materialise(members.distinct(), "members")
-    first = members.groupBy("bucket").agg(F.min("node").alias("leader"))
-    pairs = members.join(first, "bucket").where("node != leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    hubs = store.materialise(_hubs(members), "hubs")
+    pairs = members.join(hubs, "bucket").where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     pairs = store.materialise(pairs, "pairs")
-    links, compared, used = store.materialise(verify(pairs).select("a", "b"), "links"), pairs, None
+    links = store.materialise(_verified(pairs, payloads, near_pairs), "links")
     comps = store.materialise(components(links), "comps")
-    leaders = LEADERS
-    while True:
-        placed = members.join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
-        heads = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct("node", "c"))["c"].alias("head")).where("low < high").select("bucket", "head")
-        unresolved = store.materialise(placed.join(heads, "bucket"), "unresolved")
-        outside = unresolved.where("c != head").select("bucket", "node", "c")
-        if used is not None:
-            outside = outside.join(used, ["bucket", "node"], "left_anti")
-        chosen = outside.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("k") <= leaders).select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"))
-        chosen = store.materialise(chosen, "leaders")
-        if not store.has_rows(chosen):
-            return comps
-        pairs = chosen.join(unresolved, "bucket").where("c != cx").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        pairs = store.materialise(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        found = verify(pairs).select("a", "b")
-        links = store.materialise(comps.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(found), "links")
-        comps = store.materialise(components(links), "comps")
-        compared = compared.union(pairs)
-        now = chosen.select("bucket", F.col("x").alias("node"))
-        used = now if used is None else used.union(now)
-        leaders *= 4
+
+    placed = store.materialise(members.join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c")), "placed")
+    heads = placed.join(hubs, "bucket").groupBy("bucket").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("node") == F.col("hub"), F.col("c"))).alias("head")).where("low < high")
+    unresolved = store.materialise(placed.join(heads.select("bucket", "size", "head"), "bucket"), "unresolved")
+    outside = unresolved.where("c != head")
+    small, other = outside.where(F.col("size") <= SMALL), unresolved.where(F.col("size") <= SMALL).select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"))
+    rest = small.join(other, "bucket").where("c != cx").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    rest = store.materialise(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    large = F.col("size") > SMALL
+    cells = _cells(outside.where(large).select("bucket", "node", "c"), unresolved.where(large).select("bucket", "node", "c"), payloads, near_cells)
+    new = store.materialise(_verified(rest, payloads, near_pairs).unionByName(cells), "links")
+    return store.materialise(components(links.unionByName(new)), "comps")

@@ -40,8 +40,7 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 _LINES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("lines", T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("node", T.LongType())])))])
 _ENTRIES = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", T.LongType()), T.StructField("indexed", T.BooleanType())])
-_TEXTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("line", T.StringType())])
-_PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_TEXTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("payload", T.BinaryType())])
 
 
 def split_lines(text: str | None) -> list[tuple[int, str]]:
@@ -216,7 +215,7 @@ def _filter(wanted: DataFrame) -> np.ndarray:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, line) of the wanted nodes."""
+    """(node, payload) of the wanted nodes: the line's UTF-8 bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
     def run(batches):
@@ -227,22 +226,19 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 _, lines, nodes, new = _fresh(texts[a:b], seen)
                 at = _positions(nodes[new])
                 new = new[(flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[new]), pa.array([lines[i] for i in new], pa.string())], names=["node", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[new]), pa.array([lines[i].encode("utf-8", "surrogatepass") for i in new], pa.binary())], names=["node", "payload"])
 
     return docs.mapInArrow(run, _TEXTS).join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verifier(table: DataFrame):
-    def run(batches):
-        for batch in batches:
-            near = pa.array([distance(x, y) <= EDITS for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(near)
+def near_pairs(a: list[bytes], b: list[bytes]) -> list[bool]:
+    text = lambda x: x.decode("utf-8", "surrogatepass")
+    return [distance(text(x), text(y)) <= EDITS for x, y in zip(a, b, strict=True)]
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (table.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "line_a", "line_b").mapInArrow(run, _PAIRS)
 
-    return verify
+def near_cells(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    left, right = ([x.decode("utf-8", "surrogatepass") for x in xs] for xs in (a, b))
+    return np.array([[distance(x, y) <= EDITS for y in right] for x in left], bool).reshape(len(a), len(b))
 
 
 def _shared(made: DataFrame) -> DataFrame:
@@ -259,7 +255,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     made = store.materialise(_shared(_entries_of(texts)), "segments")
     wanted = store.materialise(made.select("node").distinct(), "wanted")
     table = store.materialise(_texts_of(texts, wanted), "line-texts")
-    comps = components.linked(made, _verifier(table))
+    comps = components.linked(made, table, near_pairs, near_cells)
     each = found.select("doc_id", "tie", F.explode("lines").alias("l")).select("doc_id", "tie", "l.line_no", "l.node").distinct()
     each = store.materialise(each.join(comps, "node", "left").select("doc_id", "tie", "line_no", F.coalesce("component", "node").alias("c")), "placed")
     first = each.groupBy("c").agg(F.min(F.struct("doc_id", "line_no", "tie")).alias("f"))

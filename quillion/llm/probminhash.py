@@ -36,8 +36,7 @@ _BITS = np.uint64(50)
 _LOW = np.uint64((1 << 50) - 1)
 
 _SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-_BAGS = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-_PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("similarity", T.DoubleType())])
+_BAGS = T.StructType([T.StructField("node", T.LongType()), T.StructField("payload", T.BinaryType())])
 
 
 def shingles(texts: list) -> tuple[np.ndarray, np.ndarray, list[int | None]]:
@@ -109,7 +108,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def bags(docs: DataFrame) -> DataFrame:
-    """(node, shingles, counts) of docs (text): sorted 64-bit hashes and 32-bit counts, as bytes."""
+    """(node, payload) of docs (text): sorted distinct 64-bit hashes, then their 32-bit counts, as bytes."""
 
     def run(batches):
         for batch in batches:
@@ -121,39 +120,58 @@ def bags(docs: DataFrame) -> DataFrame:
                 for i, node in enumerate(nodes):
                     if node is not None:
                         s, c = np.unique(hashes[cuts[i] : cuts[i + 1]], return_counts=True)
-                        out.append((node, s.astype("<u8").tobytes(), c.astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["node", "shingles", "counts"])
+                        out.append((node, s.astype("<u8").tobytes() + c.astype("<u4").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["node", "payload"])
 
     return docs.mapInArrow(run, _BAGS)
 
 
-def similarity(sa: np.ndarray, ca: np.ndarray, sb: np.ndarray, cb: np.ndarray) -> float:
-    """Weighted Jaccard of two bags, each as sorted distinct hashes and counts."""
+def bag(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(payload) // 12
+    return np.frombuffer(payload, "<u8", n), np.frombuffer(payload, "<u4", n, 8 * n)
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Weighted Jaccard of two payloads."""
+    (sa, ca), (sb, cb) = bag(a), bag(b)
     at = np.minimum(np.searchsorted(sb, sa), len(sb) - 1)
     same = sb[at] == sa
     common = int(np.minimum(ca[same], cb[at[same]]).sum())
     return common / (int(ca.sum()) + int(cb.sum()) - common)
 
 
-def _verifier(table: DataFrame, threshold: float):
-    def run(batches):
-        for batch in batches:
-            rows = batch.to_pydict()
-            sims = []
-            for sa, ca, sb, cb in zip(rows["sa"], rows["ca"], rows["sb"], rows["cb"], strict=True):
-                sims.append(similarity(np.frombuffer(sa, "<u8"), np.frombuffer(ca, "<u4"), np.frombuffer(sb, "<u8"), np.frombuffer(cb, "<u4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = table.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
-        b = table.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "ca", "sb", "cb")
-        return both.mapInArrow(run, _PAIRS).where(F.col("similarity") >= threshold)
-
-    return verify
-
-
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+def near_pairs(a: list[bytes], b: list[bytes]) -> list[bool]:
+    return [similarity(x, y) >= SIMILARITY for x, y in zip(a, b, strict=True)]
+
+
+def near_cells(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The same for all of a against all of b: sums of smaller counts as products of 0-1 matrices.
+
+    The n-th occurrence of a shingle is a column of its own, so that a row of counts is a row of zeros and ones.
+    """
+    keys, rows = [], []
+    for i, payload in enumerate([*a, *b]):
+        s, c = bag(payload)
+        nth = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+        keys.append(mix(np.repeat(s, c) + mix(nth.astype(np.uint64))))
+        rows.append(np.full(len(nth), i))
+    key, row = np.concatenate(keys), np.concatenate(rows)
+    sizes = np.bincount(row, minlength=len(a) + len(b)).astype(np.float64)
+    _, column, often = np.unique(key, return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common, width = np.zeros((len(a), len(b))), 4096
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [start, start + width])
+        part = np.zeros((len(a) + len(b), width), np.float32)
+        part[row[lo:hi], column[lo:hi] - start] = 1
+        common += part[: len(a)] @ part[len(a) :].T
+    return common >= SIMILARITY * (sizes[: len(a), None] + sizes[None, len(a) :] - common) - 1e-9
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tie, node, class_id) of every row of docs. ``tie`` is a hash of the text, which tells rows of one id apart."""
     signed = store.materialise(sign(docs, id_col, text_col), "signed")
     buckets = signed.where(F.col("node").isNotNull()).select("node", F.explode("bands").alias("bucket")).distinct()
@@ -166,7 +184,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     texts = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left_semi").select("text")
     table = store.materialise(bags(texts).dropDuplicates(["node"]), "bags")
-    comps = components.linked(members, _verifier(table, threshold))
+    comps = components.linked(members, table, near_pairs, near_cells)
     placed = signed.select("doc_id", "tie", "node").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
     placed = store.materialise(placed.select("doc_id", "tie", "node", "c"), "placed")
     ids = placed.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("class_id"))
