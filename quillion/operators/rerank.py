@@ -38,29 +38,29 @@ def _unit(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(x, F.lit(1.0)))
 
 
-def metadata_score(content: Column, filename: Column, section_title: Column, is_summary: Column, reliability: Column, density: Column) -> Column:
-    """Score of a chunk's metadata for the question columns of ``with_question``; steps in a fixed order.
+def with_metadata_score(df: DataFrame, content: str, filename: str, section_title: str, is_summary: str, reliability: str, density: str) -> DataFrame:
+    """df (with a question's columns) plus ``metadata_score``; steps in a fixed order.
 
-    ``reliability`` and ``density`` may be null (then a half); is_summary null is false.
+    Reliability and density may be null (then a half); is_summary null is false. Each step is a column of its own: as one
+    nested expression, the score before a step would stand in it several times over.
     """
-    words, question = F.col("_keywords"), F.col("_question")
-    summary = F.coalesce(is_summary, F.lit(False))
-    name = X.fold(F.replace(F.replace(F.coalesce(filename, F.lit("")), F.lit("_"), F.lit(" ")), F.lit(".html"), F.lit("")))
-    n = hits(words, name)
-    s = F.when(n >= 2, 0.9).when(n == 1, 0.7).otherwise(0.5)
+    words, question, broad, specific = F.col("_keywords"), F.col("_question"), F.col("_broad"), F.col("_specific")
+    name = X.fold(F.replace(F.replace(F.coalesce(F.col(filename), F.lit("")), F.lit("_"), F.lit(" ")), F.lit(".html"), F.lit("")))
+    df = df.withColumn("_name", name).withColumn("_title", X.fold(F.coalesce(F.col(section_title), F.lit(""))))
+    summary = F.coalesce(F.col(is_summary), F.lit(False))
     asks = question.contains("comment") | question.contains("quoi")  # the third word of this list has an accent, which folded questions lack
-    s = F.when(summary, F.greatest(s, F.when(asks, 0.8).otherwise(0.4))).otherwise(s)
-    broad, specific = F.col("_broad"), F.col("_specific")
-    s = F.when(summary & broad & ~specific, F.greatest(s, F.lit(0.85))).when(summary & specific, F.least(s, F.lit(0.35))).otherwise(s)
-    title = X.fold(F.coalesce(section_title, F.lit("")))
-    m = F.size(F.filter(F.transform(words, X.fold), lambda w: F.contains(title, w)))
-    s = F.when(m > 0, F.least(F.lit(1.0), s + F.least(m * 0.08, F.lit(0.20)))).otherwise(s)
-    s = s * 0.85 + _unit(F.coalesce(reliability, F.lit(0.5))) * 0.15
-    d = F.coalesce(density, F.lit(0.5))
-    s = F.when(d < 0.18, s * 0.9).when(d > 0.45, F.least(F.lit(1.0), s + 0.05)).otherwise(s)
-    text = F.coalesce(content, F.lit(""))
-    s = F.when((F.length(text) < 200) & F.lower(text).contains("whaller"), s * 0.6).otherwise(s)
-    return F.least(s, F.lit(1.0))
+    df = df.withColumn("_n", hits(words, F.col("_name"))).withColumn("_t", F.size(F.filter(F.transform(words, X.fold), lambda w: F.contains(F.col("_title"), w))))
+    s = F.col("_s")
+    df = df.withColumn("_s", F.when(F.col("_n") >= 2, 0.9).when(F.col("_n") == 1, 0.7).otherwise(0.5))
+    df = df.withColumn("_s", F.when(summary, F.greatest(s, F.when(asks, 0.8).otherwise(0.4))).otherwise(s))
+    df = df.withColumn("_s", F.when(summary & broad & ~specific, F.greatest(s, F.lit(0.85))).when(summary & specific, F.least(s, F.lit(0.35))).otherwise(s))
+    df = df.withColumn("_s", F.when(F.col("_t") > 0, F.least(F.lit(1.0), s + F.least(F.col("_t") * 0.08, F.lit(0.20)))).otherwise(s))
+    df = df.withColumn("_s", s * 0.85 + _unit(F.coalesce(F.col(reliability), F.lit(0.5))) * 0.15)
+    d = F.coalesce(F.col(density), F.lit(0.5))
+    df = df.withColumn("_s", F.when(d < 0.18, s * 0.9).when(d > 0.45, F.least(F.lit(1.0), s + 0.05)).otherwise(s))
+    text = F.coalesce(F.col(content), F.lit(""))
+    df = df.withColumn("_s", F.when((F.length(text) < 200) & F.lower(text).contains("whaller"), s * 0.6).otherwise(s))
+    return df.withColumn("metadata_score", F.least(s, F.lit(1.0))).drop("_s", "_n", "_t", "_name", "_title")
 
 
 def score(df: DataFrame, content: str = "content", similarity: str = "similarity_score", filename: str = "filename", section_title: str = "section_title", is_summary: str = "is_summary", reliability: str = "reliability_score", density: str = "information_density") -> DataFrame:
@@ -70,16 +70,17 @@ def score(df: DataFrame, content: str = "content", similarity: str = "similarity
     """
     text = F.coalesce(F.col(content), F.lit(""))
     df = df.withColumn("_folded", X.fold(text)).withColumn("_exact", hits(F.col("_keywords"), F.col("_folded")))
-    df = df.withColumn("metadata_score", metadata_score(F.col(content), F.col(filename), F.col(section_title), F.col(is_summary), F.col(reliability), F.col(density)))
+    df = with_metadata_score(df, content, filename, section_title, is_summary, reliability, density)
     base = F.coalesce(F.col(similarity), F.lit(0.5))
     short = F.length(X.strip(text)) < 150
     redirect = F.col("_folded").contains("consulter") & F.col("_folded").contains("whaller")
-    cover = coverage(F.col("_keywords"), text)
+    df = df.withColumn("_cover", coverage(F.col("_keywords"), text))
+    cover = F.col("_cover")
     cover = F.when(F.col("_exact") >= 2, F.least(cover * 1.5, F.lit(1.0))).otherwise(cover)
     structure = F.least(F.greatest(X.sentence_number(text), F.lit(1)) / 15.0, F.lit(1.0))
     total = F.least(base, F.lit(1.0)) * 0.50 + F.least(F.length(text) / 4000.0, F.lit(1.0)) * 0.12 + structure * 0.08 + cover * 0.20 + F.col("metadata_score") * 0.10
     value = F.when(short & redirect & (base > 0.30), 0.60).when(short, 0.15).when((base < 0.30) & (F.col("_exact") < 2), 0.10).otherwise(total)
-    return df.withColumn("rerank_score", value)
+    return df.withColumn("rerank_score", value).drop("_cover")
 
 
 def _kept(df: DataFrame, by: str, passes: Column, again: Column | None, k: Column | int, order: list[Column]) -> DataFrame:
