@@ -27,18 +27,20 @@ NearPairs = Callable[[list[bytes], list[bytes]], list[bool]]
 NearCells = Callable[[list[bytes], list[bytes]], np.ndarray]
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points to one other at most, and to none that points on."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("back")).union(edges.select("b", F.lit(0), F.lit(1)))
+    each = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("back").alias("back"))
+    return not store.has_rows(each.where((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("back") == 1))))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in links (a, b), where component is its smallest node.
 
-    Alternates large-star and small-star steps until the edges stay the same: a logarithmic number of rounds, whatever
-    the links' shape. Self-links and repeated links are allowed.
+    Alternates large-star and small-star steps until only stars are left: a logarithmic number of rounds, whatever the
+    links' shape. Self-links and repeated links are allowed.
     """
     edges = links.where("a != b").select("a", "b").distinct()
-    before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
@@ -46,10 +48,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = store.materialise(small.union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "components")
-        now = _mark(edges)
-        if now == before or not now[0]:
+        if _stars(edges):
             break
-        before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
@@ -119,7 +119,7 @@ def _cells(outside: DataFrame, inside: DataFrame, payloads: DataFrame, near_cell
 def linked(members: DataFrame, payloads: DataFrame, near_pairs: NearPairs, near_cells: NearCells) -> DataFrame:
     """(node, component) of the nodes that links connect; nodes without a link are absent.
 
-    members has (bucket, node), payloads (node, payload) what a comparison needs. A pair is a candidate if a bucket holds
+    members has distinct (bucket, node) and is read several times, payloads (node, payload) what a comparison needs. A pair is a candidate if a bucket holds
     both; every candidate pair is compared unless its nodes are in one component already, so the components are those
     of all links.
 
@@ -128,7 +128,6 @@ def linked(members: DataFrame, payloads: DataFrame, near_pairs: NearPairs, near_
       those of other components: as pairs in buckets of ``SMALL`` nodes at most, and otherwise in cells, which read
       each node once for each block of the other side and emit no pairs but links.
     """
-    members = store.materialise(members.distinct(), "members")
     hubs = store.materialise(_hubs(members), "hubs")
     pairs = members.join(hubs, "bucket").where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     pairs = store.materialise(pairs, "pairs")

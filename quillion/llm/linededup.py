@@ -25,15 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillion.llm import components, store
+from quillion.llm import bitmap, components, store
 from quillion.llm.words import batches_of, mix
 
 EDITS = 2
 MIN_CHARS = 24
 #: Lines whose entries a task remembers having made; beyond that it starts afresh.
 SEEN_LINES = 500_000
-#: Bits of the filter of candidate lines: a fixed 8 MiB.
-FILTER_BITS = 26
 
 _BASE = np.uint64(0xD1342543DE82EF95)  # odd, so that it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -187,36 +185,9 @@ def _entries_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _ENTRIES)
 
 
-def _positions(nodes: np.ndarray) -> np.ndarray:
-    return (mix(nodes.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _filter(wanted: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size in which every wanted node's bit is set."""
-    chunk_bits = FILTER_BITS - 10
-    kind = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("place", T.IntegerType())])
-
-    def places(batches):
-        for batch in batches:
-            at = _positions(batch.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array((at >> chunk_bits).astype(np.int32)), pa.array((at & ((1 << chunk_bits) - 1)).astype(np.int32))], names=["chunk", "place"])
-
-    def bits(table: pa.Table) -> pa.Table:
-        flags = np.zeros(1 << chunk_bits, np.uint8)
-        flags[table["place"].to_numpy()] = 1
-        return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
-
-    # at most 2**chunk_bits distinct rows in a group
-    made = wanted.select("node").mapInArrow(places, kind).distinct().groupBy("chunk").applyInArrow(bits, "chunk int, bits binary")
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8).reshape(1 << 10, -1)
-    for row in made.collect():  # 1024 rows, 8 MiB
-        out[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(-1)
-
-
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, payload) of the wanted nodes: the line's UTF-8 bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.of(wanted, "node"))
 
     def run(batches):
         flags, seen = shared.value, set()
@@ -224,8 +195,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             texts = batch.column(0).to_pylist()
             for a, b in batches_of(texts):
                 _, lines, nodes, new = _fresh(texts[a:b], seen)
-                at = _positions(nodes[new])
-                new = new[(flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+                new = new[bitmap.may_hold(flags, nodes[new])]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[new]), pa.array([lines[i].encode("utf-8", "surrogatepass") for i in new], pa.binary())], names=["node", "payload"])
 
     return docs.mapInArrow(run, _TEXTS).join(wanted, "node", "left_semi").dropDuplicates(["node"])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillion.llm import components, store
+from quillion.llm import bitmap, components, store
 from quillion.llm.words import WORD, batches_of, hashed, mix
 
 BANDS, ROWS = 28, 5
@@ -181,7 +181,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # one row of each node that is a candidate: the first by id
     rows = signed.where(F.col("node").isNotNull()).join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tie")).alias("r"))
     rows = store.materialise(rows.select(F.col("r")["doc_id"].alias("_id"), F.col("r")["tie"].alias("_tie")), "candidates")
+    flags = bitmap.of(rows.select(F.xxhash64("_id", "_tie").alias("key")), "key")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    texts = texts.where(bitmap.passes(docs.sparkSession, flags, F.xxhash64("doc_id", "tie")))  # else all texts would be shuffled
     texts = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left_semi").select("text")
     table = store.materialise(bags(texts).dropDuplicates(["node"]), "bags")
     comps = components.linked(members, table, near_pairs, near_cells)
