@@ -1,38 +1,13 @@
-"""Shared storage for intermediate tables, and small helpers that every operator uses.
-
-Lineage is cut by writing Parquet tables under the folder that the session names in ``spark.checkpoint.dir``.
-Only where that setting is absent (tests, notebooks) a default is used.
-"""
+"""Small helpers that every operator uses, and the shared storage for intermediate tables."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session has no ``spark.checkpoint.dir``.
-DEFAULT_DIR = "/tmp/checkpoints/quillion"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (found or DEFAULT_DIR).rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that no other run has used."""
-    return f"{shared_dir(spark)}/quillion-{tag}-{uuid.uuid4().hex[:16]}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it back: lost executors never recompute what lies before it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quillion.sources.shared import fresh_path, materialise, shared_dir
 
+__all__ = ["documents", "free_name", "fresh_path", "has_rows", "held_out", "labelled_sample", "materialise", "shared_dir"]
 
 def has_rows(df: DataFrame) -> bool:
     return bool(df.take(1))
