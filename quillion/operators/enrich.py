@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillion.functions import text as X
 from quillion.functions.vocabulary import AUTO_CATEGORIES
 
-DATE = r"(?i)(?<![\p{L}\p{N}_])(\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}\s+(janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre))(?![\p{L}\p{N}_])"
+DATE = r"(?i)(?<![\p{L}\p{N}_])(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}\s+(janvier|février|mars|avril|mai|juin|juillet|aoû?t|septembre|octobre|novembre|décembre))(?![\p{L}\p{N}_])"
 DAY = 86_400
 #: Upper ends of text lengths, and chunk size and overlap below them.
 CHUNKS = ((1500, 0, 0), (3000, 600, 100), (6000, 800, 150), (12_000, 1000, 200), (25_000, 1200, 250), (None, 1500, 300))

@@ -106,7 +106,7 @@ def top(df: DataFrame, by: str, k: Column | int = 5, arrival: str = "arrival") -
 
 def cross_metadata(words: Column, filename: Column, content: Column) -> Column:
     """What the metadata adds to a cross-encoder's score."""
-    name = X.fold(F.replace(F.replace(F.coalesce(filename, F.lit("")), F.lit("_"), F.lit(" ")), F.lit(".html"), F.lit("")))
+    name = F.replace(F.replace(F.lower(F.coalesce(filename, F.lit(""))), F.lit("_"), F.lit(" ")), F.lit(".html"), F.lit(""))
     n = hits(words, name)
     return F.when(n >= 2, 0.10).when(n == 1, 0.05).otherwise(0.0) - F.when(F.length(F.coalesce(content, F.lit(""))) < 200, 0.15).otherwise(0.0)
 

@@ -16,7 +16,7 @@ def doc_title(text: Column) -> Column:
     return F.coalesce(F.nullif(X.strip(F.regexp_extract(text, TITLE_LINE, 1)), F.lit("")), F.lit("Document"))
 
 
-def doc_type(text: Column, amadeus: tuple[str, ...] = ("Formats Amadeus", "Formats utiles Amadeus")) -> Column:
+def doc_type(text: Column, amadeus: tuple[str, ...] = ("Formats utiles Amadeus", "Formats et TUTO utiles")) -> Column:
     """'amadeus', 'process' or 'structured', by phrases (case counts)."""
     def any_of(ws):
         out = F.lit(False)
@@ -59,7 +59,7 @@ def summaries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, section_num 0, total_sections, section_title, content): a table of contents of each text with markers."""
     text = F.col(text_col)
     rows = docs.select(id_col, doc_title(text).alias("title"), F.transform(F.regexp_extract_all(text, F.lit(MARKER), F.lit(1)), X.strip).alias("names"), F.get(F.split(text, r"\+-(?=[^\n])"), F.lit(0)).alias("before")).where(F.size("names") > 0)
-    intro = X.strip(F.regexp_replace("before", TITLE_LINE, ""))
+    intro = X.strip(F.regexp_replace(X.strip(F.col("before")), TITLE_LINE + r"\n?", ""))
     listed = F.array_join(F.transform("names", lambda t, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), t)), "\n")
-    parts = F.filter(F.array(F.concat(F.lit("Document: "), F.col("title")), F.lit(""), F.lit("Sommaire:"), F.when(F.length(intro) > 50, F.left(intro, F.lit(400))), F.lit("Sections :"), listed), lambda x: x.isNotNull())
+    parts = F.filter(F.array(F.concat(F.lit("Document: "), F.col("title")), F.lit(""), F.lit("Sommaire:"), F.when(F.length(intro) > 50, F.concat(F.lit("\nIntroduction :\n"), F.left(intro, F.lit(400)))), F.lit("\nSections :"), listed), lambda x: x.isNotNull())
     return rows.select(id_col, F.lit(0).alias("section_num"), F.size("names").alias("total_sections"), F.col("title").alias("section_title"), F.array_join(parts, "\n").alias("content"))

@@ -112,8 +112,8 @@ _DENSITY = "len(list_distinct(sw)) / greatest(len(sw), 1)"
 
 def signals(low: str, text: str) -> str:
     procedure = any_in(low, ["étape", "procédure", "process", "comment"])
-    months = "janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre"
-    date = rf"(?i)(^|[^\p{{L}}\p{{N}}_])(\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}\s+({months}))($|[^\p{{L}}\p{{N}}_])"
+    months = "janvier|février|mars|avril|mai|juin|juillet|aoû?t|septembre|octobre|novembre|décembre"
+    date = rf"(?i)(^|[^\p{{L}}\p{{N}}_])(\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}\s+({months}))($|[^\p{{L}}\p{{N}}_])"
     return f"((CASE WHEN contains({low}, 'whaller') THEN 1.0 ELSE 0.5 END + CASE WHEN {procedure} THEN 1.0 ELSE 0.5 END + CASE WHEN regexp_matches({text}, {q(date)}) THEN 1.0 ELSE 0.5 END + 0.5) / 4)"
 
 
@@ -277,8 +277,8 @@ SELECT item_id, doc_id, variant_no, rank, (row_number() OVER (PARTITION BY item_
     "size_category": f"SELECT CASE WHEN grouping(c) = 1 THEN 'TOTAL' ELSE c END AS category, count(*) AS n FROM (SELECT {steps('length(text)', enrich.SIZES, 1)} AS c FROM documents) GROUP BY ROLLUP (c)",
     "section_split": rf"""WITH {SECTIONS} SELECT doc_id, i::INT AS section_num, len(titles)::INT AS total_sections, titles[i] AS section_title, CASE WHEN i > 1 THEN titles[i - 1] ELSE '' END AS prev_section_title,
 coalesce(titles[i + 1], '') AS next_section_title, md5(titles[i] || chr(10) || chr(10) || {strip("regexp_replace(parts[i + 1], '^[^\n]*\n?', '')")}) AS content_md5 FROM (SELECT *, unnest(range(1, len(titles) + 1)) AS i FROM sec WHERE len(titles) > 0)""",
-    "section_summaries": rf"""WITH {SECTIONS}, s AS (SELECT doc_id, titles, {_DOC_TITLE} AS title, {strip("regexp_replace(parts[1], 'Titre du document : ([^\n]+)', '', 'g')")} AS intro FROM sec WHERE len(titles) > 0)
-SELECT doc_id, 0::INT AS section_num, len(titles)::INT AS total_sections, md5('Document: ' || title || chr(10) || chr(10) || 'Sommaire:' || chr(10) || CASE WHEN length(intro) > 50 THEN left(intro, 400) || chr(10) ELSE '' END || 'Sections :' || chr(10)
+    "section_summaries": rf"""WITH {SECTIONS}, s AS (SELECT doc_id, titles, {_DOC_TITLE} AS title, {strip("regexp_replace(" + strip("parts[1]") + r", 'Titre du document : ([^\n]+)\n?', '', 'g')")} AS intro FROM sec WHERE len(titles) > 0)
+SELECT doc_id, 0::INT AS section_num, len(titles)::INT AS total_sections, md5('Document: ' || title || chr(10) || chr(10) || 'Sommaire:' || chr(10) || CASE WHEN length(intro) > 50 THEN chr(10) || 'Introduction :' || chr(10) || left(intro, 400) || chr(10) ELSE '' END || chr(10) || 'Sections :' || chr(10)
 || array_to_string(list_transform(titles, lambda t, i: '  ' || i::VARCHAR || '. ' || t), chr(10))) AS content_md5 FROM s""",
     "doc_type": rf"""SELECT doc_id, CASE WHEN {any_in('text', ['Apache', 'MIT'])} THEN 'amadeus' WHEN {any_in('text', PROCESS_MARKERS)} THEN 'process' ELSE 'structured' END AS doc_type, {_DOC_TITLE} AS doc_title FROM (SELECT doc_id, text, regexp_extract(text, 'Titre du document : ([^\n]+)', 1) AS dt FROM documents)""",
     "enrich_documents": f"""SELECT doc_id, round({signals('low', 'text')}, 6)::DOUBLE AS reliability_score, array_to_string(list_filter([{', '.join(f"CASE WHEN {any_in('low', ws)} THEN {q(n)} END" for n, ws in AUTO_CATEGORIES.items())}], lambda x: x IS NOT NULL), ' ') AS category_string,

@@ -20,7 +20,7 @@ META = {"post-id": "post_id", "date": "created_date", "modified": "modified_date
 TITLE_PREFIX = "Titre du document : "
 IMAGES_HEADER = "=== IMAGES RÉFÉRENCÉES ==="
 NO_ALT = "Sans description"
-REDIRECT_NOTE = "Cette page renvoie vers un document à consulter sur Whaller."
+REDIRECT_NOTE = "NOTE IMPORTANTE : Pour les détails complets et les règles officielles, il est impératif de consulter la sphère Whaller indiquée ci-dessus."
 
 PARSED = T.StructType(
     [
@@ -57,8 +57,7 @@ class _Page(HTMLParser):
             self.meta[name] = given.get("content", "").strip()
         elif tag == "img":
             self.seen_images += 1
-            if given.get("src"):
-                self.images.append({"idx": self.seen_images, "alt": given.get("alt", ""), "src": given["src"]})
+            self.images.append({"idx": self.seen_images, "alt": given.get("alt"), "src": given.get("src", "")})
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -105,8 +104,9 @@ def document_text(page: Column, redirect: tuple[str, str] = ("Whaller", "Consult
     text, title = page["text"], F.coalesce(page["title"], F.lit(""))
     text = F.when(title != "", F.concat(F.lit(TITLE_PREFIX), title, F.lit("\n\n"), text)).otherwise(text)
     text = F.when(F.contains(text, F.lit(redirect[0])) & F.contains(text, F.lit(redirect[1])), F.concat(text, F.lit("\n\n" + note))).otherwise(text)
-    listed = F.transform(page["images"], lambda i: F.concat(F.lit("Image "), i["idx"].cast("string"), F.lit(": "), F.coalesce(F.nullif(strip(i["alt"]), F.lit("")), F.lit(NO_ALT)), F.lit("\nURL: "), i["src"]))
-    return F.when(F.size(listed) > 0, F.concat(text, F.lit("\n\n" + IMAGES_HEADER + "\n"), F.array_join(listed, "\n"))).otherwise(text)
+    shown = F.filter(page["images"], lambda i: i["src"] != "")
+    listed = F.transform(shown, lambda i: F.concat(F.lit("\nImage "), i["idx"].cast("string"), F.lit(": "), F.coalesce(i["alt"], F.lit(NO_ALT)), F.lit("\nURL: "), i["src"], F.lit("\n")))
+    return F.when(F.size(page["images"]) > 0, F.concat(text, F.lit("\n\n" + IMAGES_HEADER + "\n"), F.array_join(listed, ""))).otherwise(text)
 
 
 def metadata(page: Column) -> list[Column]:

@@ -101,7 +101,7 @@ def test_sections(spark):
     assert rows[0]["prev_section_title"] == "" and rows[1]["next_section_title"] == "Deux" and rows[2]["content"] == "Deux\n\nCorps deux"
     assert [r["section_title"] for r in sections.split(docs, "id", "text", anchored=True).orderBy("section_num").collect()] == ["Un", "Deux"]
     summary = sections.summaries(docs, "id", "text").collect()
-    assert len(summary) == 1 and summary[0]["content"].startswith("Document: Guide\n\nSommaire:\nintro") and summary[0]["content"].endswith("  1. Un\n  2. FIRST fin\n  3. Deux")
+    assert len(summary) == 1 and summary[0]["content"].startswith("Document: Guide\n\nSommaire:\n\nIntroduction :\nintro") and summary[0]["content"].endswith("\n\nSections :\n  1. Un\n  2. FIRST fin\n  3. Deux")
 
 
 def test_chunks_cover_the_text():
@@ -118,14 +118,14 @@ def test_chunks_cover_the_text():
 
 def test_html():
     page = html.parse('<html><head><title>A <b>t</b></title><meta name="post-id" content=" 7 "><meta name="tags" content=""><style>x</style></head><body><p>Hi &amp; you</p><img alt="n"><img src="u"><script>y</script></body></html>')
-    assert page["title"] == "A t" and page["meta"] == {"post_id": "7"} and page["images"] == [{"idx": 2, "alt": "", "src": "u"}]
+    assert page["title"] == "A t" and page["meta"] == {"post_id": "7"} and page["images"] == [{"idx": 1, "alt": "n", "src": ""}, {"idx": 2, "alt": None, "src": "u"}]
     assert "Hi & you" in page["text"] and "x" not in page["text"].split("\n") and "y" not in page["text"].split("\n")
 
 
 def test_html_documents(spark):
-    rows = spark.createDataFrame([(1, "<title>T</title><p>Whaller Consulter</p><img src='s' alt=' '>"), (2, None)], "id long, html string")
+    rows = spark.createDataFrame([(1, "<title>T</title><p>Whaller Consulter</p><img src='s'>"), (2, None)], "id long, html string")
     text = html.parsed(rows).orderBy("id").select(html.document_text(F.col("page")).alias("t")).collect()
-    assert text[0]["t"].startswith("Titre du document : T\n\nT\nWhaller Consulter") and html.REDIRECT_NOTE in text[0]["t"] and text[0]["t"].endswith("Image 1: Sans description\nURL: s")
+    assert text[0]["t"].startswith("Titre du document : T\n\nT\nWhaller Consulter") and html.REDIRECT_NOTE in text[0]["t"] and text[0]["t"].endswith("\nImage 1: Sans description\nURL: s\n")
 
 
 def test_sensitive_tokens(spark):
