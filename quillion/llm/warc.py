@@ -101,6 +101,9 @@ def replica_records(reference: DataFrame, replica: DataFrame) -> DataFrame:
     """The replica's leaves with the ranges of the reference's records: by key, or for keys that the reference lacks, the range of the last key before."""
     ranges = reference.groupBy("key").agg(F.min("range_no").alias("range_no"))
     known = replica.join(ranges, replica["key"].eqNullSafe(ranges["key"]), "left").select(replica["key"], "length", "leaf", "range_no")
+    known = store.materialise(known, "known")
+    if not store.has_rows(known.where("range_no is null")):
+        return known
     spans = reference.groupBy("range_no").agg(F.min("key").alias("low")).select(F.col("range_no").alias("r"), "low")
     lost = known.where("range_no is null").drop("range_no")
     # few keys; ranges are one row each 1 MiB, so an as-of join by a running maximum over the union of both
