@@ -1,12 +1,14 @@
-"""Token ids by the tokenizers library, with a cache of pieces.
+"""Token ids by the tokenizers library, with a cache of words.
 
-A byte-level BPE tokenizer cuts a text into pieces by a fixed pattern and encodes each piece alone. Pieces recur, so
-each is encoded once and its ids are kept as bytes. That holds for texts of plain Latin characters, where the pattern
-below cuts exactly as the library does; any other text, and any other kind of tokenizer, is encoded whole.
+A byte-level BPE tokenizer first cuts a text by a fixed pattern, in which a single space always begins a new piece. So a
+text whose words are parted by single spaces and line breaks is encoded word by word, each with the space before it, and
+a word's ids are kept as bytes. Any other text (runs of white space, unusual characters, special tokens' strings), and
+any text for another kind of tokenizer, is encoded whole.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -15,12 +17,11 @@ import numpy as np
 
 from quillion.llm.words import batches_of
 
-#: Characters on which the pattern below and the library's agree.
-UNUSUAL = re.compile("[^\x20-\x7e\n\tÀ-ÖØ-öø-ÿ]")
-#: The pieces of byte-level BPE (a fixed value of that format), written for the characters above.
-PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
-#: Distinct pieces that a worker keeps; beyond that it starts afresh.
-CACHE_PIECES = 400_000
+#: Beyond these characters a text is encoded whole, as other white space could hide among them.
+UNUSUAL = re.compile("[^\x20-\x7e\nÀ-ÖØ-öø-ÿ]")
+RUNS = ("  ", " \n", "\n ", "\n\n")
+#: Words that a worker keeps; when there are more, the half that came first stays, which holds the frequent ones.
+CACHE_WORDS = 700_000
 
 
 class Encoder:
@@ -34,39 +35,74 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         before = kind.get("pre_tokenizer") or {}
-        self.by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not kind.get("normalizer") and kind["model"]["type"] == "BPE"
         self.special = [x["content"] for x in kind.get("added_tokens", [])]
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pieces: dict[str, bytes] = {}
+        self.by_word = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not kind.get("normalizer") and kind["model"]["type"] == "BPE"
+        self.begins = np.zeros(self.vocabulary, bool)  # ids of tokens that begin with a space
+        if self.by_word:
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+                self.begins[i] = token.startswith("Ġ")
+            self.newline = self._whole("\n")
+            self.by_word = len(self.newline) == 4
+            self.breaks = np.zeros(self.vocabulary, bool)  # the id of a line break
+            self.breaks[np.frombuffer(self.newline, "<u4")] = True
+        # a word after a space stands for itself as a key; a word that begins a line has the line break before it
+        self.now: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, wanted: set[str]) -> None:
-        new = [p for p in wanted if p not in self.pieces]
-        if len(self.pieces) + len(new) > CACHE_PIECES:
-            self.pieces.clear()
-            new = list(wanted)
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.pieces[piece] = np.asarray(found.ids, dtype="<u4").tobytes()
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _together(self, words: list[str], lead: str, begins: np.ndarray) -> list[bytes]:
+        """Ids of lead + word for each word: of all in one text, in which they start where ``begins`` holds."""
+        ids = self._ids("".join([lead + w for w in words]))
+        at = np.flatnonzero(begins[ids]).tolist()
+        if len(at) != len(words):
+            return [self._whole(lead + w) for w in words]
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(at, [*at[1:], len(ids)], strict=True)]
+
+    def _learn(self, words: set[str]) -> None:
+        known = self.now
+        if len(known) + len(words) > CACHE_WORDS:
+            known = self.now = dict(itertools.islice(known.items(), CACHE_WORDS // 2))
+        if "" in words:
+            words.remove("")
+            known[""] = self._whole(" ")
+        breaks = [w for w in words if w[0] == "\n"]
+        for lead, begins, part in (("", self.breaks, breaks), (" ", self.begins, list(words.difference(breaks)))):
+            for i in range(0, len(part), 5000):
+                known.update(zip(part[i : i + 5000], self._together(part[i : i + 5000], lead, begins), strict=True))
 
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text; null is as empty."""
         out: list[bytes] = []
         for a, b in batches_of(texts):
-            cut = [self._cut(t) for t in texts[a:b]]
-            self._learn(set().union(*(c for c in cut if c is not None)))
-            get = self.pieces.__getitem__
-            out.extend(self._whole(t) if c is None else b"".join(map(get, c)) for c, t in zip(cut, texts[a:b], strict=True))
+            flat, ends = [], []
+            for t in texts[a:b]:
+                if self._plain(t):
+                    words = t.replace("\n", " \n").split(" ")
+                    words[0] = "\n" + words[0]  # as at the start of a line; the line break's id goes again below
+                    flat += words
+                ends.append(len(flat))
+            found = list(map(self.now.get, flat))
+            gaps = [i for i, ids in enumerate(found) if ids is None]
+            if gaps:
+                known = self.now
+                self._learn({flat[i] for i in gaps})
+                for i in gaps:
+                    found[i] = self.now.get(flat[i]) or known[flat[i]]
+            start = 0
+            for t, end in zip(texts[a:b], ends, strict=True):
+                out.append(b"".join(found[start:end])[4:] if end > start else self._whole(t) if t else b"")
+                start = end
         return out
 
-    def _cut(self, text: str | None) -> list[str] | None:
-        """The pieces of a text, or None if it has to be encoded whole."""
-        if not text:
-            return []
-        if not self.by_piece or UNUSUAL.search(text) or any(s in text for s in self.special):
-            return None
-        return PIECE.findall(text)
+    def _plain(self, text: str | None) -> bool:
+        """Whether the text can be encoded word by word."""
+        return bool(text) and self.by_word and text[0] != "\n" and not any(r in text for r in RUNS) and not UNUSUAL.search(text) and not any(s in text for s in self.special)
 
 
 _ENCODERS: dict[str, Encoder] = {}
