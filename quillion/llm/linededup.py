@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillion.llm import bitmap, components, store
-from quillion.llm.words import batches_of, mix
+from quillion.llm.words import batches_of, give_back, mix
 
 EDITS = 2
 MIN_CHARS = 24
@@ -152,6 +152,7 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 ends = np.concatenate([[0], np.cumsum([len(lines) for lines in cut])]).astype(np.int32)
                 pairs = pa.StructArray.from_arrays([pa.array(numbers), pa.array(nodes)], names=["line_no", "node"])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["doc_id", "tie", "lines"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text")).mapInArrow(run, _LINES)
 
@@ -181,6 +182,8 @@ def _entries_of(docs: DataFrame) -> DataFrame:
                 if len(new):
                     buckets, which, indexed = entries(Rolling([lines[i] for i in new]))
                     yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(nodes[new][which]), pa.array(indexed)], names=["bucket", "node", "indexed"])
+        seen.clear()
+        give_back()
 
     return docs.mapInArrow(run, _ENTRIES)
 
@@ -197,6 +200,8 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 _, lines, nodes, new = _fresh(texts[a:b], seen)
                 new = new[bitmap.may_hold(flags, nodes[new])]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[new]), pa.array([lines[i].encode("utf-8", "surrogatepass") for i in new], pa.binary())], names=["node", "payload"])
+        seen.clear()
+        give_back()
 
     return docs.mapInArrow(run, _TEXTS).join(wanted, "node", "left_semi").dropDuplicates(["node"])
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillion.llm import bitmap, components, store
-from quillion.llm.words import WORD, batches_of, hashed, mix
+from quillion.llm.words import WORD, batches_of, give_back, hashed, mix
 
 BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
@@ -103,6 +103,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 keys = bands(signatures(hashes, owner, b - a)).tolist()
                 rows = [k if node is not None else None for k, node in zip(keys, nodes, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(nodes, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "tie", "node", "bands"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text")).mapInArrow(run, _SIGNED)
 
@@ -122,6 +123,7 @@ def bags(docs: DataFrame) -> DataFrame:
                         s, c = np.unique(hashes[cuts[i] : cuts[i + 1]], return_counts=True)
                         out.append((node, s.astype("<u8").tobytes() + c.astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["node", "payload"])
+        give_back()
 
     return docs.mapInArrow(run, _BAGS)
 

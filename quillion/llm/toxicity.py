@@ -24,11 +24,13 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillion.llm import store
+from quillion.llm.words import give_back
 
 #: Labelled rows that a fit reads at most, in expectation.
 SAMPLE_ROWS = 16_000
@@ -201,11 +203,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     rows = store.materialise(store.labelled_sample(docs, labels, label, sample_rows).dropDuplicates(["text"]).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))), "toxic-sample")
     spark = docs.sparkSession
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def of(text: pd.Series) -> pd.Series:
-        return text.map(contexts)
+    def run(batches):
+        for batch in batches:
+            texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i in range(0, len(texts), 32):  # a text has some thousand contexts
+                made = [(c, y) for t, y in zip(texts[i : i + 32], labels[i : i + 32], strict=True) for c in contexts(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in made], pa.string()), pa.array([y for _, y in made], pa.int32())], names=["context", "label"])
+        give_back()
 
-    each = rows.where("half = 0").select("label", F.explode(of("text")).alias("context")).groupBy("context").agg(F.max("label").alias("a"), F.min("label").alias("b"))
+    each = rows.where("half = 0").select("text", "label").mapInArrow(run, "context string, label int").groupBy("context").agg(F.max("label").alias("a"), F.min("label").alias("b"))
     seen = each.groupBy(F.substring_index("context", " ", -1).alias("entry")).agg(F.sum("a").alias("a"), F.sum(1 - F.col("b")).alias("b"))
     seen = store.materialise(seen, "toxic-entries")
     total = seen.where("entry not like '^%'").agg(F.sum("a"), F.sum("b")).first()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 WORD = re.compile(r"\w+")
@@ -12,7 +15,7 @@ WORD = re.compile(r"\w+")
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MASK = 0xFFFFFFFFFFFFFFFF
 #: Distinct words whose hashes a worker keeps; beyond that it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 class WordHashes(dict):
@@ -33,6 +36,17 @@ def hashed(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def give_back() -> None:
+    """At a task's end: forget cached words and return freed memory to the system, as workers live on through later stages."""
+    _HASHES.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser over uint64."""
     with np.errstate(over="ignore"):
