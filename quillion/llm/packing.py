@@ -34,7 +34,7 @@ class Limits:
     segments: int = 64
     loss_tokens: int = 1024
     cut_from: int = 16
-    window: int = 2048
+    window: int = 1024
 
 
 #: A piece: row, start within its example, length, whether its tokens bear loss.

@@ -20,8 +20,8 @@ from quillion.llm.words import batches_of
 #: Beyond these characters a text is encoded whole, as other white space could hide among them.
 UNUSUAL = re.compile("[^\x20-\x7e\nÀ-ÖØ-öø-ÿ]")
 RUNS = ("  ", " \n", "\n ", "\n\n")
-#: Words that a worker keeps; when there are more, the half that came first stays, which holds the frequent ones.
-CACHE_WORDS = 700_000
+#: Words that a worker keeps; when there are more, the three quarters that came first stay, which hold the frequent ones.
+CACHE_WORDS = 900_000
 
 
 class Encoder:
@@ -67,7 +67,7 @@ class Encoder:
     def _learn(self, words: set[str]) -> None:
         known = self.now
         if len(known) + len(words) > CACHE_WORDS:
-            known = self.now = dict(itertools.islice(known.items(), CACHE_WORDS // 2))
+            known = self.now = dict(itertools.islice(known.items(), CACHE_WORDS * 3 // 4))
         if "" in words:
             words.remove("")
             known[""] = self._whole(" ")
@@ -102,7 +102,9 @@ class Encoder:
 
     def _plain(self, text: str | None) -> bool:
         """Whether the text can be encoded word by word."""
-        return bool(text) and self.by_word and text[0] != "\n" and not any(r in text for r in RUNS) and not UNUSUAL.search(text) and not any(s in text for s in self.special)
+        if not text or not self.by_word or text[0] == "\n" or any(r in text for r in RUNS) or any(s in text for s in self.special):
+            return False
+        return text.replace("\n", "").isprintable() if text.isascii() else not UNUSUAL.search(text)
 
 
 _ENCODERS: dict[str, Encoder] = {}
