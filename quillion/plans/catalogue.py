@@ -137,7 +137,7 @@ def _candidates(spark, d):
 
 
 def rerank_score(spark, d):
-    return _candidates(spark, d).select("item_id", "doc_id", F.round("metadata_score", 6).alias("metadata_score"), F.round("rerank_score", 6).alias("rerank_score"))
+    return _candidates(spark, d).select("item_id", "doc_id", F.round("metadata_score", 6).alias("metadata_score"), F.round(F.col("rerank_score") + 1e-9, 6).alias("rerank_score"))  # exact halves round alike in any engine
 
 
 def rerank_topk(spark, d):

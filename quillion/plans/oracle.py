@@ -263,7 +263,7 @@ asked AS (SELECT item_id * 10 + i AS q, CASE i WHEN 0 THEN array_to_string(w, '
 x AS (SELECT q // 10 AS item_id, q % 10 AS variant_no, d AS doc_id, rank FROM r),
 y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY variant_no, rank) AS n FROM x) WHERE n = 1)
 SELECT item_id, doc_id, variant_no, rank, (row_number() OVER (PARTITION BY item_id ORDER BY variant_no, rank, doc_id))::INT AS arrival FROM y""",
-    "rerank_score": f"{CANDIDATES} SELECT q AS item_id, d AS doc_id, round(metadata_score, 6) AS metadata_score, round(rerank_score, 6) AS rerank_score FROM cand",
+    "rerank_score": f"{CANDIDATES} SELECT q AS item_id, d AS doc_id, round(metadata_score, 6) AS metadata_score, round(rerank_score + 1e-9, 6) AS rerank_score FROM cand",
     "rerank_topk": CANDIDATES + kept("rerank_score", f"score > CASE WHEN {_VAGUE} THEN 0.32 ELSE 0.38 END", f"score > CASE WHEN {_VAGUE} THEN 0.28 ELSE 0.32 END", 2),
     "rerank_cross": CANDIDATES + kept("greatest(0.0, least(greatest(0.0, least((cover * 20 - 10 + 10) / 20, 1.0)) + (CASE WHEN nn >= 2 THEN 0.10 WHEN nn = 1 THEN 0.05 ELSE 0.0 END) - (CASE WHEN length(content) < 200 THEN 0.15 ELSE 0.0 END), 1.0))", "score > 0.25", None, 1),
     "keyword_match": "SELECT conv_id, turn, " + ", ".join(f"{any_in('f', ws)} AS {name}" for name, ws in TAXONOMY.items()) + f" FROM (SELECT conv_id, turn, {fold('text')} AS f FROM {USERS})",
