@@ -8,9 +8,10 @@ of its substrings that a match could have left in place (multi-match-aware posit
 rolling hash, made for all lines of a batch at once. Candidates are verified by an edit distance that keeps one bit for
 each diagonal of the band of 2 * EDITS + 1, a word for each number of edits.
 
-Lines are stripped of white space at their ends; those under ``MIN_CHARS`` characters are left alone. Equal lines are
-one node (by a 64-bit hash), so repeats cost nothing later. Lines' texts are shuffled only if a fixed-size filter of
-the candidates lets them pass.
+Lines are stripped of white space at their ends; every line that isn't blank takes part. Equal lines of any length are
+one node (by a 64-bit hash), so repeats cost nothing later. Lines under ``MIN_CHARS`` characters are linked to no others,
+as two edits make another line of them. Lines' texts are shuffled only if a fixed-size filter of the candidates lets
+them pass.
 
 Defined results: null and empty texts have no lines; repeated rows (same id and text) are one document; a null id comes
 before all others; very long lines are joined whole; an empty table gives an empty table; other columns play no part.
@@ -29,7 +30,8 @@ from quillion.llm import bitmap, components, store
 from quillion.llm.words import batches_of, give_back, mix
 
 EDITS = 2
-MIN_CHARS = 24
+#: Characters from which a line has edit links; shorter ones are grouped with equal ones only.
+MIN_CHARS = 20
 #: Lines whose entries a task remembers having made; beyond that it starts afresh.
 SEEN_LINES = 500_000
 
@@ -42,10 +44,10 @@ _TEXTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("paylo
 
 
 def split_lines(text: str | None) -> list[tuple[int, str]]:
-    """(line number, stripped line) of the lines that take part."""
+    """(line number, stripped line) of the lines that take part: all but blank ones."""
     if not text:
         return []
-    return [(i, s) for i, line in enumerate(text.split("\n")) if len(s := line.strip()) >= MIN_CHARS]
+    return [(i, s) for i, line in enumerate(text.split("\n")) if (s := line.strip())]
 
 
 class Rolling:
@@ -158,8 +160,8 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _fresh(texts: list, seen: set) -> tuple[Rolling, list[str], np.ndarray, np.ndarray]:
-    """The lines of the texts, their hashes, their nodes, and the places of lines that weren't seen before."""
-    lines = [s for t in texts for _, s in split_lines(t)]
+    """The texts' lines that may have edit links, their hashes, their nodes, and the places of lines that weren't seen before."""
+    lines = [s for t in texts for _, s in split_lines(t) if len(s) >= MIN_CHARS]
     rolling = Rolling(lines)
     nodes = rolling.nodes()
     distinct, first = np.unique(nodes, return_index=True)

@@ -337,6 +337,18 @@ def test_lines_match_brute_force(spark):
     assert {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"]) for r in found} == {k: first[find(s)] for k, s in where.items()}
 
 
+def test_short_lines_are_grouped_if_equal(spark):
+    texts = ["Les.\n\nAll rights reserved.\nx", " Les. \nLes!\nAll rights reserved", "x\n \t\nAll rights reserved.\n" + "a" * 19, "a" * 18 + "b", None]
+    where = {(d, i): line.strip() for d, t in enumerate(texts) for i, line in enumerate((t or "").split("\n")) if line.strip()}
+    first = {}
+    for k in sorted(where):
+        first.setdefault(where[k], k)
+    found = linededup.classes(documents(spark, texts)).collect()
+    assert {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"]) for r in found} == {k: first[s] for k, s in where.items()}
+    got = {r["doc_id"]: r["text"] for r in linededup.clean(documents(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "Les!\nAll rights reserved", 2: " \t\n" + "a" * 19, 3: texts[3], 4: None}
+
+
 def test_line_cleaning(spark):
     a, b = "the first line of some length here", "another line that is long enough"
     docs = documents(spark, [f"{a}\n{b}", f"{a}\nshort\n{b}x", f"{b}\n\n", None, "", f"{a}\n{a}"], _cut=1)
