@@ -25,7 +25,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without lines that occur earlier (within two edits); documents that keep no line go."""
+    """docs without lines that occur earlier (within the edits that their length allows); documents that keep no line go."""
     return linededup.clean(docs)
 
 

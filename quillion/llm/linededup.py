@@ -1,12 +1,23 @@
 """Line dedup by a segment-partition edit join.
 
-Two lines are linked if their edit distance is at most ``EDITS``; classes are the connected components of links, and the
-first occurrence of a class (by document id, then line number) stays. Each distinct line of n characters is split into
+Two lines are linked if their edit distance is at most ``limit_of`` the shorter one's length: none under ``MIN_CHARS``
+characters, ``EDITS`` up to ``LONG_CHARS``, then more with the square root of the length (4 at 96 characters, 8 at 384,
+16 at 1536). Classes are the connected components of links, and the first occurrence of a class (by document id, then
+line number) stays.
+
+Candidates are found without a loss. Each distinct line of n characters, fewer than ``LONG_CHARS``, is split into
 EDITS + 1 segments; lines within EDITS edits share at least one of them unchanged. So a line enters an index under
 (its length, segment number, segment), and probes the indexes of its own and the EDITS next smaller lengths with those
-of its substrings that a match could have left in place (multi-match-aware positions). Segments are told apart by a
-rolling hash, made for all lines of a batch at once. Candidates are verified by an edit distance that keeps one bit for
-each diagonal of the band of 2 * EDITS + 1, a word for each number of edits.
+of its substrings that a match could have left in place (multi-match-aware positions).
+
+Longer lines come in length classes of one limit each. A line split into limit + 1 segments has one that a match holds
+unchanged, at most limit places further on; so both hold all substrings of a window's length there, and the smallest
+hash in the window is that of the same substring (winnowing). A line enters an index under (class, substring, cell of
+its position) for the smallest of each window, and probes the next cell, and the next class below, where a match could
+be.
+
+Substrings are told apart by a rolling hash, made for all lines of a batch at once. Buckets of the same lines become one.
+Candidates are verified by an edit distance that follows the furthest point of each diagonal.
 
 Lines are stripped of white space at their ends; every line that isn't blank takes part. Equal lines of any length are
 one node (by a 64-bit hash), so repeats cost nothing later. Lines under ``MIN_CHARS`` characters are linked to no others,
@@ -19,6 +30,8 @@ before all others; very long lines are joined whole; an empty table gives an emp
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +43,13 @@ from quillion.llm import bitmap, components, store
 from quillion.llm.words import batches_of, give_back, mix
 
 EDITS = 2
+#: Characters from which the limit grows with the length.
+LONG_CHARS = 96
+#: First length and limit of each class of longer lines; lengths grow by the root of 2, limits by its root.
+CLASSES = [(int(LONG_CHARS * 2 ** (c / 2)), int(2 * EDITS * 2 ** (c / 4))) for c in range(56)]
+_LOWS = np.array([low for low, _ in CLASSES])
+#: Positions of a cell, in limits.
+CELL_LIMITS = 32
 #: Characters from which a line has edit links; shorter ones are grouped with equal ones only.
 MIN_CHARS = 20
 #: Lines whose entries a task remembers having made; beyond that it starts afresh.
@@ -50,6 +70,13 @@ def split_lines(text: str | None) -> list[tuple[int, str]]:
     return [(i, s) for i, line in enumerate(text.split("\n")) if (s := line.strip())]
 
 
+def limit_of(size: int) -> int:
+    """Edits up to which a line of this length is linked to another one that is as long or longer; -1 for no links."""
+    if size < LONG_CHARS:
+        return EDITS if size >= MIN_CHARS else -1
+    return CLASSES[bisect_right(CLASSES, size, key=lambda c: c[0]) - 1][1]
+
+
 class Rolling:
     """Hashes of any substrings of many lines, from prefix sums of a polynomial modulo 2**64."""
 
@@ -77,6 +104,60 @@ class Rolling:
 
 def entries(rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, line, indexed) of every line: its own segments, and the substrings that it looks up."""
+    parts = [_segments(rolling)]
+    own = np.searchsorted(_LOWS, rolling.sizes, "right") - 1  # -1: lines under LONG_CHARS
+    for c in np.unique(own[own >= 0]).tolist():
+        parts.append(_winnowed(rolling, np.flatnonzero(own == c), c, True))
+        if c:  # a match may be of the class below
+            near = np.flatnonzero((own == c) & (rolling.sizes - CLASSES[c - 1][1] < CLASSES[c][0]))
+            parts.append(_winnowed(rolling, near, c - 1, False))
+    buckets, lines, indexed = zip(*parts, strict=True)
+    return np.concatenate(buckets), np.concatenate(lines), np.concatenate(indexed)
+
+
+def _slide(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
+    """op over each run of ``width`` items of x."""
+    span = 1
+    while span * 2 <= width:
+        x, span = op(x[:-span], x[span:]), span * 2
+    return op(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
+
+
+def _winnowed(rolling: Rolling, which: np.ndarray, c: int, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of the lines ``which`` in class c; they are indexed there if it is their own."""
+    low, limit = CLASSES[c]
+    whole = low // (limit + 1)  # characters that a match leaves in one piece, at least
+    chars = min(20, max(12, whole // 2))
+    window = whole - chars + 1
+    if not len(which):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    count = rolling.sizes[which] - chars + 1
+    ends = np.cumsum(count + 1)  # a zero ends each line, so that no window over two lines counts
+    line = np.repeat(which, count + 1)
+    at = np.arange(ends[-1]) - np.repeat(ends - count - 1, count + 1)
+    inside = np.ones(len(at), bool)
+    inside[ends - 1] = False
+    hashes = np.zeros(len(at), np.uint64)
+    hashes[inside] = rolling.of(line[inside], at[inside], at[inside] + chars) | np.uint64(1)
+    least = np.pad(_slide(hashes, window, np.minimum), window - 1)
+    chosen = (_slide(least, window, np.maximum) == hashes) & inside
+    line, at, hashes = line[chosen], at[chosen], hashes[chosen]
+    cell = CELL_LIMITS * limit
+    home = at // cell
+    places = [(home, np.ones(len(at), bool))] + [(other, other != home) for other in ((at - limit) // cell, (at + limit) // cell)]
+    buckets, lines, indexed = [], [], []
+    for n, (place, ok) in enumerate(places):
+        ok = ok & (place >= 0)
+        key = mix(hashes[ok] ^ mix((place[ok] * 64 + c).astype(np.uint64) + np.uint64(1 << 60))).view(np.int64)
+        _, first = np.unique(key ^ mix(line[ok].astype(np.uint64)).view(np.int64), return_index=True)  # a line may repeat itself
+        buckets.append(key[first])
+        lines.append(line[ok][first])
+        indexed.append(np.full(len(first), own and n == 0))
+    return np.concatenate(buckets), np.concatenate(lines), np.concatenate(indexed)
+
+
+def _segments(rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of lines for partners under ``LONG_CHARS`` characters."""
     line = np.arange(len(rolling.sizes))
     size, parts = rolling.sizes, EDITS + 1
     buckets, lines, indexed = [], [], []
@@ -90,7 +171,7 @@ def entries(rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             high = min(i, shorter + (EDITS - i))
             for move in range(low, high + 1):
                 at = start + move
-                ok = (at >= 0) & (at + chars <= size) & (chars > 0)
+                ok = (at >= 0) & (at + chars <= size) & (length >= MIN_CHARS) & (length < LONG_CHARS)
                 which = line[ok]
                 with np.errstate(over="ignore"):
                     key = mix(rolling.of(which, at[ok], at[ok] + chars[ok]) ^ mix((length[ok] * parts + i).astype(np.uint64)))
@@ -103,39 +184,42 @@ def entries(rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def distance(a: str, b: str, limit: int = EDITS) -> int:
     """Edit distance of a and b, or limit + 1 if it is larger.
 
-    Bit d of state[e] says that the first j + d - limit characters of a turn into the first j of b by e edits at most.
+    reach[d] is how far into a one comes with e edits, if b is d characters ahead; equal runs cost a step each, so that
+    the time grows with the square of the limit, and hardly with the length.
     """
     if abs(len(a) - len(b)) > limit:
         return limit + 1
-    n = min(len(a), len(b))
-    head = 0
-    while head < n and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < n - head and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
-        tail += 1
-    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    band = (1 << (2 * limit + 1)) - 1
-    inside = lambda j: _window((1 << (len(a) + 1)) - 1, j - limit) & band  # noqa: E731  diagonals on which j has a place in a
-    state = [(1 << limit) * ((1 << (e + 1)) - 1) & inside(0) for e in range(limit + 1)]
-    for j, c in enumerate(b):
-        match = _window(places.get(c, 0), j - limit) & band
-        valid = inside(j + 1)
-        new = [state[0] & match & valid]
-        for e in range(1, limit + 1):
-            new.append(((state[e] & match) | state[e - 1] | state[e - 1] >> 1 | new[e - 1] << 1) & valid)
-        state = new
-        if not state[limit]:
-            return limit + 1
-    end = 1 << (len(a) - len(b) + limit)
-    return next((e for e in range(limit + 1) if state[e] & end), limit + 1)
-
-
-def _window(bits: int, start: int) -> int:
-    return bits >> start if start >= 0 else bits << -start
+    end, goal = len(a), len(b) - len(a)
+    reach = {0: _run(a, b, 0, 0)}
+    if not goal and reach[0] == end:
+        return 0
+    for e in range(1, limit + 1):
+        new, left = {}, limit - e
+        for d in range(max(-e, goal - left), min(e, goal + left) + 1):  # others can't come back to the goal
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -1), reach.get(d + 1, -2) + 1)
+            i = min(i, end, len(b) - d)
+            if i >= 0 and i + d >= 0:
+                new[d] = i + _run(a, b, i, i + d)
+        if new.get(goal) == end:
+            return e
+        reach = new
+    return limit + 1
+
+
+def _run(a: str, b: str, i: int, j: int) -> int:
+    """Characters that a from i and b from j have in common."""
+    start, most, step = i, min(len(a) - i, len(b) - j), 1
+    while i - start < most:
+        step = min(step, most - (i - start))
+        if a[i : i + step] == b[j : j + step]:
+            i, j, step = i + step, j + step, step * 4
+        elif step == 1:
+            break
+        else:
+            step = max(1, step // 4)
+            while step > 1 and a[i : i + step] != b[j : j + step]:
+                step //= 2
+    return i - start
 
 
 # --- on tables -------------------------------------------------------------------------------------------------------
@@ -208,21 +292,45 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _TEXTS).join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
+def _near(a: str, b: str) -> bool:
+    limit = limit_of(min(len(a), len(b)))
+    return distance(a, b, limit) <= limit
+
+
 def near_pairs(a: list[bytes], b: list[bytes]) -> list[bool]:
     text = lambda x: x.decode("utf-8", "surrogatepass")
-    return [distance(text(x), text(y)) <= EDITS for x, y in zip(a, b, strict=True)]
+    return [_near(text(x), text(y)) for x, y in zip(a, b, strict=True)]
+
+
+def _counts(lines: list[str]) -> np.ndarray:
+    """How often each line has characters of each of 64 kinds."""
+    return np.array([np.bincount(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") & 63, minlength=64) for s in lines], np.int32).reshape(len(lines), 64)
 
 
 def near_cells(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The same for all of a against all of b; only those are compared whose counts of characters n edits could make equal."""
     left, right = ([x.decode("utf-8", "surrogatepass") for x in xs] for xs in (a, b))
-    return np.array([[distance(x, y) <= EDITS for y in right] for x in left], bool).reshape(len(a), len(b))
+    out = np.zeros((len(left), len(right)), bool)
+    sizes, counts = np.array([len(y) for y in right]), _counts(right)
+    limits = np.array([limit_of(n) for n in sizes])
+    for i, (x, own) in enumerate(zip(left, _counts(left), strict=True)):
+        limit = np.minimum(limits, limit_of(len(x)))  # that of the shorter, as limits grow with the length
+        open_ = (np.abs(sizes - len(x)) <= limit) & (np.abs(counts - own).sum(axis=1) <= 2 * limit)
+        for j in np.flatnonzero(open_).tolist():
+            out[i, j] = _near(x, right[j])
+    return out
 
 
 def _shared(made: DataFrame) -> DataFrame:
-    """(bucket, node) of the buckets that hold an index entry and at least two lines: one shuffle, then one sort."""
+    """(bucket, node) of the buckets that hold an index entry and at least two lines: one shuffle, then one sort.
+
+    Buckets are named by a hash of their nodes, so those of the same nodes (near lines share many substrings) are one.
+    """
     of = Window.partitionBy("bucket")
     ends = made.select("bucket", "node", F.min("node").over(of).alias("low"), F.max("node").over(of).alias("high"), F.max("indexed").over(of).alias("indexed"))
-    return ends.where("low < high and indexed").select("bucket", "node").distinct()
+    kept = ends.where("low < high and indexed").select("bucket", "node").distinct()
+    name = F.xxhash64(F.count("*").over(of), F.bit_xor(F.xxhash64("node")).over(of))
+    return kept.select(name.alias("bucket"), "node").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

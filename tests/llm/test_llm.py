@@ -349,6 +349,35 @@ def test_short_lines_are_grouped_if_equal(spark):
     assert got == {0: texts[0], 1: "Les!\nAll rights reserved", 2: " \t\n" + "a" * 19, 3: texts[3], 4: None}
 
 
+def test_limit_grows_with_length(spark):
+    rng = random.Random(11)
+    assert [linededup.limit_of(n) for n in (19, 20, 95, 96, 384, 1536)] == [-1, 2, 2, 4, 8, 16]
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (90, 96, 97, 135, 136, 192, 194, 271, 275, 384, 390, 543, 768, 1536)]
+    lines = [edited(rng, s, n).strip() for s in base for n in (0, 1, 3, 5, 6, 8, 12, 14)] + ["the same again " * 20 + "x", "the same again " * 20 + "and", "é" * 500, "é" * 505]
+    bounds = [(96 * 2 ** (c / 2), int(4 * 2 ** (c / 4))) for c in range(10)]
+    limit = lambda n: 2 if n < 96 else max(k for low, k in bounds if int(low) <= n)
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines[:i]) if abs(len(a) - len(b)) <= 16 and linededup.distance(a, b, 40) <= limit(min(len(a), len(b)))]
+    for i, j in links:
+        low, high = sorted((find(i), find(j)))
+        root[high] = low
+    assert sum(levenshtein(lines[i], lines[j]) > 2 for i, j in links if len(lines[i]) < 400) >= 20
+    # each link by itself: an index entry of one is probed by the other
+    buckets, which, indexed = linededup.entries(linededup.Rolling(lines))
+    made = [(set(buckets[which == i].tolist()), set(buckets[(which == i) & indexed].tolist())) for i in range(len(lines))]
+    assert all(made[i][1] & made[j][0] or made[j][1] & made[i][0] for i, j in links)
+    found = {r["doc_id"]: r["class_doc"] for r in linededup.classes(documents(spark, lines)).collect()}
+    assert found == {i: find(i) for i in range(len(lines))}
+    a, b = [s.encode() for s in lines[:60]], [s.encode() for s in lines[30:]]
+    assert linededup.near_cells(a, b).tolist() == [linededup.near_pairs([x] * len(b), b) for x in a]
+
+
 def test_line_cleaning(spark):
     a, b = "the first line of some length here", "another line that is long enough"
     docs = documents(spark, [f"{a}\n{b}", f"{a}\nshort\n{b}x", f"{b}\n\n", None, "", f"{a}\n{a}"], _cut=1)
