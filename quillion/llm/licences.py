@@ -1,8 +1,9 @@
 """Licence scans by sentence-rule recognition, with DataFrame functions only.
 
-A text is cut into sentences twice: at sentence ends and line breaks (one-line notices), and at sentence ends and blank
+Comment marks at line starts are left out. Then a text is cut into sentences twice: at sentence ends and line breaks (one-line notices), and at sentence ends and blank
 lines with line breaks read as spaces (wrapped licence texts). A normalised sentence (lower case, runs of other marks
-than letters and digits as one space) that is known maps to its identifier; others drop out. A licence rule is an
+than letters and digits as one space) that is known maps to its identifier; others drop out. A known sentence with an
+end inside is known by its parts, one after the other. A licence rule is an
 ordered list of identifiers; it matches where they follow one another, with any sentences between. A rule that says
 less than another one that matched is left out.
 
@@ -12,6 +13,8 @@ repeated rows are scanned like any others; very long texts are scanned whole; co
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +96,8 @@ RULES = [
 ]
 BY_LINE = r"[.!?;]+(?:\s+|\z)|\n+"
 BY_TEXT = r"[.!?;]+(?:\s+|\z)|\n\s*\n"
+#: At line starts, as headers in source files have them.
+COMMENT_MARKS = r"(?m)^[ \t]*(?:<!--|-->|--+|//+|/\*+|\*+/|[#*;%]+)"
 OTHER_MARKS = r"[^\p{L}\p{N}]+"
 
 
@@ -101,20 +106,34 @@ def normalise(sentence: str) -> str:
 
 
 def known() -> dict[str, list[int]]:
-    """Normalised sentence -> identifiers; a known sentence with an end inside is known by its parts, as texts are cut there."""
+    """Normalised sentence -> identifiers, of whole sentences."""
     out: dict[str, list[int]] = {}
     for number, sentence in SENTENCES.items():
         out.setdefault(normalise(sentence), []).append(number)
     return out
 
 
+def parts() -> dict[int, list[str]]:
+    """Identifier -> the normalised parts of its sentence, cut as texts are."""
+    return {number: [normalise(x) for x in re.split(r"[.!?;]+(?:\s+|\Z)", sentence) if normalise(x)] for number, sentence in SENTENCES.items()}
+
+
 def _identifiers(text: Column, cut: str) -> Column:
     """Known identifiers of a text in order, each between commas."""
-    table = {s: ids[0] for s, ids in known().items()}
+    cuts = parts()
+    table: dict[str, str] = {}
+    for number, names in cuts.items():
+        for k, s in enumerate(names):
+            table.setdefault(s, f",{number}," if len(names) == 1 else f",{number}.{k},")
     sentences = F.transform(F.split(F.coalesce(text, F.lit("")), cut), lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER_MARKS, " ")))
-    hits = F.filter(sentences, lambda s: s.isin(list(table)))
     ids = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
-    return F.concat_ws("", F.transform(hits, lambda s: F.concat(F.lit(","), F.element_at(ids, s).cast("string"), F.lit(","))))
+    # an unknown sentence is a semicolon, so that parts with one between them aren't taken for a whole
+    hits = F.transform(F.filter(sentences, lambda s: s != ""), lambda s: F.when(s.isin(list(table)), F.element_at(ids, s)).otherwise(F.lit(";")))
+    found = F.concat_ws("", hits)
+    for number, names in cuts.items():
+        if len(names) > 1:
+            found = F.replace(found, F.lit("".join(table[s] for s in names)), F.lit(f",{number},"))
+    return F.regexp_replace(found, r";|,\d+\.\d+,", "")
 
 
 def _matches(sequence: Column, rule: list[int]) -> Column:
@@ -123,7 +142,8 @@ def _matches(sequence: Column, rule: list[int]) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sentence_ids and wrapped_ids (identifiers by either cut), n_licences, and licences in the rules' order, by commas."""
-    cut = docs.select(F.col(id_col).alias("doc_id"), _identifiers(F.col(text_col), BY_LINE).alias("sentence_ids"), _identifiers(F.col(text_col), BY_TEXT).alias("wrapped_ids"))
+    text = F.regexp_replace(F.col(text_col), COMMENT_MARKS, "")
+    cut = docs.select(F.col(id_col).alias("doc_id"), _identifiers(text, BY_LINE).alias("sentence_ids"), _identifiers(text, BY_TEXT).alias("wrapped_ids"))
     names = list(dict.fromkeys(name for name, _, _ in RULES))
 
     def either(rule: list[int]) -> Column:

@@ -493,6 +493,39 @@ def test_licences(spark):
     assert licences.scan(empty(spark)).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+
+def test_every_licence_rule_can_match(spark):
+    import textwrap
+
+    headers = [("Apache-2.0", APACHE), ("MPL-2.0", MPL), ("MPL-2.0", " ".join(MPL.split())), ("", MPL.replace("v. 2.0", "v. 1.1") + "\n\n2.0\n")]
+    for name, rule, _ in licences.RULES:
+        whole = [licences.SENTENCES[i] for i in rule]
+        headers.append((name, "\n\n".join(textwrap.fill(s if s.endswith(":") else s + ".", 60) for s in whole)))
+    texts, want = [], []
+    for name, text in headers:
+        lines = text.split("\n")
+        for style in (lines, [f"# {x}".rstrip() for x in lines], [f"// {x}" for x in lines], ["/*", *(f" * {x}" for x in lines), " */"], [f";; {x}" for x in lines]):
+            texts.append("\n".join(["Copyright someone", style[0][:2].strip(), *style, "", "code = 1"]) if style is not lines else text)
+            want.append(name)
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(documents(spark, texts)).collect()}
+    assert [(want[i], texts[i]) for i in range(len(texts)) if want[i] not in got[i].split(",")] == []
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
