@@ -157,7 +157,10 @@ def audit(records: DataFrame, nodes: DataFrame, replica: DataFrame, fanout: int
     bad = store.materialise(ranges.select(F.col("number").alias("range_no")), "bad-ranges")
     a = records.join(bad, "range_no", "left_semi").select("key", "offset", "length", "range_no", "leaf")
     b = theirs.join(bad, "range_no", "left_semi").select(F.col("key").alias("k"), F.col("range_no").alias("r"), F.col("leaf").alias("replica_leaf"))
-    same = a["key"].eqNullSafe(b["k"]) & (a["leaf"] == b["replica_leaf"])
+    # equal records are told apart by their number, over all ranges, as a replica has those of a key in the first of its ranges
+    a = a.withColumn("copy", F.row_number().over(Window.partitionBy("key", "leaf").orderBy("offset")))
+    b = b.withColumn("copy_", F.row_number().over(Window.partitionBy("k", "replica_leaf").orderBy("r")))
+    same = a["key"].eqNullSafe(b["k"]) & (a["leaf"] == b["replica_leaf"]) & (a["copy"] == b["copy_"])
     lost, new = a.join(b, same, "left_anti"), b.join(a, same, "left_anti")
     # of one key, damaged records pair up in the order of their digests
     lost = lost.withColumn("nth", F.row_number().over(Window.partitionBy("range_no", "key").orderBy("leaf", "offset")))

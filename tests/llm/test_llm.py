@@ -480,6 +480,16 @@ def test_fixity_audit_finds_damage(spark):
     assert none.count() == 0 and tree.count() == 0 and warc.audit(none, tree, reference.limit(0)).count() == 0
 
 
+def test_fixity_audit_counts_copies(spark):
+    rows = [(i, f"http://h/{i}", "x" * 300) for i in range(60)]
+    pages = spark.createDataFrame(rows + [rows[5]] * 2 + [rows[40]] * 30, "page_id long, url string, html string")  # those of 40 span ranges
+    records, nodes = warc.manifest(warc.leaves(pages), range_bytes=4096, fanout=3)
+    assert warc.audit(records, nodes, warc.leaves(pages), fanout=3).count() == 0
+    bad = spark.createDataFrame([r for r in rows if r[0] != 7] + [rows[5]] + [rows[40]] * 29 + [rows[20]], pages.schema)
+    found = sorted((r["key"], r["status"]) for r in warc.audit(records, nodes, warc.leaves(bad), fanout=3).collect())
+    assert found == [(5, "missing"), (7, "missing"), (20, "added"), (40, "missing")]
+
+
 # --- licences --------------------------------------------------------------------------------------------------------
 
 
