@@ -205,5 +205,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     dropped = grouped.alias("g").join(kept.alias("k"), F.col("g.doc_id").eqNullSafe(F.col("k._id")) & (F.col("g.tie") == F.col("k._tie")), "left_anti")
     dropped = store.materialise(dropped.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct(), "dropped")
     out = docs.join(dropped, docs[id_col].cast("long").eqNullSafe(dropped["_id"]) & (F.xxhash64(docs[text_col]) == dropped["_tie"]), "left_anti")
-    repeated = grouped.groupBy("doc_id", "tie").count().where("count > 1")
-    return out.dropDuplicates([id_col, text_col]) if store.has_rows(repeated) else out
+    # rows without words are classes of their own, so their repeats stay
+    repeated = grouped.groupBy("doc_id", "tie").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
+    repeated = store.materialise(repeated, "repeated")
+    if not store.has_rows(repeated):
+        return out
+    same = out[id_col].cast("long").eqNullSafe(repeated["_id"]) & (F.xxhash64(out[text_col]) == repeated["_tie"])
+    again = out.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col])
+    return out.join(repeated, same, "left_anti").unionByName(again)

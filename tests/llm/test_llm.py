@@ -261,6 +261,13 @@ def test_near_duplicates_keep_one(spark):
     assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in probminhash.classes(nulls).collect()) == [("5", "5"), ("None", "5"), ("None", "None")]
 
 
+def test_rows_without_words_stay_whatever_else_is_repeated(spark):
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "..."])] * 2, "doc_id long, text string")
+    other = spark.createDataFrame([(9, "one two three four five six")] * 2, odd.schema)
+    assert sorted(r["doc_id"] for r in probminhash.keep_one(odd).collect()) == [0, 0, 1, 1, 2, 2]
+    assert sorted(r["doc_id"] for r in probminhash.keep_one(odd.union(other)).collect()) == [0, 0, 1, 1, 2, 2, 9]
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = random.Random(1)
     a, b = (" ".join(words(rng, 300)) for _ in range(2))
