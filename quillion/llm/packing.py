@@ -1,6 +1,7 @@
 """Packing: vector bin packing of token pieces into training sequences.
 
-A sequence has three limits at once: tokens, segments (pieces in it) and loss-bearing tokens. Pieces as large as a limit
+A sequence has three limits at once: tokens, segments (pieces in it) and loss-bearing tokens (the end id bears none).
+Pieces as large as a limit
 allows make sequences of their own; the rest is packed window by window. A bin is filled by the dot-product heuristic:
 of the pieces that fit, the one whose vector of relative demands has the largest dot product with the bin's remaining
 capacities goes in, so that a bin short of one resource gets pieces that need the others. Where no piece fits and more
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillion.llm import tokens
+from quillion.llm.words import give_back
 
 
 @dataclass(frozen=True)
@@ -34,11 +36,11 @@ class Limits:
     segments: int = 64
     loss_tokens: int = 1024
     cut_from: int = 16
-    window: int = 1024
+    window: int = 2048
 
 
-#: A piece: row, start within its example, length, whether its tokens bear loss.
-Piece = tuple[int, int, int, bool]
+#: A piece: row, start within its example, length, whether its tokens bear loss, and how many at its end don't (the end id).
+Piece = tuple[int, int, int, bool, int]
 
 PIECES = T.StructType(
     [
@@ -60,10 +62,10 @@ def pack_window(pieces: list[Piece], limits: Limits, last: bool) -> tuple[list[l
 
     With ``last`` none stay.
     """
-    row, start, length = (np.array([p[i] for p in pieces], np.int64) for i in range(3))
+    row, start, length, free_end = (np.array([p[i] for p in pieces], np.int64) for i in (0, 1, 2, 4))
     loss = np.array([p[3] for p in pieces], bool)
     free = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
-    demand = np.stack([length, np.ones(len(pieces)), length * loss], axis=1) / free
+    demand = np.stack([length, np.ones(len(pieces)), (length - free_end) * loss], axis=1) / free
     left = np.ones(len(pieces), bool)
     done: list[list[Piece]] = []
     remaining = len(pieces)
@@ -73,7 +75,7 @@ def pack_window(pieces: list[Piece], limits: Limits, last: bool) -> tuple[list[l
             value = np.where(left & (demand <= room + 1e-9).all(axis=1), demand @ room, -1.0)
             best = int(value.argmax())
             if value[best] >= 0:
-                bin_.append((int(row[best]), int(start[best]), int(length[best]), bool(loss[best])))
+                bin_.append((int(row[best]), int(start[best]), int(length[best]), bool(loss[best]), int(free_end[best])))
                 room -= demand[best]
                 left[best] = False
                 remaining -= 1
@@ -87,10 +89,10 @@ def pack_window(pieces: list[Piece], limits: Limits, last: bool) -> tuple[list[l
             part = min(spare, round(room[2] * limits.loss_tokens)) if loss[best] else spare
             if part < limits.cut_from:
                 break
-            bin_.append((int(row[best]), int(start[best]), part, bool(loss[best])))
+            bin_.append((int(row[best]), int(start[best]), part, bool(loss[best]), 0))
             start[best] += part
             length[best] -= part
-            demand[best] = np.array([length[best], 1, length[best] * loss[best]]) / free
+            demand[best] = np.array([length[best], 1, (length[best] - free_end[best]) * loss[best]]) / free
             room -= np.array([part, 1, part * loss[best]]) / free
         if not remaining and not last and room[0] * limits.tokens >= limits.cut_from:
             return done, bin_
@@ -107,11 +109,11 @@ def at_powers(bin_: list[Piece]) -> list[list[Piece]]:
         total -= size
         now: list[Piece] = []
         while size:
-            r, s, n, loss = queue.pop()
+            r, s, n, loss, end = queue.pop()
             take = min(n, size)
-            now.append((r, s, take, loss))
+            now.append((r, s, take, loss, end if take == n else 0))
             if take < n:
-                queue.append((r, s + take, n - take, loss))
+                queue.append((r, s + take, n - take, loss, end))
             size -= take
         out.append(now)
     return out
@@ -130,7 +132,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = None, limits: Lim
 
     def run(batches):
         encode = tokens.encoder(tokenizer)
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        end = 0 if end_id is None else 1
         base = TaskContext.get().partitionId() << 36
         examples: dict[int, tuple] = {}  # row -> doc_id, ids
         waiting: list[Piece] = []
@@ -142,7 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = None, limits: Lim
             out = {name: [] for name in PIECES.names}
             for bin_ in bins:
                 offset = 0
-                for r, s, n, bears in bin_:
+                for r, s, n, bears, _ in bin_:
                     doc_id, ids = examples[r]
                     for name, v in zip(PIECES.names, (doc_id, base + r, s, n, len(ids) // 4, bears, base + sequences, offset, ids[4 * s : 4 * (s + n)]), strict=True):
                         out[name].append(v)
@@ -162,22 +164,24 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = None, limits: Lim
             return made
 
         for batch in batches:
-            ids = encode.encode(batch.column(1).to_pylist())
-            for doc_id, x, bears in zip(batch.column(0).to_pylist(), ids, batch.column(2).to_pylist(), strict=True):
-                data, r = x + end, rows
-                rows += 1
-                n = len(data) // 4
-                if not n:
-                    continue
-                examples[r] = (doc_id, data)
-                size = _whole(n, bears, limits)
-                full = n // size if size else 0
-                full_bins += [[(r, i * size, size, bears)] for i in range(full)]
-                if n > full * size:
-                    waiting.append((r, full * size, n - full * size, bears))
-                if len(waiting) >= limits.window or len(full_bins) >= limits.window:
-                    yield flush(False)
+            for a, b, flat, counts in encode.chunks(batch.column(1), end_id):
+                data, stops = flat.astype("<u4", copy=False).tobytes(), np.cumsum(counts).tolist()
+                for doc_id, n, stop, bears in zip(batch.column(0)[a:b].to_pylist(), counts.tolist(), stops, batch.column(2)[a:b].to_pylist(), strict=True):
+                    r = rows
+                    rows += 1
+                    if not n:
+                        continue
+                    examples[r] = (doc_id, data[4 * (stop - n) : 4 * stop])
+                    size = _whole(n, bears, limits)
+                    full = n // size if size else 0
+                    full_bins += [[(r, i * size, size, bears, end if (i + 1) * size == n else 0)] for i in range(full)]
+                    if n > full * size:
+                        waiting.append((r, full * size, n - full * size, bears, end))
+                    if len(waiting) >= limits.window or len(full_bins) >= limits.window:
+                        yield flush(False)
         yield flush(True)
+        examples.clear()
+        give_back()
 
     arrow = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("loss", pa.bool_()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
     bears = F.lit(True) if loss is None else F.coalesce(loss, F.lit(False))

@@ -12,8 +12,6 @@ comes first; null texts are as empty ones; an empty table gives empty tables.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillion.llm import rans, store, tokens
+from quillion.llm.words import give_back
 
 BLOCK_TOKENS = 1 << 18
 
@@ -51,10 +50,13 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str =
     def run(batches):
         encode = tokens.encoder(tokenizer)
         kind = _narrow(max(encode.vocabulary, (end_id or 0) + 1))
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in encode.encode(batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["doc_id", "tie", "ids"])
+            for a, b, ids, counts in encode.chunks(batch.column(2), end_id):
+                ids = ids.astype(kind)
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype("<i4") * ids.itemsize
+                column = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], column], names=["doc_id", "tie", "ids"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text")).mapInArrow(run, _TOKENS)
 
@@ -121,6 +123,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
                     ids, sizes, held, total = [], [], [], 0
         if ids:
             yield block()
+        give_back()
 
     arrow = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int32())), ("payload", pa.binary())])
     ordered = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
@@ -150,11 +153,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(row["doc_ids"], pa.int64()), pa.array([row["shard"]] * len(ids), pa.int32()), pa.array(row["start"] + starts, pa.int64()), pa.array(row["doc_tokens"], pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "shard", "local_start", "n_tokens", "ids"],
                 )
+        give_back()
 
     decoded = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").mapInArrow(run, _READ)
     shards = spark.read.parquet(f"{path}/shards")  # a row for each file of the data set, which the writer's driver has held
     return decoded.join(F.broadcast(shards), "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
-
-
-def checksum(ids: bytes) -> int:
-    return zlib.crc32(ids)

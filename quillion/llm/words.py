@@ -56,12 +56,12 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def batches_of(texts: list, limit: int = 1_000_000):
-    """(start, stop) of runs of texts with about ``limit`` characters each, so that scratch arrays stay small."""
+def batches_of(texts: list, limit: int = 1_000_000, most: int = 8_192):
+    """(start, stop) of runs of ``most`` texts at most, with about ``limit`` characters each, so that scratch arrays stay small."""
     start = total = 0
     for i, text in enumerate(texts):
         total += len(text or "")
-        if total >= limit:
+        if total >= limit or i + 1 - start >= most:
             yield start, i + 1
             start, total = i + 1, 0
     if start < len(texts):
