@@ -23,8 +23,8 @@ LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lon
 
 #: Payloads of pairs, in two lists -> whether each pair is near.
 NearPairs = Callable[[list[bytes], list[bytes]], list[bool]]
-#: Payloads of rows and of columns -> matrix of whether they are near.
-NearCells = Callable[[list[bytes], list[bytes]], np.ndarray]
+#: Payloads of rows and of columns, and which of all their pairs are asked for -> matrix of whether those are near.
+NearCells = Callable[[list[bytes], list[bytes], np.ndarray], np.ndarray]
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -72,12 +72,24 @@ def _verified(pairs: DataFrame, payloads: DataFrame, near_pairs: NearPairs) -> D
     return pairs.join(a, "a").join(b, "b").select("a", "b", "payload_a", "payload_b").mapInArrow(run, LINKS)
 
 
+def _met_before(left: list[list[int]], right: list[list[int]], bucket: int) -> np.ndarray:
+    """Which pairs of rows and columns share a bucket of a smaller number too, from the buckets of each."""
+    own = [[x for x in xs if x < bucket] for xs in (*left, *right)]
+    ids = np.unique(np.array([x for xs in own for x in xs], np.int64))
+    there = np.zeros((len(own), max(1, len(ids))), np.float32)
+    row = np.repeat(np.arange(len(own)), [len(xs) for xs in own])
+    there[row, np.searchsorted(ids, np.array([x for xs in own for x in xs], np.int64))] = 1
+    return there[: len(left)] @ there[len(left) :].T > 0
+
+
 def _cells(outside: DataFrame, inside: DataFrame, payloads: DataFrame, near_cells: NearCells) -> DataFrame:
-    """Links between outside's (bucket, node, c) and inside's of other components, bucket by bucket, in cells of bounded size.
+    """Links between outside's (bucket, node, c) and inside's (with ``out``: whether it is outside too) of other components, bucket by bucket, in cells of bounded size.
 
     Each side is cut into blocks of about ``CELL`` rows by a hash; a cell is a block of either. It gives links that span
-    what it joins, not all links.
+    what it joins, not all links. A pair is compared in the first bucket that both are in, and once there.
     """
+    every = inside.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # as many as a node's payload makes, at most
+    payloads = payloads.join(every, "node")
 
     def blocks(rows: DataFrame) -> DataFrame:
         return rows.groupBy("bucket").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
@@ -88,14 +100,15 @@ def _cells(outside: DataFrame, inside: DataFrame, payloads: DataFrame, near_cell
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
         rows = rows.join(both, "bucket").join(payloads, "node")
         mine = F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias(own)
-        return rows.select("bucket", "node", "c", "payload", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+        return rows.select("bucket", "node", "c", "out", "buckets", "payload", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
         if left.num_rows and right.num_rows:
-            near = near_cells(left["payload"].to_pylist(), right["payload_"].to_pylist())
-            cl, cr = np.array(left["c"].to_pylist()), np.array(right["c_"].to_pylist())
-            nl, nr = left["node"].to_pylist(), right["node_"].to_pylist()
+            cl, cr, nl, nr = (x.to_numpy() for x in (left["c"], right["c_"], left["node"], right["node_"]))
+            open_ = (cl[:, None] != cr[None, :]) & ~(right["out_"].to_numpy()[None, :] & (nl[:, None] > nr[None, :]))
+            open_ &= ~_met_before(left["buckets"].to_pylist(), right["buckets_"].to_pylist(), left["bucket"][0].as_py())
+            near = near_cells(left["payload"].to_pylist(), right["payload_"].to_pylist(), open_) if open_.any() else open_
             root: dict[int, int] = {}
 
             def find(x: int) -> int:
@@ -104,44 +117,51 @@ def _cells(outside: DataFrame, inside: DataFrame, payloads: DataFrame, near_cell
                     x = root[x]
                 return x
 
-            for i, j in zip(*np.nonzero(near & (cl[:, None] != cr[None, :])), strict=True):
+            for i, j in zip(*np.nonzero(near & open_), strict=True):
                 x, y = find(int(cl[i])), find(int(cr[j]))
                 if x != y:
                     root[x] = y
-                    found.append((nl[i], nr[j]))
+                    found.append((int(nl[i]), int(nr[j])))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     keys = ["bucket", "n_out", "n_in"]
-    right = dealt(inside, "n_in", "n_out").select("bucket", "n_out", "n_in", "node", "c", "payload").toDF("bucket_", "n_out_", "n_in_", "node_", "c_", "payload_")
+    right = dealt(inside, "n_in", "n_out").select("bucket", "n_out", "n_in", "node", "c", "out", "buckets", "payload").toDF("bucket_", "n_out_", "n_in_", "node_", "c_", "out_", "buckets_", "payload_")
     return dealt(outside, "n_out", "n_in").groupBy(*keys).cogroup(right.groupBy(*(f"{k}_" for k in keys))).applyInArrow(join, LINKS)
 
 
-def linked(members: DataFrame, payloads: DataFrame, near_pairs: NearPairs, near_cells: NearCells) -> DataFrame:
+def linked(members: DataFrame, payloads: DataFrame, near_pairs: NearPairs, near_cells: NearCells, more: DataFrame | None = None) -> DataFrame:
     """(node, component) of the nodes that links connect; nodes without a link are absent.
 
-    members has distinct (bucket, node) and is read several times, payloads (node, payload) what a comparison needs. A pair is a candidate if a bucket holds
-    both; every candidate pair is compared unless its nodes are in one component already, so the components are those
-    of all links.
+    members has distinct (bucket, node), ``more`` distinct pairs (a, b) with a below b; both are read several times.
+    payloads (node, payload) has what a comparison needs. A pair is a candidate if a bucket holds both or ``more`` has it;
+    every candidate pair is compared unless its nodes are in one component already, so the components are those of all
+    links.
 
     - First, each bucket's hub is compared with all its members: a pair a member.
     - Then, in buckets that still hold several components, the nodes outside the hub's component are compared with
       those of other components: as pairs in buckets of ``SMALL`` nodes at most, and otherwise in cells, which read
-      each node once for each block of the other side and emit no pairs but links.
+      each node once for each block of the other side and emit no pairs but links. A pair that shares many buckets, as
+      near ones do, is compared in one of them.
     """
-    hubs = store.materialise(_hubs(members), "hubs")
-    pairs = members.join(hubs, "bucket").where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    pairs = store.materialise(pairs, "pairs")
-    links = store.materialise(_verified(pairs, payloads, near_pairs), "links")
-    comps = store.materialise(components(links), "comps")
-
-    placed = store.materialise(members.join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c")), "placed")
-    heads = placed.join(hubs, "bucket").groupBy("bucket").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("node") == F.col("hub"), F.col("c"))).alias("head")).where("low < high")
-    unresolved = store.materialise(placed.join(heads.select("bucket", "size", "head"), "bucket"), "unresolved")
-    outside = unresolved.where("c != head")
-    small, other = outside.where(F.col("size") <= SMALL), unresolved.where(F.col("size") <= SMALL).select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"))
-    rest = small.join(other, "bucket").where("c != cx").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    rest = store.materialise(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    large = F.col("size") > SMALL
-    cells = _cells(outside.where(large).select("bucket", "node", "c"), unresolved.where(large).select("bucket", "node", "c"), payloads, near_cells)
-    new = store.materialise(_verified(rest, payloads, near_pairs).unionByName(cells), "links")
-    return store.materialise(components(links.unionByName(new)), "comps")
+    with store.scratch(members.sparkSession) as kept:
+        hubs = store.materialise(_hubs(members), "hubs")
+        pairs = members.join(hubs, "bucket").where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+        pairs = pairs.distinct() if more is None else pairs.distinct().join(more, ["a", "b"], "left_anti").unionByName(more)
+        pairs = store.materialise(pairs, "pairs")
+        links = store.materialise(_verified(pairs, payloads, near_pairs), "links")
+        if not store.has_rows(members):
+            return kept(components(links), "comps")
+        comps = store.materialise(components(links), "comps")
+
+        placed = store.materialise(members.join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c")), "placed")
+        heads = placed.join(hubs, "bucket").groupBy("bucket").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("node") == F.col("hub"), F.col("c"))).alias("head")).where("low < high")
+        unresolved = store.materialise(placed.join(heads.select("bucket", "size", "head"), "bucket"), "unresolved")
+        outside = unresolved.where("c != head")
+        small, other = outside.where(F.col("size") <= SMALL), unresolved.where(F.col("size") <= SMALL).select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"))
+        rest = small.join(other, "bucket").where("c != cx").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        rest = store.materialise(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        large = F.col("size") > SMALL
+        sides = [rows.where(large).select("bucket", "node", "c", (F.col("c") != F.col("head")).alias("out")) for rows in (outside, unresolved)]
+        cells = _cells(*sides, payloads, near_cells)
+        new = store.materialise(_verified(rest, payloads, near_pairs).unionByName(cells), "links")
+        return kept(components(links.unionByName(new)), "comps")

@@ -16,8 +16,12 @@ hash in the window is that of the same substring (winnowing). A line enters an i
 its position) for the smallest of each window, and probes the next cell, and the next class below, where a match could
 be.
 
-Substrings are told apart by a rolling hash, made for all lines of a batch at once. Buckets of the same lines become one.
-Candidates are verified by an edit distance that follows the furthest point of each diagonal.
+An entry is a record of 17 bytes with the substring's place and the line's length. Each task sorts its records by bucket
+and sends them as one pack for each partition, where numpy sorts them again; of two lines in a bucket those become
+candidates of which one is indexed and whose places and lengths could come from edits within the limit. Large buckets
+go on as members (see ``components.linked``), parted by cells of length; a bucket that holds more than ``HOT`` of a pack's records is spread over
+all tasks as members at once, so that no task meets all of a substring that very many lines share. Candidates are
+verified by a banded bit-parallel edit distance, for many pairs of lines at once.
 
 Lines are stripped of white space at their ends; every line that isn't blank takes part. Equal lines of any length are
 one node (by a 64-bit hash), so repeats cost nothing later. Lines under ``MIN_CHARS`` characters are linked to no others,
@@ -34,10 +38,11 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from quillion.llm import bitmap, components, store
 from quillion.llm.words import batches_of, give_back, mix
@@ -52,14 +57,27 @@ _LOWS = np.array([low for low, _ in CLASSES])
 CELL_LIMITS = 32
 #: Characters from which a line has edit links; shorter ones are grouped with equal ones only.
 MIN_CHARS = 20
-#: Lines whose entries a task remembers having made; beyond that it starts afresh.
-SEEN_LINES = 500_000
-
-_BASE = np.uint64(0xD1342543DE82EF95)  # odd, so that it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-_LINES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("lines", T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("node", T.LongType())])))])
-_ENTRIES = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", T.LongType()), T.StructField("indexed", T.BooleanType())])
+#: Records that a task sorts and sends at once.
+FLUSH = 1_000_000
+#: Columns of edit distances after which pairs beyond their limit go.
+COLUMNS = 32
+#: Nodes of a bucket up to which its pairs are candidates at once.
+SMALL = 256
+#: Records of one bucket in one flush beyond which they are spread over all tasks.
+HOT = 256
+
+_BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse modulo 2**64
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: low and high: 40 bits of the bucket; kind: flags, and the class of lengths from the third bit on; what doesn't fit
+#: into at and size is _LARGE, which rules nothing out.
+_RECORD = np.dtype([("low", "<u4"), ("high", "u1"), ("kind", "u1"), ("node", "<i8"), ("at", "<u2"), ("size", "<u2")])
+_INDEXED, _SPREAD, _CLASS, _LARGE = 1, 2, 4, 0xFFFF
+
+_LINE = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("tie", "<i8"), ("line_no", "<i4"), ("node", "<i8")])
+_PACKS = T.StructType([T.StructField("to", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("spread", T.BooleanType()), T.StructField("records", T.BinaryType())])
+_FOUND = T.StructType([T.StructField("kind", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("bucket", "a", "b", "doc_id", "tie")), T.StructField("line_no", T.IntegerType()), T.StructField("node", T.LongType())])
+#: Kinds of rows that tasks find: lines of documents, candidate pairs (a, b), members (bucket, a) of large buckets.
+LINE, PAIR, MEMBER = range(3)
 _TEXTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("payload", T.BinaryType())])
 
 
@@ -77,42 +95,39 @@ def limit_of(size: int) -> int:
     return CLASSES[bisect_right(CLASSES, size, key=lambda c: c[0]) - 1][1]
 
 
-class Rolling:
-    """Hashes of any substrings of many lines, from prefix sums of a polynomial modulo 2**64."""
-
-    def __init__(self, lines: list[str]):
-        self.sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64) if len(lines) else np.empty(0, np.int64)
-        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        n = len(codes)
-        with np.errstate(over="ignore"):
-            powers, inverses = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
-            powers[1:], inverses[1:] = _BASE, _INVERSE
-            powers, self.inverses = np.cumprod(powers), np.cumprod(inverses)
-            self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(codes) * powers[:n], dtype=np.uint64)])
-
-    def of(self, line: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Hash of characters start to stop of each line."""
-        a, b = self.starts[line] + start, self.starts[line] + stop
-        with np.errstate(over="ignore"):
-            return mix((self.prefix[b] - self.prefix[a]) * self.inverses[a] + (stop - start).astype(np.uint64))
-
-    def nodes(self) -> np.ndarray:
-        every = np.arange(len(self.sizes))
-        return self.of(every, np.zeros(len(every), np.int64), self.sizes).view(np.int64)
-
-
-def entries(rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, line, indexed) of every line: its own segments, and the substrings that it looks up."""
-    parts = [_segments(rolling)]
-    own = np.searchsorted(_LOWS, rolling.sizes, "right") - 1  # -1: lines under LONG_CHARS
-    for c in np.unique(own[own >= 0]).tolist():
-        parts.append(_winnowed(rolling, np.flatnonzero(own == c), c, True))
-        if c:  # a match may be of the class below
-            near = np.flatnonzero((own == c) & (rolling.sizes - CLASSES[c - 1][1] < CLASSES[c][0]))
-            parts.append(_winnowed(rolling, near, c - 1, False))
-    buckets, lines, indexed = zip(*parts, strict=True)
-    return np.concatenate(buckets), np.concatenate(lines), np.concatenate(indexed)
+_LIMITS = np.array([limit_of(n) for n in range(_LARGE + 1)])
+_CLASS_LIMITS = np.array([EDITS, *(limit for _, limit in CLASSES)])
+
+
+def node_of(line: str) -> int:
+    """A line's 64-bit name."""
+    n = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+    return n - (1 << 64) if n >> 63 else n
+
+
+# --- index entries and probes ----------------------------------------------------------------------------------------
+
+
+def _codes(lines: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _substrings(codes: np.ndarray, chars: int) -> np.ndarray:
+    """A polynomial modulo 2**64 of every run of ``chars`` codes, from runs of 1, 2, 4, ..."""
+    power = lambda n: np.uint64(pow(_BASE, n, 1 << 64))
+    span, width, whole, done = (codes + np.uint64(1)) * _ODD, 1, None, 0
+    while True:
+        if chars & width:
+            n = len(codes) - done - width + 1
+            whole = span[:n].copy() if whole is None else whole[:n] * power(width) + span[done : done + n]
+            done += width
+        if 2 * width > chars:
+            return whole
+        span, width = span[:-width] * power(width) + span[width:], 2 * width
 
 
 def _slide(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -123,155 +138,462 @@ def _slide(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return op(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
-def _winnowed(rolling: Rolling, which: np.ndarray, c: int, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Buckets, places in the list of lines, places in the line, kinds.
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _winnowed(lines: list[str], sizes: np.ndarray, which: np.ndarray, c: int, own: bool) -> Entries:
     """Entries of the lines ``which`` in class c; they are indexed there if it is their own."""
     low, limit = CLASSES[c]
     whole = low // (limit + 1)  # characters that a match leaves in one piece, at least
-    chars = min(20, max(12, whole // 2))
+    chars = min(16, max(12, whole // 2))
     window = whole - chars + 1
-    if not len(which):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    count = rolling.sizes[which] - chars + 1
-    ends = np.cumsum(count + 1)  # a zero ends each line, so that no window over two lines counts
-    line = np.repeat(which, count + 1)
-    at = np.arange(ends[-1]) - np.repeat(ends - count - 1, count + 1)
-    inside = np.ones(len(at), bool)
-    inside[ends - 1] = False
-    hashes = np.zeros(len(at), np.uint64)
-    hashes[inside] = rolling.of(line[inside], at[inside], at[inside] + chars) | np.uint64(1)
-    least = np.pad(_slide(hashes, window, np.minimum), window - 1)
-    chosen = (_slide(least, window, np.maximum) == hashes) & inside
-    line, at, hashes = line[chosen], at[chosen], hashes[chosen]
+    sizes, codes = sizes[which], _codes([lines[i] for i in which.tolist()])
+    poly = _substrings(codes, chars)
+    rank = (poly * _ODD >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    starts = _starts(sizes)
+    ends = starts + sizes
+    # a run over two lines has rank 0, so that no window with one counts
+    rank[(ends[:-1, None] - np.arange(1, chars)).ravel()] = 0
+    least = _slide(rank, window, np.minimum)
+    most = _slide(np.pad(least, window - 1), window, np.maximum)
+    chosen = np.flatnonzero((most == rank) & (rank > 0))
+    line = np.searchsorted(ends, chosen, "right")
+    at = chosen - starts[line]
     cell = CELL_LIMITS * limit
     home = at // cell
-    places = [(home, np.ones(len(at), bool))] + [(other, other != home) for other in ((at - limit) // cell, (at + limit) // cell)]
-    buckets, lines, indexed = [], [], []
-    for n, (place, ok) in enumerate(places):
-        ok = ok & (place >= 0)
-        key = mix(hashes[ok] ^ mix((place[ok] * 64 + c).astype(np.uint64) + np.uint64(1 << 60))).view(np.int64)
-        _, first = np.unique(key ^ mix(line[ok].astype(np.uint64)).view(np.int64), return_index=True)  # a line may repeat itself
-        buckets.append(key[first])
-        lines.append(line[ok][first])
-        indexed.append(np.full(len(first), own and n == 0))
-    return np.concatenate(buckets), np.concatenate(lines), np.concatenate(indexed)
-
-
-def _segments(rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries of lines for partners under ``LONG_CHARS`` characters."""
-    line = np.arange(len(rolling.sizes))
-    size, parts = rolling.sizes, EDITS + 1
-    buckets, lines, indexed = [], [], []
+    out = []
+    for n, place in enumerate((home, (at - limit) // cell, (at + limit) // cell)):
+        ok = np.flatnonzero((place >= 0) & ((place != home) | (n == 0)))
+        key = mix(poly[chosen[ok]] ^ mix((place[ok] * 64 + c).astype(np.uint64) + np.uint64(1 << 60)))
+        out.append((key, which[line[ok]], at[ok], np.full(len(ok), (c + 1) * _CLASS + (_INDEXED if own and n == 0 else 0), np.uint8)))
+    return _together(out)
+
+
+def _segments(lines: list[str], sizes: np.ndarray, which: np.ndarray) -> Entries:
+    """Entries of the lines ``which`` for partners under ``LONG_CHARS`` characters."""
+    codes, size, parts = _codes([lines[i] for i in which.tolist()]), sizes[which], EDITS + 1
+    starts = _starts(size)
+    powers = np.full(len(codes) + 1, _BASE, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(codes.astype(np.uint64)) * powers[:-1], dtype=np.uint64)])
+    out = []
     for shorter in range(EDITS + 1):
         length = size - shorter
         short, long_ = length // parts, parts - length % parts  # the first ``long_`` segments have ``short`` characters
         for i in range(parts):
             start = i * short + np.maximum(0, i - long_)
             chars = short + (i >= long_)
-            low = max(-i, shorter - (EDITS - i))
-            high = min(i, shorter + (EDITS - i))
-            for move in range(low, high + 1):
+            for move in range(max(-i, shorter - (EDITS - i)), min(i, shorter + (EDITS - i)) + 1):
                 at = start + move
-                ok = (at >= 0) & (at + chars <= size) & (length >= MIN_CHARS) & (length < LONG_CHARS)
-                which = line[ok]
-                with np.errstate(over="ignore"):
-                    key = mix(rolling.of(which, at[ok], at[ok] + chars[ok]) ^ mix((length[ok] * parts + i).astype(np.uint64)))
-                buckets.append(key.view(np.int64))
-                lines.append(which)
-                indexed.append(np.full(len(which), shorter == 0 and move == 0))
-    return np.concatenate(buckets), np.concatenate(lines), np.concatenate(indexed)
+                ok = np.flatnonzero((at >= 0) & (at + chars <= size) & (length >= MIN_CHARS) & (length < LONG_CHARS))
+                a, n = starts[ok] + at[ok], chars[ok]
+                sums = (prefix[a + n] - prefix[a]) * powers[len(codes) - a]  # as if it stood at the end, whatever its place
+                base = np.uint64(pow(_BASE, -len(codes), 1 << 64))  # nor does the number of characters at hand count
+                key = mix(mix(sums * base) ^ mix((length[ok] * parts + i).astype(np.uint64)))
+                out.append((key, which[ok], at[ok], np.full(len(ok), _INDEXED if shorter == 0 and move == 0 else 0, np.uint8)))
+    return _together(out)
+
+
+def _together(parts: list[Entries]) -> Entries:
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def entries(lines: list[str]) -> Entries:
+    """What every line is indexed under, and what it looks up."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    parts = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8))]
+    own = np.searchsorted(_LOWS, sizes, "right") - 1  # -1: lines under LONG_CHARS
+    with np.errstate(over="ignore"):
+        if len(short := np.flatnonzero((sizes >= MIN_CHARS) & (sizes < LONG_CHARS + EDITS))):
+            parts.append(_segments(lines, sizes, short))
+        for c in np.unique(own[own >= 0]).tolist():
+            parts.append(_winnowed(lines, sizes, np.flatnonzero(own == c), c, True))
+            if c:  # a match may be of the class below
+                near = np.flatnonzero((own == c) & (sizes - CLASSES[c - 1][1] < CLASSES[c][0]))
+                if len(near):
+                    parts.append(_winnowed(lines, sizes, near, c - 1, False))
+    return _together(parts)
+
+
+def _firsts(sorted_: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Where runs of equal items begin."""
+    differ = np.zeros(max(0, len(sorted_) - 1), bool)
+    for x in (sorted_, *more):
+        differ |= x[1:] != x[:-1]
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(sorted_)), bool), differ]))
+
+
+def _shared(sorted_: np.ndarray) -> np.ndarray:
+    """Which items occur more than once."""
+    out = np.zeros(len(sorted_), bool)
+    same = sorted_[1:] == sorted_[:-1]
+    out[1:] = same
+    out[:-1] |= same
+    return out
+
+
+def _repeated(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the rows, sorted by bucket, repeat a line in a bucket, and which are the ones that they repeat; those get all their kinds."""
+    again, kept = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+    order = np.lexsort((rows["node"], bucket))
+    first = _firsts(bucket[order], rows["node"][order])
+    times = np.diff(np.append(first, len(order)))
+    again[order] = True
+    again[order[first]] = False
+    kept[order[first[times > 1]]] = True
+    if len(first):
+        rows["kind"][order[first]] = np.bitwise_or.reduceat(rows["kind"][order], first)
+    return again, kept
+
+
+class Packs:
+    """Collects lines and gives packs (to, part, spread, records) for ``parts`` partitions."""
+
+    def __init__(self, parts: int, turn: int):
+        self.parts, self.turn = parts, turn
+        self._empty()
+
+    def _empty(self) -> None:
+        self.nodes: set[int] = set()
+        self.held: list[tuple] = [tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.uint16, np.uint16, np.uint8))]
+        self.size = 0
+
+    def add(self, lines: list[str], nodes: np.ndarray) -> None:
+        """Lines that have come since the last flush make no entries again."""
+        fresh = {n: s for n, s in zip(nodes.tolist(), lines, strict=True) if n not in self.nodes and len(s) >= MIN_CHARS}
+        if not fresh:
+            return
+        self.nodes.update(fresh)
+        lines, nodes = list(fresh.values()), np.fromiter(fresh, np.int64, len(fresh))
+        sizes = np.minimum(np.fromiter(map(len, lines), np.int64, len(lines)), _LARGE)
+        key, which, at, kind = entries(lines)
+        self.held.append((key, nodes[which], np.minimum(at, _LARGE).astype(np.uint16), sizes[which].astype(np.uint16), kind))
+        self.size += len(key)
+
+    def flush(self) -> list[pa.RecordBatch]:
+        key, *columns = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self._empty()
+        order = np.argsort(key)
+        key = key[order]
+        rows = np.empty(len(key), _RECORD)
+        rows["low"], rows["high"] = key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint8)
+        for name, x in zip(("node", "at", "size", "kind"), columns, strict=True):
+            rows[name] = x[order]
+        part = ((key >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
+        first = _firsts(key)
+        run = np.diff(np.append(first, len(key)))
+        begin = np.flatnonzero(run > HOT)
+        out = []
+        if len(begin):
+            hot = np.repeat(run > HOT, run)
+            to = (self.turn + np.arange(len(begin))) % self.parts
+            self.turn += len(begin)
+            out.append(self._batch(to, part[first[begin]], True, rows[hot], np.concatenate([[0], np.cumsum(run[begin])])))
+            hot[first[begin]] = False  # one stays as a mark, so that the bucket's other records join those that were spread
+            rows["kind"][first[begin]] |= _SPREAD
+            rows, part = rows[~hot], part[~hot]
+        ends = np.searchsorted(part, np.arange(self.parts + 1))
+        some = np.flatnonzero(np.diff(ends))
+        out.append(self._batch(some, some, False, rows, np.append(ends[some], len(rows))))
+        return out
+
+    @staticmethod
+    def _batch(to: np.ndarray, part: np.ndarray, spread: bool, rows: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+        offsets = (cuts * _RECORD.itemsize).astype("<i4")
+        records = pa.Array.from_buffers(pa.binary(), len(to), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array([spread] * len(to), pa.bool_()), records], names=["to", "part", "spread", "records"])
+
+
+# --- candidates ------------------------------------------------------------------------------------------------------
+
+
+def _bucket(records: np.ndarray, part: int) -> np.ndarray:
+    return records["low"].astype(np.uint64) | (records["high"].astype(np.uint64) << np.uint64(32)) | np.uint64(part << 40)
+
+
+def _by_length(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, node), each large bucket by cells of length, such that lines within the limit share one."""
+    size, limit = rows["size"].astype(np.int64), _CLASS_LIMITS[rows["kind"] // _CLASS]
+    width = 8 * limit
+    home, above = size // width, np.minimum(size + limit, _LARGE) // width
+    at = np.concatenate([np.arange(len(rows)), np.flatnonzero(home != above)])
+    cell = np.concatenate([home, above[home != above]])
+    return mix(mix(bucket[at]) + cell.astype(np.uint64)).view(np.int64), rows["node"][at]
+
+
+def _pairs(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (sorted by bucket) of one bucket, one of which is indexed, whose places and lengths fit."""
+    size, at, indexed = rows["size"].astype(np.int64), rows["at"].astype(np.int64), rows["kind"] & _INDEXED > 0
+    left, right = [], []
+    first = _firsts(bucket)
+    count = np.diff(np.append(first, len(rows)))
+    stop = np.repeat(first + count, count)
+    i, step = np.arange(len(rows)), 0
+    while True:
+        step += 1
+        i = i[i + step < stop[i]]
+        if not len(i):
+            break
+        j = i + step
+        limit = _LIMITS[np.minimum(size[i], size[j])]
+        longer, shift = size[j] - size[i], at[j] - at[i]
+        unknown = (at[i] == _LARGE) | (at[j] == _LARGE)
+        ok = np.where(unknown, np.abs(longer), np.abs(shift) + np.abs(longer - shift)) <= limit
+        ok |= (size[i] == _LARGE) | (size[j] == _LARGE)
+        ok &= indexed[i] | indexed[j]
+        left.append(i[ok])
+        right.append(j[ok])
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = rows["node"][np.concatenate(left)], rows["node"][np.concatenate(right)]
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    _, one = np.unique(mix(a.view(np.uint64)) * np.uint64(3) + mix(b.view(np.uint64)), return_index=True)
+    return a[one], b[one]
+
+
+def candidates(packs: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b) of candidate pairs, and (bucket, node) of the members of large buckets, from (part, records)."""
+    bucket = np.concatenate([np.empty(0, np.uint64), *(_bucket(r, p) for p, r in packs)])
+    order = np.argsort(bucket)
+    bucket = bucket[order]
+    shared = _shared(bucket)
+    bucket = bucket[shared]
+    rows = np.concatenate([np.empty(0, _RECORD), *(r for _, r in packs)])[order[shared]]
+    if not len(rows):
+        return (np.empty(0, np.int64),) * 4
+    (again, several), first = _repeated(bucket, rows), _firsts(bucket)
+    count, kind = np.diff(np.append(first, len(rows))), np.bitwise_or.reduceat(rows["kind"], first)
+    lines = np.add.reduceat(~again, first, dtype=np.int64)
+    large = np.repeat((lines > SMALL) & (kind & _INDEXED > 0) | (kind & _SPREAD > 0), count)
+    name, node = _by_length(bucket[large], rows[large])
+    small = ~large & ~again
+    rows["at"][several] = _LARGE  # a line that holds a substring more than once is at no certain place
+    return *_pairs(bucket[small], rows[small]), name, node
+
+
+# --- edit distance ---------------------------------------------------------------------------------------------------
 
 
 def distance(a: str, b: str, limit: int = EDITS) -> int:
-    """Edit distance of a and b, or limit + 1 if it is larger.
+    """Edit distance of a and b, or limit + 1 if it is larger: banded and bit-parallel.
 
-    reach[d] is how far into a one comes with e edits, if b is d characters ahead; equal runs cost a step each, so that
-    the time grows with the square of the limit, and hardly with the length.
+    Bit limit + d of the words stands for the cell of the column whose row is d further on; all words move down a row
+    with each column. The distance is followed along the diagonal that ends in the last cell.
     """
-    if abs(len(a) - len(b)) > limit:
+    ahead = len(a) - len(b)
+    if abs(ahead) > limit:
         return limit + 1
-    end, goal = len(a), len(b) - len(a)
-    reach = {0: _run(a, b, 0, 0)}
-    if not goal and reach[0] == end:
-        return 0
-    for e in range(1, limit + 1):
-        new, left = {}, limit - e
-        for d in range(max(-e, goal - left), min(e, goal + left) + 1):  # others can't come back to the goal
-            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -1), reach.get(d + 1, -2) + 1)
-            i = min(i, end, len(b) - d)
-            if i >= 0 and i + d >= 0:
-                new[d] = i + _run(a, b, i, i + d)
-        if new.get(goal) == end:
-            return e
-        reach = new
-    return limit + 1
-
-
-def _run(a: str, b: str, i: int, j: int) -> int:
-    """Characters that a from i and b from j have in common."""
-    start, most, step = i, min(len(a) - i, len(b) - j), 1
-    while i - start < most:
-        step = min(step, most - (i - start))
-        if a[i : i + step] == b[j : j + step]:
-            i, j, step = i + step, j + step, step * 4
-        elif step == 1:
+    band = (1 << (2 * limit + 2)) - 1
+    masks: dict[str, int] = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << (i + limit + 1)
+    vp, vn, at, score = band ^ ((1 << (limit + 1)) - 1), 0, limit + 1 + ahead, max(ahead, 0)
+    for j, x in enumerate(b):
+        match = (masks.get(x, 0) >> j) & band
+        zero = ((((match & vp) + vp) ^ vp) | match | vn) & band
+        hp, hn = vn | (~(zero | vp) & band), zero & vp
+        score += 1 - (zero >> at & 1)
+        vp, vn = hn | (~(zero >> 1 | hp) & band), zero >> 1 & hp
+    return min(score, limit + 1)
+
+
+def _bulk(a: list[np.ndarray], b: list[np.ndarray], limit: int) -> np.ndarray:
+    """The same for many pairs of lines as code points, with one 64-bit word each; limit is 31 at most.
+
+    A distance never falls along its diagonal, so pairs that are beyond the limit go every ``COLUMNS`` columns.
+    """
+    n = max(max(map(len, a)), max(map(len, b)))
+    ahead = np.array([len(x) - len(y) for x, y in zip(a, b, strict=True)], np.int64)
+    # both go on with the same character, which leaves the distance as it is
+    left, right = np.full((len(a), n + 2 * limit), 1 << 30, np.uint32), np.full((len(a), n), 1 << 30, np.uint32)
+    left[:, :limit] = 1 << 31
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        left[i, limit : limit + len(x)] = x
+        right[i, : len(y)] = y
+    out, which = np.full(len(a), limit + 1, np.int64), np.arange(len(a))
+    vp = np.full(len(a), ((1 << 64) - 1) ^ ((1 << (63 - limit)) - 1), np.uint64)
+    vn = np.zeros(len(a), np.uint64)
+    at, score, one = (63 - limit + ahead).astype(np.uint64), np.maximum(ahead, 0), np.uint64(1)
+    for start in range(0, n, COLUMNS):
+        stop = min(n, start + COLUMNS)
+        text, pattern = np.ascontiguousarray(right[which, start:stop].T), np.ascontiguousarray(left[which, start : stop + 2 * limit].T)
+        match = np.zeros(text.shape, np.uint64)
+        for d in range(2 * limit + 1):
+            match |= (pattern[d : d + stop - start] == text).astype(np.uint64) << np.uint64(63 - 2 * limit + d)
+        same = np.zeros(len(which), np.uint64)
+        for x in match:
+            zero = (((x & vp) + vp) ^ vp) | x | vn
+            hp, hn = vn | ~(zero | vp), zero & vp
+            same += (zero >> at) & one
+            zero >>= one
+            vp, vn = hn | ~(zero | hp), zero & hp
+        score = score + (stop - start) - same.astype(np.int64)
+        on = score <= limit
+        which, vp, vn, at, score = which[on], vp[on], vn[on], at[on], score[on]
+        if not len(which):
             break
-        else:
-            step = max(1, step // 4)
-            while step > 1 and a[i : i + step] != b[j : j + step]:
-                step //= 2
-    return i - start
+    out[which] = score
+    return out
+
+
+def _middle(a: str, b: str) -> tuple[str, str]:
+    """a and b without what they begin and end with in common, which is no part of a distance."""
+    x, y = _codes([a]), _codes([b])
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    start = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(x[len(x) - n + start :][::-1] != y[len(y) - n + start :][::-1])
+    end = int(differ[0]) if len(differ) else n - start
+    return a[start : len(a) - end], b[start : len(b) - end]
+
+
+def distances(a: list[str], b: list[str], limits: np.ndarray) -> np.ndarray:
+    """Edit distance of each pair, or its limit + 1 if that is smaller."""
+    out = limits + 1
+    sizes, other = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    most = np.maximum(sizes, other)
+    open_ = np.flatnonzero(np.abs(sizes - other) <= limits)
+    for limit in np.unique(limits[open_]).tolist():
+        which = open_[limits[open_] == limit]
+        which = which[np.argsort(most[which], kind="stable")].tolist()
+        if limit > 31:
+            for i in which:
+                out[i] = distance(*_middle(a[i], b[i]), limit)
+            continue
+        while which:
+            n = max(1, 1_000_000 // int(most[which[-1]]))
+            part, which = which[-n:], which[:-n]
+            out[part] = _bulk([_codes([a[i]]) for i in part], [_codes([b[i]]) for i in part], limit)
+    return out
+
+
+def _text(x: bytes) -> str:
+    return x.decode("utf-8", "surrogatepass")
+
+
+def near_pairs(a: list[bytes], b: list[bytes]) -> list[bool]:
+    left, right = list(map(_text, a)), list(map(_text, b))
+    limits = np.array([limit_of(min(len(x), len(y))) for x, y in zip(left, right, strict=True)], np.int64)
+    apart = [np.empty(0, np.int64)]
+    for start, stop in batches_of(left):
+        apart.append(np.abs(_counts(left[start:stop]) - _counts(right[start:stop])).sum(axis=1))
+    near = np.zeros(len(left), bool)
+    open_ = np.flatnonzero(np.concatenate(apart) <= 2 * limits)  # n edits change 2 n counts at most
+    near[open_] = distances([left[i] for i in open_], [right[i] for i in open_], limits[open_]) <= limits[open_]
+    return near.tolist()
+
+
+def _counts(lines: list[str]) -> np.ndarray:
+    """How often each line has characters of each of 64 kinds."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    owner = np.repeat(np.arange(len(lines), dtype=np.int64) * 64, sizes)
+    return np.bincount(owner + (_codes(lines) & np.uint32(63)), minlength=64 * len(lines)).reshape(len(lines), 64)
+
+
+def near_cells(a: list[bytes], b: list[bytes], asked: np.ndarray | None = None) -> np.ndarray:
+    """The same for all of a against all of b (or those asked for); only those are compared whose counts of characters n edits could make equal."""
+    left, right = list(map(_text, a)), list(map(_text, b))
+    out = np.zeros((len(left), len(right)), bool)
+    sizes, counts = np.array([len(y) for y in right]), _counts(right)
+    limits = np.array([limit_of(n) for n in sizes])
+    rows, columns, most = [], [], []
+    for i, (x, own) in enumerate(zip(left, _counts(left), strict=True)):
+        limit = np.minimum(limits, limit_of(len(x)))  # that of the shorter, as limits grow with the length
+        fits = np.abs(sizes - len(x)) <= limit
+        fits = np.flatnonzero(fits if asked is None else fits & asked[i])
+        fits = fits[np.abs(counts[fits] - own).sum(axis=1) <= 2 * limit[fits]]
+        rows.append(np.full(len(fits), i))
+        columns.append(fits)
+        most.append(limit[fits])
+    row, column, limit = (np.concatenate(x) for x in (rows, columns, most))
+    out[row, column] = distances([left[i] for i in row.tolist()], [right[j] for j in column.tolist()], limit) <= limit
+    return out
 
 
 # --- on tables -------------------------------------------------------------------------------------------------------
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tie, lines) of every document: number and node of each line that takes part."""
+def _lines(docs: pa.Array, ties: pa.Array, texts: list) -> tuple[np.ndarray, list[str]]:
+    """Records (of type ``_LINE``) of the lines that take part, and the lines."""
+    cut = [split_lines(t) for t in texts]
+    lines = [s for each in cut for _, s in each]
+    out, counts = np.empty(len(lines), _LINE), [len(each) for each in cut]
+    null = docs.is_null().to_numpy(zero_copy_only=False)
+    out["doc_id"], out["null"] = np.repeat(docs.fill_null(0).to_numpy(), counts), np.repeat(null, counts)
+    out["tie"] = np.repeat(ties.to_numpy(), counts)
+    out["line_no"] = np.fromiter((i for each in cut for i, _ in each), np.int32, len(lines))
+    out["node"] = np.fromiter(map(node_of, lines), np.int64, len(lines))
+    return out, lines
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in batches_of(texts):
-                cut = [split_lines(t) for t in texts[a:b]]
-                nodes = Rolling([s for lines in cut for _, s in lines]).nodes()
-                numbers = np.array([i for lines in cut for i, _ in lines], np.int32)
-                ends = np.concatenate([[0], np.cumsum([len(lines) for lines in cut])]).astype(np.int32)
-                pairs = pa.StructArray.from_arrays([pa.array(numbers), pa.array(nodes)], names=["line_no", "node"])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["doc_id", "tie", "lines"])
-        give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text")).mapInArrow(run, _LINES)
+def _linkable(texts: list) -> list[str]:
+    return [s for t in texts for _, s in split_lines(t) if len(s) >= MIN_CHARS]
 
 
-def _fresh(texts: list, seen: set) -> tuple[Rolling, list[str], np.ndarray, np.ndarray]:
-    """The texts' lines that may have edit links, their hashes, their nodes, and the places of lines that weren't seen before."""
-    lines = [s for t in texts for _, s in split_lines(t) if len(s) >= MIN_CHARS]
-    rolling = Rolling(lines)
-    nodes = rolling.nodes()
-    distinct, first = np.unique(nodes, return_index=True)
-    new = np.array([i for n, i in zip(distinct.tolist(), first.tolist(), strict=True) if n not in seen], np.int64)
-    if len(seen) > SEEN_LINES:
-        seen.clear()
-    seen.update(nodes[new].tolist())
-    return rolling, lines, nodes, new
+def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of the kinds ``LINE``, ``PAIR`` and ``MEMBER``; docs are read once."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def pack(batches):
+        first = TaskContext.get().partitionId()
+        packs, held, turn = Packs(parts, first), [], first
 
-def _entries_of(docs: DataFrame) -> DataFrame:
-    """(bucket, node, indexed) of the distinct lines of docs (text); a line may come from several tasks."""
+        def lines_so_far():
+            to = pa.array([turn % parts], pa.int32())
+            return pa.RecordBatch.from_arrays([to, pa.array([-1], pa.int32()), pa.array([False]), pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["to", "part", "spread", "records"])
 
-    def run(batches):
-        seen: set = set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in batches_of(texts):
-                _, lines, nodes, new = _fresh(texts[a:b], seen)
-                if len(new):
-                    buckets, which, indexed = entries(Rolling([lines[i] for i in new]))
-                    yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(nodes[new][which]), pa.array(indexed)], names=["bucket", "node", "indexed"])
-        seen.clear()
+                records, lines = _lines(batch.column(0)[a:b], batch.column(1)[a:b], texts[a:b])
+                packs.add(lines, records["node"])
+                held.append(records)
+                if sum(map(len, held)) >= FLUSH // 8:
+                    yield lines_so_far()
+                    held, turn = [], turn + 1
+                if packs.size >= FLUSH:
+                    yield from packs.flush()
+        if held:
+            yield lines_so_far()
+        yield from packs.flush()
+        give_back()
+
+    def rows(kind: int, **columns: pa.Array) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        columns["kind"] = pa.array(np.full(n, kind, np.int32))
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
+
+    def meet(batches):
+        packs = []
+        for batch in batches:
+            for part, spread, records in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if part < 0:
+                    x = np.frombuffer(records.as_buffer(), _LINE)
+                    yield rows(LINE, doc_id=pa.array(x["doc_id"], mask=x["null"] > 0), tie=pa.array(x["tie"]), line_no=pa.array(x["line_no"]), node=pa.array(x["node"]))
+                    continue
+                x = np.frombuffer(records.as_buffer(), _RECORD)
+                if spread:
+                    bucket, node = _by_length(_bucket(x, part), x)
+                    yield rows(MEMBER, bucket=pa.array(bucket), a=pa.array(node))
+                else:
+                    packs.append((part, x))
+        a, b, bucket, node = candidates(packs)
+        packs.clear()
+        yield rows(PAIR, a=pa.array(a), b=pa.array(b))
+        yield rows(MEMBER, bucket=pa.array(bucket), a=pa.array(node))
         give_back()
 
-    return docs.mapInArrow(run, _ENTRIES)
+    arrow = pa.schema([(f.name, pa.int32() if f.dataType == T.IntegerType() else pa.int64()) for f in _FOUND])
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    return read.mapInArrow(pack, _PACKS).repartitionById(parts, F.col("to")).mapInArrow(meet, _FOUND)
+
+
+def _merged(members: DataFrame) -> DataFrame:
+    """(bucket, node) where buckets of the same nodes are one, as those of a long substring's parts are: they are named by a hash of their nodes."""
+    names = members.groupBy("bucket").agg(F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("node")), F.sum(F.hash("node"))).alias("name"))
+    return members.join(names, "bucket").select(F.col("name").alias("bucket"), "node").distinct()
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -279,70 +601,31 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.of(wanted, "node"))
 
     def run(batches):
-        flags, seen = shared.value, set()
+        flags = shared.value
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in batches_of(texts):
-                _, lines, nodes, new = _fresh(texts[a:b], seen)
-                new = new[bitmap.may_hold(flags, nodes[new])]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[new]), pa.array([lines[i].encode("utf-8", "surrogatepass") for i in new], pa.binary())], names=["node", "payload"])
-        seen.clear()
+                lines = list(set(_linkable(texts[a:b])))
+                nodes = np.fromiter(map(node_of, lines), np.int64, len(lines))
+                some = np.flatnonzero(bitmap.may_hold(flags, nodes))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array([lines[i].encode("utf-8", "surrogatepass") for i in some.tolist()], pa.binary())], names=["node", "payload"])
         give_back()
 
     return docs.mapInArrow(run, _TEXTS).join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _near(a: str, b: str) -> bool:
-    limit = limit_of(min(len(a), len(b)))
-    return distance(a, b, limit) <= limit
-
-
-def near_pairs(a: list[bytes], b: list[bytes]) -> list[bool]:
-    text = lambda x: x.decode("utf-8", "surrogatepass")
-    return [_near(text(x), text(y)) for x, y in zip(a, b, strict=True)]
-
-
-def _counts(lines: list[str]) -> np.ndarray:
-    """How often each line has characters of each of 64 kinds."""
-    return np.array([np.bincount(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") & 63, minlength=64) for s in lines], np.int32).reshape(len(lines), 64)
-
-
-def near_cells(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """The same for all of a against all of b; only those are compared whose counts of characters n edits could make equal."""
-    left, right = ([x.decode("utf-8", "surrogatepass") for x in xs] for xs in (a, b))
-    out = np.zeros((len(left), len(right)), bool)
-    sizes, counts = np.array([len(y) for y in right]), _counts(right)
-    limits = np.array([limit_of(n) for n in sizes])
-    for i, (x, own) in enumerate(zip(left, _counts(left), strict=True)):
-        limit = np.minimum(limits, limit_of(len(x)))  # that of the shorter, as limits grow with the length
-        open_ = (np.abs(sizes - len(x)) <= limit) & (np.abs(counts - own).sum(axis=1) <= 2 * limit)
-        for j in np.flatnonzero(open_).tolist():
-            out[i, j] = _near(x, right[j])
-    return out
-
-
-def _shared(made: DataFrame) -> DataFrame:
-    """(bucket, node) of the buckets that hold an index entry and at least two lines: one shuffle, then one sort.
-
-    Buckets are named by a hash of their nodes, so those of the same nodes (near lines share many substrings) are one.
-    """
-    of = Window.partitionBy("bucket")
-    ends = made.select("bucket", "node", F.min("node").over(of).alias("low"), F.max("node").over(of).alias("high"), F.max("indexed").over(of).alias("indexed"))
-    kept = ends.where("low < high and indexed").select("bucket", "node").distinct()
-    name = F.xxhash64(F.count("*").over(of), F.bit_xor(F.xxhash64("node")).over(of))
-    return kept.select(name.alias("bucket"), "node").distinct()
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tie, line_no, class_doc, class_line) of every line that takes part; the class is named by its first occurrence."""
     texts = docs.select(F.col(text_col).alias("text"))
-    found = store.materialise(lines_of(docs, id_col, text_col), "lines")
-    made = store.materialise(_shared(_entries_of(texts)), "segments")
-    wanted = store.materialise(made.select("node").distinct(), "wanted")
-    table = store.materialise(_texts_of(texts, wanted), "line-texts")
-    comps = components.linked(made, table, near_pairs, near_cells)
-    each = found.select("doc_id", "tie", F.explode("lines").alias("l")).select("doc_id", "tie", "l.line_no", "l.node").distinct()
-    each = store.materialise(each.join(comps, "node", "left").select("doc_id", "tie", "line_no", F.coalesce("component", "node").alias("c")), "placed")
+    with store.scratch(docs.sparkSession) as kept:
+        made = store.materialise(found_in(docs, id_col, text_col), "found")
+        pairs = store.materialise(made.where(F.col("kind") == PAIR).select("a", "b").distinct(), "line-pairs")
+        members = store.materialise(_merged(made.where(F.col("kind") == MEMBER).select("bucket", F.col("a").alias("node")).distinct()), "line-members")
+        wanted = store.materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct(), "wanted")
+        table = store.materialise(_texts_of(texts, wanted), "line-texts")
+        comps = components.linked(members, table, near_pairs, near_cells, pairs)
+        each = made.where(F.col("kind") == LINE).select("doc_id", "tie", "line_no", "node")
+        each = kept(each.join(comps, "node", "left").select("doc_id", "tie", "line_no", F.coalesce("component", "node").alias("c"), "node").distinct().drop("node"), "placed")
     first = each.groupBy("c").agg(F.min(F.struct("doc_id", "line_no", "tie")).alias("f"))
     return each.join(first, "c").select("doc_id", "tie", "line_no", F.col("f")["doc_id"].alias("class_doc"), F.col("f")["line_no"].alias("class_line"), F.col("f")["tie"].alias("class_tie"))
 

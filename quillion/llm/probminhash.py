@@ -146,10 +146,10 @@ def near_pairs(a: list[bytes], b: list[bytes]) -> list[bool]:
     return [similarity(x, y) >= SIMILARITY for x, y in zip(a, b, strict=True)]
 
 
-def near_cells(a: list[bytes], b: list[bytes]) -> np.ndarray:
+def near_cells(a: list[bytes], b: list[bytes], asked: np.ndarray | None = None) -> np.ndarray:
     """The same for all of a against all of b: sums of smaller counts as products of 0-1 matrices.
 
-    The n-th occurrence of a shingle is a column of its own, so that a row of counts is a row of zeros and ones.
+    All are compared at once, whichever are asked for. The n-th occurrence of a shingle is a column of its own, so that a row of counts is a row of zeros and ones.
     """
     keys, rows = [], []
     for i, payload in enumerate([*a, *b]):
@@ -175,22 +175,23 @@ def near_cells(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tie, node, class_id) of every row of docs. ``tie`` is a hash of the text, which tells rows of one id apart."""
-    signed = store.materialise(sign(docs, id_col, text_col), "signed")
-    buckets = signed.where(F.col("node").isNotNull()).select("node", F.explode("bands").alias("bucket")).distinct()
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-    members = store.materialise(buckets.join(shared, "bucket", "left_semi"), "buckets")
-    wanted = store.materialise(members.select("node").distinct(), "nodes")
-    # one row of each node that is a candidate: the first by id
-    rows = signed.where(F.col("node").isNotNull()).join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tie")).alias("r"))
-    rows = store.materialise(rows.select(F.col("r")["doc_id"].alias("_id"), F.col("r")["tie"].alias("_tie")), "candidates")
-    flags = bitmap.of(rows.select(F.xxhash64("_id", "_tie").alias("key")), "key")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
-    texts = texts.where(bitmap.passes(docs.sparkSession, flags, F.xxhash64("doc_id", "tie")))  # else all texts would be shuffled
-    texts = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left_semi").select("text")
-    table = store.materialise(bags(texts).dropDuplicates(["node"]), "bags")
-    comps = components.linked(members, table, near_pairs, near_cells)
-    placed = signed.select("doc_id", "tie", "node").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    placed = store.materialise(placed.select("doc_id", "tie", "node", "c"), "placed")
+    with store.scratch(docs.sparkSession) as kept:
+        signed = store.materialise(sign(docs, id_col, text_col), "signed")
+        buckets = signed.where(F.col("node").isNotNull()).select("node", F.explode("bands").alias("bucket")).distinct()
+        shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
+        members = store.materialise(buckets.join(shared, "bucket", "left_semi"), "buckets")
+        wanted = store.materialise(members.select("node").distinct(), "nodes")
+        # one row of each node that is a candidate: the first by id
+        rows = signed.where(F.col("node").isNotNull()).join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tie")).alias("r"))
+        rows = store.materialise(rows.select(F.col("r")["doc_id"].alias("_id"), F.col("r")["tie"].alias("_tie")), "candidates")
+        flags = bitmap.of(rows.select(F.xxhash64("_id", "_tie").alias("key")), "key")
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+        texts = texts.where(bitmap.passes(docs.sparkSession, flags, F.xxhash64("doc_id", "tie")))  # else all texts would be shuffled
+        texts = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left_semi").select("text")
+        table = store.materialise(bags(texts).dropDuplicates(["node"]), "bags")
+        comps = components.linked(members, table, near_pairs, near_cells)
+        placed = signed.select("doc_id", "tie", "node").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        placed = kept(placed.select("doc_id", "tie", "node", "c"), "placed")
     ids = placed.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("class_id"))
     own = placed.where(F.col("c").isNull()).select("doc_id", "tie", "node", F.col("doc_id").alias("class_id"))
     return placed.join(ids, "c").select("doc_id", "tie", "node", "class_id").unionByName(own)

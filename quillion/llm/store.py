@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillion.sources.shared import fresh_path, materialise, shared_dir
+from quillion.sources.shared import fresh_path, materialise, scratch, shared_dir
+
+__all__ = ["documents", "free_name", "fresh_path", "has_rows", "held_out", "labelled_sample", "materialise", "scratch", "shared_dir"]
 
-__all__ = ["documents", "free_name", "fresh_path", "has_rows", "held_out", "labelled_sample", "materialise", "shared_dir"]
 
 def has_rows(df: DataFrame) -> bool:
     return bool(df.take(1))
@@ -33,9 +34,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, label) of about ``bound`` labelled rows at most, chosen by a hash of the id; held-out rows never appear.
 
-    Rows whose label, id or text is null take no part.
+    Rows whose label, id or text is null take no part; of several labels for one id, the largest counts.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where(~held_out(F.col("_id")) & F.col("label").isNotNull()).dropDuplicates(["_id"])
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where(~held_out(F.col("_id")) & F.col("label").isNotNull()).groupBy("_id").agg(F.max("label").alias("label"))
     n = known.count()
     parts = 1_000_000
     if n > bound:

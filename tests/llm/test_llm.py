@@ -48,15 +48,41 @@ def test_grammar_scopes():
     assert patterns("you are an idiot") == [4]
     assert patterns("we will kill it") == [8]
     assert patterns("kill the process") == [] and patterns("") == [] and patterns(None) == []
-    assert g.score("you idiot") > g.score("not an idiot") > g.score(None) > 0
-    assert g.clauses("fine. idiot idiot; ok") and g.clauses("fine. idiot idiot; ok")[0][0] == 1
+    assert g.score("you idiot") > g.score("such an idiot") > g.score('they said "idiot"') > g.score("not an idiot") > g.score(None) > 0
+    assert g.clauses("fine. idiot idiot; ok")[0][0] == 1 and len(g.clauses("an idiot. fine; you moron")) == 2
+    # one word, said in four ways, on both sides of the threshold
+    said = [g.score(t) >= 0.5 for t in ("you are scum, you scum. you idiot", "you are not scum. nor an idiot. never scum", '"you scum", he said, "you scum, you idiot', "fine")]
+    assert said == [True, False, False, False]
+    # threats are learned too; class words never become insults
+    g = toxicity.Grammar(words={"you": 5.0, "grok": 3.0}, harm={"zap": 4.0})
+    assert patterns("you will zap it") == [12] and patterns("zap it") == [] and patterns("you grok") == [4] and patterns("you") == []
+
+
+def test_score_is_that_of_the_clauses():
+    g = toxicity.Grammar(bias=-1.0)
+    text = "you idiot. not an idiot; he said scum! we will kill you? fine"
+    total = g.bias + sum(s for _, s in g.clauses(text))
+    assert abs(g.score(text) - 1 / (1 + np.exp(-total))) < 1e-12
+    flat = toxicity.Grammar(bias=-1.0)
+    object.__setattr__(flat, "patterns", np.full(toxicity.PATTERNS, toxicity.PRIOR[0]))  # as if context were nothing
+    texts = ["you idiot", "not an idiot", "he said scum, scum", "an idiot"]
+    assert [g.score(t) >= 0.5 for t in texts] != [flat.score(t) >= 0.5 for t in texts]
 
 
 def test_composition_follows_the_parts():
-    states = 1
-    for _, n in toxicity.TRANSDUCERS:
-        states *= n
-    assert len(toxicity.STEP) == len(toxicity.OUT) == 8 * states and max(toxicity.STEP) < states
+    """The composed machine against its parts run one by one, over random strings of classes."""
+    rng = random.Random(4)
+    for _ in range(300):
+        state, parts = 0, [0] * len(toxicity.TRANSDUCERS)
+        for _ in range(30):
+            symbol = rng.randrange(8)
+            negated, reported, aimed, modal = parts
+            kind = {toxicity.INSULT: 0, toxicity.HARM: 8 if modal else None}.get(symbol)
+            want = -1 if kind is None else kind + (negated > 0) + 2 * (reported > 0) + 4 * (aimed > 0)
+            assert toxicity.OUT[state * 8 + symbol] == want
+            state = toxicity.STEP[state * 8 + symbol]
+            parts = [f(x, symbol) for (f, _), x in zip(toxicity.TRANSDUCERS, parts, strict=True)]
+    assert len(toxicity.STEP) == len(toxicity.OUT) == 8 * 4 * 3 * 6 * 4
 
 
 def labelled(spark, n=400):
@@ -108,7 +134,7 @@ def test_scores_are_dot_products():
 
 # --- tokens ----------------------------------------------------------------------------------------------------------
 
-ODD = ["it's  a\t\ttest\n\n x 's '' ' 12a3 b4²", "", None, "\n\n \n a", " trailing", "trail ", "日本語 text", "a<|endoftext|> b", "don't'll 've é́ 's", "\na b\n", "\n", "a\n", "x\n(b) 12 1a!", "é à ÿ. ß", "a" * 50_000]
+ODD = ["it's  a\t\ttest\n\n x 's '' ' 12a3 b4²", "", None, "\n\n \n a", " trailing", "trail ", "日本語 text", "a<|endoftext|> b", "don't'll 've é́ 's", "\na b\n", "\n", "a\n", "x\n(b) 12 1a!", "é à ÿ. ß × ÷", "a" * 50_000, "", " ", " a b", "x" * 23 + " " + "x" * 24 + "\n" + "y" * 25 + ".", "(a). b, é. c,, d.", "., ;", "\x00 z\r"]
 
 
 def test_words_encode_as_wholes(tokenizer):
@@ -118,13 +144,15 @@ def test_words_encode_as_wholes(tokenizer):
             assert ids == np.asarray(e.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def test_word_cache_is_bounded(tokenizer, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+def test_word_table_is_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "KEEP", 50)
+    monkeypatch.setattr(tokens, "STAY", 30)
+    monkeypatch.setattr(tokens, "CHUNK", 300)
     e, rng = tokens.Encoder(tokenizer), random.Random(1)
     for _ in range(20):
-        texts = [" ".join(words(rng, 20, 10_000)) for _ in range(3)]
+        texts = [" ".join(w + rng.choice(["", "", ",", "."]) for w in words(rng, 20, 10_000)) + " plain, plain." for _ in range(3)]
         assert e.encode(texts) == [np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert len(e.now) <= 50 + 60
+    assert e.words.n <= 50 + 100
 
 
 def test_rans_round_trip():
@@ -167,7 +195,7 @@ def check_packing(rows, ids, limits):
     for r in rows:
         assert bytes(r["ids"]) == ids[r["row"]][4 * r["start"] : 4 * (r["start"] + r["length"])]
         by.setdefault(r["row"], []).append((r["start"], r["length"]))
-        seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["loss"]))
+        seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["loss"], r["start"] + r["length"] == r["doc_tokens"]))
     for row, pieces in by.items():
         at = 0
         for s, n in sorted(pieces):
@@ -176,10 +204,10 @@ def check_packing(rows, ids, limits):
         assert at == len(ids[row]) // 4
     for pieces in seq.values():
         at = 0
-        for o, n, _ in sorted(pieces):
+        for o, n, *_ in sorted(pieces):
             assert o == at
             at += n
-        assert at <= limits.tokens and len(pieces) <= limits.segments and sum(n for _, n, loss in pieces if loss) <= limits.loss_tokens
+        assert at <= limits.tokens and len(pieces) <= limits.segments and sum(n - end for _, n, loss, end in pieces if loss) <= limits.loss_tokens
     return seq
 
 
@@ -192,17 +220,18 @@ def test_packing_keeps_every_token(spark, tokenizer):
     e = tokens.Encoder(tokenizer)
     base = min(r["row"] for r in rows) & ~((1 << 36) - 1)
     ids = {base + i: x + b"\0\0\0\0" for i, x in enumerate(e.encode(texts))}
-    check_packing(rows, ids, limits)
+    seq = check_packing(rows, ids, limits)
+    assert any(sum(n for _, n, loss, _ in pieces if loss) > limits.loss_tokens for pieces in seq.values())  # the end id bears no loss
     assert packing.pack(empty(spark), tokenizer, 0).count() == 0
 
 
 def test_packing_wastes_little():
     rng = random.Random(1)
-    pieces = [(i, 0, max(1, min(1023, int(rng.lognormvariate(5.5, 1)))), True) for i in range(3000)]
+    pieces = [(i, 0, max(1, min(1023, int(rng.lognormvariate(5.5, 1)))), True, 1) for i in range(3000)]
     bins, _ = packing.pack_window(pieces, packing.Limits(), True)
     assert sum(p[2] for b in bins for p in b) == sum(p[2] for p in pieces)
     assert 1 - sum(p[2] for p in pieces) / (1024 * len(bins)) < 0.01
-    parts = packing.at_powers([(0, 0, 500, True), (1, 0, 200, True)])
+    parts = packing.at_powers([(0, 0, 500, True, 1), (1, 0, 200, True, 1)])
     assert [sum(p[2] for p in b) for b in parts] == [512, 128, 32, 16, 8, 4]
 
 
@@ -314,10 +343,66 @@ def edited(rng, text, n):
 
 def test_banded_distance():
     rng = random.Random(3)
+    pairs = []
     for _ in range(3000):
         a = "".join(rng.choice("ab") for _ in range(rng.randint(0, 9)))
         b = edited(rng, a, rng.randint(0, 3)) if a and rng.random() < 0.6 else "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))
         assert linededup.distance(a, b) == min(3, levenshtein(a, b))
+        pairs.append((a, b, rng.randint(0, 7)))
+    for limit in (15, 31, 32, 40):
+        for _ in range(20):
+            a = "".join(rng.choice("abcdé") for _ in range(rng.randint(30, 150)))
+            pairs.append((a, edited(rng, a, rng.randint(0, 50)), limit))
+    a, b, limits = zip(*pairs, strict=True)
+    assert linededup.distances(list(a), list(b), np.array(limits)).tolist() == [min(k + 1, levenshtein(x, y)) for x, y, k in pairs]
+
+
+def test_lines_of_large_buckets(spark, monkeypatch):
+    """Buckets over HOT records are spread, those over SMALL go by hub and cells; classes stay those of all links."""
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)).replace(" ", "x") for n in (40, 120, 400)]
+    lines = list({edited(rng, rng.choice(base), rng.randint(0, 7)) for _ in range(160)} | {"same passage of some words and more of it " + w * 3 for w in "".join(rng.choice("abc") for _ in range(60))})
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    every = [(i, j) for i in range(len(lines)) for j in range(i)]
+    limits = np.array([linededup.limit_of(min(len(lines[i]), len(lines[j]))) for i, j in every])
+    links = [every[k] for k in np.flatnonzero(linededup.distances([lines[i] for i, _ in every], [lines[j] for _, j in every], limits) <= limits)]
+    for i, j in links:
+        low, high = sorted((find(i), find(j)))
+        root[high] = low
+    for hot, small in ((3, 2), (10**9, 2), (3, 10**9), (10**9, 10**9)):
+        monkeypatch.setattr(linededup, "HOT", hot)
+        monkeypatch.setattr(linededup, "SMALL", small)
+        met, packs = {}, linededup.Packs(4, 1)
+        packs.add(lines, np.array([linededup.node_of(s) for s in lines]))
+        pairs, together = set(), {}
+        for batch in packs.flush():
+            for to, part, spread, records in zip(*(batch[c].to_pylist() for c in ("to", "part", "spread", "records")), strict=True):
+                records = np.frombuffer(records, linededup._RECORD)
+                if spread:
+                    for k, n in zip(*(x.tolist() for x in linededup._by_length(linededup._bucket(records, part), records)), strict=True):
+                        together.setdefault(n, set()).add(k)
+                else:
+                    met.setdefault(to, []).append((part, records))
+        for each in met.values():
+            a, b, bucket, node = linededup.candidates(each)
+            pairs |= set(zip(a.tolist(), b.tolist(), strict=True))
+            for k, n in zip(bucket.tolist(), node.tolist(), strict=True):
+                together.setdefault(n, set()).add(k)
+        assert bool(together) == (hot < 100 or small < 100)
+        nodes = [linededup.node_of(s) for s in lines]
+        for i, j in links:
+            x, y = sorted((nodes[i], nodes[j]))
+            assert (x, y) in pairs or together.get(x, set()) & together.get(y, set())
+    monkeypatch.setattr(components, "SMALL", 3)
+    monkeypatch.setattr(components, "CELL", 7)
+    found = {r["doc_id"]: r["class_doc"] for r in linededup.classes(documents(spark, lines)).collect()}
+    assert found == {i: find(i) for i in range(len(lines))}
 
 
 def test_lines_match_brute_force(spark):
@@ -376,9 +461,27 @@ def test_limit_grows_with_length(spark):
         root[high] = low
     assert sum(levenshtein(lines[i], lines[j]) > 2 for i, j in links if len(lines[i]) < 400) >= 20
     # each link by itself: an index entry of one is probed by the other
-    buckets, which, indexed = linededup.entries(linededup.Rolling(lines))
+    buckets, which, _, kind = linededup.entries(lines)
+    indexed = kind & 1 > 0
     made = [(set(buckets[which == i].tolist()), set(buckets[(which == i) & indexed].tolist())) for i in range(len(lines))]
     assert all(made[i][1] & made[j][0] or made[j][1] & made[i][0] for i, j in links)
+    # and places and lengths rule none of them out, whichever partition a record goes to
+    packs = linededup.Packs(3, 0)
+    packs.add(lines, np.array([linededup.node_of(s) for s in lines]))
+    met = {k: [] for k in range(3)}
+    for batch in packs.flush():
+        for to, part, records in zip(batch["to"].to_pylist(), batch["part"].to_pylist(), batch["records"].to_pylist(), strict=True):
+            met[to].append((part, np.frombuffer(records, linededup._RECORD)))
+    pairs, together = set(), {}
+    for each in met.values():
+        a, b, bucket, node = linededup.candidates(each)
+        pairs |= set(zip(a.tolist(), b.tolist(), strict=True))
+        for k, n in zip(bucket.tolist(), node.tolist(), strict=True):
+            together.setdefault(n, set()).add(k)
+    nodes = [linededup.node_of(s) for s in lines]
+    for i, j in links:
+        a, b = sorted((nodes[i], nodes[j]))
+        assert a == b or (a, b) in pairs or together.get(a, set()) & together.get(b, set())
     found = {r["doc_id"]: r["class_doc"] for r in linededup.classes(documents(spark, lines)).collect()}
     assert found == {i: find(i) for i in range(len(lines))}
     a, b = [s.encode() for s in lines[:60]], [s.encode() for s in lines[30:]]
@@ -441,14 +544,13 @@ def jaccard(a, b):
 
 def test_nearest_neighbours(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 200)
-    monkeypatch.setattr(ann, "GROUP", 5)
     rng = np.random.default_rng(0)
     x = rng.standard_normal((900, 32)).astype(np.float32)
     x[300:330] = x[0]  # equal vectors
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5050, [0.0] * 32), (5100, [float("nan")] * 32), (5150, [1.0]), (None, [1.0] * 32)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash"))
     found = {}
-    for r in ann.nearest(df.drop("id"), F.col("id") % 50 == 0).collect():
+    for r in ann.nearest(df, F.col("id") % 50 == 0).collect():
         found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     d = x.astype(float)
     n = np.sqrt((d * d).sum(axis=1))
@@ -461,8 +563,33 @@ def test_nearest_neighbours(spark, monkeypatch):
         assert all(abs(s - c[v]) < 1e-12 for v, s in got)
         hits += len({v for v, _ in got} & set(want.tolist()))
     assert hits / (18 * 5) >= 0.9 and [v for v, _ in (found[0][k] for k in range(1, 6))] == [300, 301, 302, 303, 304]
-    few = ann.nearest(df.where("vec_id < 3").drop("id"), F.col("id") == 0)
-    assert few.count() == 2 and ann.nearest(df.limit(0).drop("id"), F.col("id") == 0).count() == 0
+    few = ann.nearest(df.where("vec_id < 3"), F.col("id") == 0)
+    assert few.count() == 2 and ann.nearest(df.limit(0), F.col("id") == 0).count() == 0
+
+
+def test_neighbours_of_repeated_and_large_rows(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((60, 8))
+    x[7] *= 1e25  # finite
+    x[8] = x[7] * (1 + 1e-9)
+    x[9] *= 1e200
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (50, x[51].tolist())]
+    found = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect():
+        found.setdefault((r["query_id"], r["rank"]), []).append((r["vec_id"], r["score"]))
+    assert sorted(k for k, v in found.items() if len(v) == 2) == sorted((q, k) for q in (0, 50) for k in range(1, 6))  # two rows of each query's id
+    ids, y = np.array([i for i, _ in rows]), ann.scaled(np.array([v for _, v in rows]))
+    y /= np.sqrt((y * y).sum(axis=1, keepdims=True))
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        c = y @ y[q]
+        c[q] = -9
+        for v in np.lexsort((ids, -c))[:5]:
+            hits += any(w == ids[v] and abs(c[v] - s) < 1e-12 for rank in range(1, 6) for w, s in found[(ids[q], rank)])
+    assert hits >= 0.9 * 5 * 4
+    assert found[(0, 1)][0][0] == 0 and all(np.isfinite(s) for v in found.values() for _, s in v)
+    big = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 7).where("rank = 1").first()
+    assert big["vec_id"] == 8 and abs(big["score"] - 1) < 1e-12
 
 
 # --- WARC ------------------------------------------------------------------------------------------------------------
