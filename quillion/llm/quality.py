@@ -3,10 +3,12 @@
 Features are the word unigrams and bigrams of the whole text (a word is a run of letters and digits, or a run of other
 marks), hashed into ``2**bits`` coordinates; all bigrams that end in a word equal to one of the two words before it share
 one coordinate, so that repetition counts whatever is repeated; a coordinate's value is its count over the square root of the number of
-n-grams. Training runs FTRL-Proximal (per-coordinate rates, L1 and L2) over a bounded sample of labelled rows; scoring
-is a sparse dot product, one pass over the documents without a shuffle.
+n-grams. Training runs FTRL-Proximal (per-coordinate rates, L1 and L2; the bias is one more coordinate, without L1, that
+starts at the log odds of the labels) over a bounded sample of labelled rows; scoring is a sparse dot product, one pass
+over the documents without a shuffle.
 
-Defined results: null and empty texts score as the bias alone; no labels at all (or one class only) give the share of
+Defined results: null and empty texts score as the bias alone; repeated rows score alike; of several labels for one id
+the largest counts; very long texts are scored whole; no labels at all (or one class only) give the share of
 label 1 smoothed by one row of each kind, for every text.
 """
 
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from quillion.llm import store
 from quillion.llm.words import TOKEN, batches_of, hashed, mix
 
-#: Labelled rows that a fit reads at most, in expectation.
-SAMPLE_ROWS = 8_000
+#: Labelled rows, and characters of their texts, that a fit reads at most, in expectation; the driver holds them.
+SAMPLE_ROWS, SAMPLE_CHARS = 8_000, 100_000_000
 
 
 def ngrams(texts: list, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +74,10 @@ def train(texts: list, labels: list, bits: int = 20, epochs: int = 3, alpha: flo
     size = 1 << bits
     y = np.asarray(labels, dtype=np.float64)
     base = (y.sum() + 1) / (len(y) + 2)
-    bias = float(np.log(base / (1 - base)))
+    start = float(np.log(base / (1 - base)))
     z, n = np.zeros(size), np.zeros(size)
+    zb = nb = 0.0
+    bias = start
     if len(y) and 0 < y.sum() < len(y):
         examples = []
         for a, b in batches_of(texts):
@@ -91,14 +95,21 @@ def train(texts: list, labels: list, bits: int = 20, epochs: int = 3, alpha: flo
                 g = (p - y[i]) * x
                 z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
                 n[at] = ni + g * g
-                bias -= 0.02 * (p - y[i])
+                gb = float(p - y[i])
+                zb += gb - (np.sqrt(nb + gb * gb) - np.sqrt(nb)) / alpha * (bias - start)
+                nb += gb * gb
+                bias = start - zb / ((beta + np.sqrt(nb)) / alpha + l2)
     w = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
     return Model(bits, w.astype(np.float32), bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, **options) -> Model:
     """A model of ``labels[label]`` from about ``sample_rows`` labelled rows at most; held-out rows are never read."""
-    rows = store.labelled_sample(docs, labels, label, sample_rows).toPandas().sort_values(["doc_id", "text"], kind="stable")
+    rows = store.materialise(store.labelled_sample(docs, labels, label, sample_rows), "quality-sample")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > SAMPLE_CHARS:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_CHARS / chars))
+    rows = rows.toPandas().sort_values(["doc_id", "text"], kind="stable")
     return train(rows["text"].tolist(), rows["label"].tolist(), **options)
 
 

@@ -67,15 +67,18 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, F.col("id") % 50 == 0, k=5)
 
 
-#: Damage that op9 does to its replica, by the first two digits of the MD5 of a page's id.
-CHANGED, MISSING, ADDED = "0a", "1b", "2c"
+#: Damage that op9 does to its replica, by the first two digits of the MD5 of a page's id. Of what is added, some has the
+#: key of another record, and some (that of these pages and NEW_KEY) a key that the reference lacks.
+CHANGED, MISSING, ADDED, NEW = ("0a", "1a", "2a", "3a"), ("0b", "1b", "2b", "3b"), ("0c", "1c", "2c", "3c"), ("0d", "1d", "2d", "3d")
+NEW_KEY = 10**12
 
 
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     kind = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 2)
-    kept = pages.where(kind != MISSING).withColumn("html", F.when(kind == CHANGED, F.concat(F.coalesce("html", F.lit("")), F.lit("!"))).otherwise(F.col("html")))
-    replica = kept.unionByName(pages.where(kind == ADDED).withColumn("html", F.lit("added")))
+    kept = pages.where(~kind.isin(*MISSING)).withColumn("html", F.when(kind.isin(*CHANGED), F.concat(F.coalesce("html", F.lit("")), F.lit("!"))).otherwise(F.col("html")))
+    added = pages.where(kind.isin(*ADDED, *NEW)).withColumn("html", F.lit("added"))
+    replica = kept.unionByName(added.withColumn("page_id", F.when(kind.isin(*NEW), F.col("page_id") + NEW_KEY).otherwise(F.col("page_id"))))
     records, nodes = warc.manifest(warc.leaves(pages))
     damaged = warc.audit(records, nodes, store.materialise(warc.leaves(replica), "replica-leaves"))
     return warc.fixity(store.materialise(damaged, "damaged"), records)
@@ -85,8 +88,8 @@ OP9_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, substr(md5(coalesce(page_id::VARCHAR, '')), 1, 2) AS kind FROM pages),
 versions AS (
   SELECT 0 AS v, * FROM p
-  UNION ALL SELECT 1, page_id, url, CASE WHEN kind = '{CHANGED}' THEN html || '!' ELSE html END, kind FROM p WHERE kind <> '{MISSING}'
-  UNION ALL SELECT 2, page_id, url, 'added', kind FROM p WHERE kind = '{ADDED}'),
+  UNION ALL SELECT 1, page_id, url, CASE WHEN kind IN {CHANGED} THEN html || '!' ELSE html END, kind FROM p WHERE kind NOT IN {MISSING}
+  UNION ALL SELECT 2, page_id + CASE WHEN kind IN {NEW} THEN {NEW_KEY} ELSE 0 END, url, 'added', kind FROM p WHERE kind IN {ADDED + NEW}),
 d AS (SELECT *, sha256(html) AS h FROM versions),
 r AS (SELECT v, page_id, kind, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:'
   || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) || '>' || chr(13) || chr(10)
@@ -99,7 +102,7 @@ SELECT o.key, o."offset", o.length, (o."offset" // {warc.RANGE_BYTES})::BIGINT A
   CASE WHEN t.leaf IS NULL THEN 'missing' WHEN t.leaf <> o.leaf THEN 'changed' ELSE 'intact' END AS status
 FROM ours o LEFT JOIN (SELECT key, leaf FROM l WHERE v = 1) t ON o.key IS NOT DISTINCT FROM t.key
 UNION ALL
-SELECT l.key, NULL, NULL, (o."offset" // {warc.RANGE_BYTES})::BIGINT, NULL, l.leaf, 'added' FROM l JOIN ours o ON o.key IS NOT DISTINCT FROM l.key WHERE l.v = 2"""
+SELECT l.key, NULL, NULL, (coalesce(o."offset", (SELECT max("offset") FROM ours)) // {warc.RANGE_BYTES})::BIGINT, NULL, l.leaf, 'added' FROM l LEFT JOIN ours o ON o.key IS NOT DISTINCT FROM l.key WHERE l.v = 2"""
 
 
 def queries() -> dict:

@@ -3,17 +3,21 @@
 A lexical transducer maps each word of a clause to a class: insult, harm verb, target, negator, reporting verb, modal,
 quotation mark or other. Four further transducers read that string of classes and keep, in their states, whether the
 scope of a negator is open, whether the clause reports someone's speech or stands in quotation marks, whether a target
-was named shortly before, and whether a modal precedes (so that a harm verb is a threat). ``compose`` builds their
-product once; running it over a clause emits, for every insult or threat, the pattern it stands in. A document's score
-is a logistic function of the pattern weights summed over its matched clauses, so the same word counts differently when
-aimed at someone, denied or quoted.
-
-Arc weights are learned from labelled rows outside the held-out fold: the weight of a lexical arc (a word, or a stem of
-four to six letters) is its shrunken log odds ratio, from one half of a bounded sample; the weights of the sixteen
-patterns are a ridge-regularised logistic regression towards prior values, from the other half.
+is near, and whether a modal precedes (so that a harm verb is a threat). ``compose`` builds their product once; running
+it over a clause emits, for every insult or threat, the pattern it stands in. A pattern's weight is that of its kind
+(insult or threat, aimed at a target or not) times the weights of the arcs that it went through: ``NEGATED`` and
+``REPORTED`` words count little. A clause's score is the sum over its patterns of weight times the damped sum of lexical
+weights; a document's is the logistic function of a bias and its clauses' scores, and of nothing else.
+
+Weights are learned from labelled rows outside the held-out fold. A lexical arc (a word, or a stem of four to six
+letters) weighs its shrunken log odds ratio, from one half of a bounded sample; it is a harm verb if it follows a modal
+in half of its toxic contexts, and an insult otherwise. Words of the other classes are never learned as either. The
+weights of the four kinds and the bias are a ridge-regularised logistic regression towards prior values, from the other
+half. How many arcs are learned is bounded by the sample alone, as each takes six toxic contexts.
 
 Defined results: null and empty texts, and texts without a matched clause, score as the bias alone (above 0, below
-0.5 unless most labelled rows are toxic); without labelled rows the seed words and prior weights are used.
+0.5 unless most labelled rows are toxic); without labelled rows the seed words and prior weights are used; of several
+labels for one id or one text, the largest counts; repeated rows score alike; very long texts are scored whole.
 """
 
 from __future__ import annotations
@@ -34,8 +38,6 @@ from quillion.llm.words import give_back
 
 #: Labelled rows that a fit reads at most, in expectation.
 SAMPLE_ROWS = 16_000
-#: Lexical arcs that are learned at most: a parameter of the model's size.
-LEXICON = 4_000
 STEMS = (4, 5, 6)
 
 OTHER, INSULT, HARM, TARGET, NEGATOR, REPORT, MODAL, QUOTE = range(8)
@@ -98,22 +100,28 @@ def compose(transducers=TRANSDUCERS) -> tuple[list, list]:
 
 
 STEP, OUT = compose()
-#: Before any label is seen: what a pattern adds, from plain insult to negated, reported and aimed threat.
-PRIOR = np.array([(1.0 if kind == 0 else 1.5) * (0.35 if m & 1 else 1) * (0.5 if m & 2 else 1) * (1.3 if m & 4 else 1) for kind in (0, 1) for m in range(8)])
+#: What is left of a match in the scope of a negator, and in reported speech.
+NEGATED, REPORTED = 0.1, 0.3
+#: Kinds of patterns: insult, aimed insult, threat, aimed threat. The kind and the arcs' weight of each pattern.
+KIND = np.array([2 * (p >= 8) + (p & 4 > 0) for p in range(PATTERNS)])
+ARCS = np.array([(NEGATED if p & 1 else 1.0) * (REPORTED if p & 2 else 1.0) for p in range(PATTERNS)])
+#: Before any label is seen: the weights of the kinds.
+PRIOR = np.array([1.0, 1.3, 1.5, 2.0])
 
 
 @dataclass(frozen=True)
 class Grammar:
     words: dict = field(default_factory=lambda: dict.fromkeys(SEED_INSULTS, 2.0))  # insult word -> weight
-    stems: dict = field(default_factory=dict)  # prefix -> weight
-    patterns: np.ndarray = field(default_factory=lambda: PRIOR.copy())
+    stems: dict = field(default_factory=dict)  # prefix of insults -> weight
+    harm: dict = field(default_factory=dict)  # learned harm verb -> weight
+    kinds: np.ndarray = field(default_factory=lambda: PRIOR.copy())
     bias: float = -2.0
 
     def __post_init__(self):
-        classes = {w: (c, 1.0) for c, ws in CLASS_WORDS.items() for w in ws}
-        object.__setattr__(self, "lexical", classes | {w: (INSULT, x) for w, x in self.words.items()})
-        object.__setattr__(self, "insults", frozenset(self.words))
-        object.__setattr__(self, "harm", frozenset(CLASS_WORDS[HARM]))
+        learned = {w: (INSULT, x) for w, x in self.words.items()} | {w: (HARM, x) for w, x in self.harm.items()}
+        object.__setattr__(self, "lexical", learned | {w: (c, 1.0) for c, ws in CLASS_WORDS.items() for w in ws})
+        object.__setattr__(self, "matching", frozenset(w for w, (c, _) in self.lexical.items() if c in (INSULT, HARM)))
+        object.__setattr__(self, "patterns", self.kinds[KIND] * ARCS)
 
     def _lookup(self, word: str) -> tuple[int, float]:
         if found := self.lexical.get(word):
@@ -129,7 +137,7 @@ class Grammar:
             return []
         low = text.lower()
         distinct = set(WORD.findall(low))
-        stems, hit = self.stems, not distinct.isdisjoint(self.insults) or not distinct.isdisjoint(self.harm)
+        stems, hit = self.stems, not distinct.isdisjoint(self.matching)
         if not hit and stems:
             hit = any(not stems.keys().isdisjoint({w[:n] for w in distinct}) for n in STEMS)
         if not hit:
@@ -144,22 +152,24 @@ class Grammar:
                 state = STEP[state * 8 + symbol]
         return found
 
+    def sums(self, text: str | None) -> dict[int, np.ndarray]:
+        """clause number -> the damped sum of lexical weights in each pattern, of the matched clauses."""
+        totals: dict[int, np.ndarray] = {}
+        for number, pattern, weight in self.matches(text):
+            totals.setdefault(number, np.zeros(PATTERNS))[pattern] += weight
+        return {number: np.log1p(x) for number, x in totals.items()}
+
     def features(self, text: str | None) -> np.ndarray:
-        """Per pattern, the damped sum of the lexical weights that matched in it."""
-        sums = np.zeros(PATTERNS)
-        for _, pattern, weight in self.matches(text):
-            sums[pattern] += weight
-        return np.log1p(sums)
+        """What each kind adds to the clauses' scores at weight 1."""
+        return np.bincount(KIND, ARCS * sum(self.sums(text).values(), np.zeros(PATTERNS)), 4)
 
     def clauses(self, text: str | None) -> list[tuple[int, float]]:
         """(clause number, score) of the matched clauses."""
-        totals: dict[int, np.ndarray] = {}
-        for number, pattern, weight in self.matches(text):
-            totals.setdefault(number, np.zeros(PATTERNS))[pattern] += weight
-        return [(number, float(np.log1p(x) @ self.patterns)) for number, x in totals.items()]
+        return [(number, float(x @ self.patterns)) for number, x in self.sums(text).items()]
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.bias + self.features(text) @ self.patterns, -35, 35))))
+        total = self.bias + sum(s for _, s in self.clauses(text))
+        return float(1 / (1 + np.exp(-np.clip(total, -35, 35))))
 
 
 # --- learning --------------------------------------------------------------------------------------------------------
@@ -176,12 +186,12 @@ def contexts(text: str | None) -> list[str]:
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Pattern weights and bias: logistic regression drawn towards the prior weights, by Newton's method."""
+    """Weights of the kinds and bias: logistic regression drawn towards the prior weights, by Newton's method."""
     if not len(y) or not 0 < y.sum() < len(y):
         return PRIOR.copy(), -2.0
     share = (y.sum() + 1) / (len(y) + 2)
     prior = np.concatenate([PRIOR, [np.log(share / (1 - share))]])
-    pull = np.concatenate([np.full(PATTERNS, ridge), [1e-3]])
+    pull = np.concatenate([np.full(len(PRIOR), ridge), [1e-3]])
     full, w = np.hstack([x, np.ones((len(x), 1))]), prior.copy()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(full @ w, -35, 35)))
@@ -191,16 +201,17 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
         w -= np.clip(move, -2, 2)
         if np.abs(move).max() < 1e-8:
             break
-    return w[:PATTERNS], float(w[PATTERNS])
+    return np.maximum(w[:-1], 0.0), float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, lexicon: int = LEXICON) -> Grammar:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Grammar:
     """A grammar whose weights come from about ``sample_rows`` labelled rows at most; held-out rows are never read.
 
     A word counts once for each pair of neighbours, not for each document, so that exact and near copies of one toxic
     text do not make its rare words look toxic.
     """
-    rows = store.materialise(store.labelled_sample(docs, labels, label, sample_rows).dropDuplicates(["text"]).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))), "toxic-sample")
+    rows = store.labelled_sample(docs, labels, label, sample_rows).groupBy("text").agg(F.max("label").alias("label"))
+    rows = store.materialise(rows.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))), "toxic-sample")
     spark = docs.sparkSession
 
     def run(batches):
@@ -212,33 +223,38 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
         give_back()
 
     each = rows.where("half = 0").select("text", "label").mapInArrow(run, "context string, label int").groupBy("context").agg(F.max("label").alias("a"), F.min("label").alias("b"))
-    seen = each.groupBy(F.substring_index("context", " ", -1).alias("entry")).agg(F.sum("a").alias("a"), F.sum(1 - F.col("b")).alias("b"))
+    modal = F.substring_index("context", " ", 1).isin(CLASS_WORDS[MODAL]).cast("int")
+    seen = each.groupBy(F.substring_index("context", " ", -1).alias("entry")).agg(F.sum("a").alias("a"), F.sum(1 - F.col("b")).alias("b"), F.sum(F.col("a") * modal).alias("after_modal"))
     seen = store.materialise(seen, "toxic-entries")
     total = seen.where("entry not like '^%'").agg(F.sum("a"), F.sum("b")).first()
     toxic, clean = float(total[0] or 0), float(total[1] or 0)
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     weight = F.log(a / (toxic + 1)) - F.log(b / (clean + 1))
-    seen = seen.withColumn("weight", weight).withColumn("z", F.col("weight") / F.sqrt(1 / a + 1 / b))
+    seen = seen.withColumn("weight", weight).withColumn("z", F.col("weight") / F.sqrt(1 / a + 1 / b)).withColumn("harm", F.col("after_modal") * 2 >= F.col("a"))
+    known = [w for ws in CLASS_WORDS.values() for w in ws]
     seeds = F.col("entry").isin(SEED_INSULTS)
-    kept = seen.where(((F.col("a") >= 6) & (F.col("weight") >= 2.5) & (F.col("z") >= 3.1)) | seeds).orderBy(F.desc("z"), "entry").limit(lexicon).select("entry", "weight").collect()
-    words, stems = dict.fromkeys(SEED_INSULTS, 2.0), {}
-    for entry, w in kept:
-        (stems if entry[0] == "^" else words)[entry.lstrip("^")] = float(np.clip(w, 0, 6))
-    grammar = Grammar(words, stems)
-    shared = spark.sparkContext.broadcast(grammar)
+    kept = seen.where(((F.col("a") >= 6) & (F.col("weight") >= 2.5) & (F.col("z") >= 3.1) & ~F.col("entry").isin(known)) | seeds).select("entry", "weight", "harm", seeds.alias("seed")).collect()
+    words, stems, harm = dict.fromkeys(SEED_INSULTS, 2.0), {}, {}
+    for r in sorted(kept):
+        if r["entry"][0] == "^":
+            into = {} if r["harm"] else stems  # stems are of insults only
+        else:
+            into = harm if r["harm"] and not r["seed"] else words
+        into[r["entry"].lstrip("^")] = float(np.clip(r["weight"], 0, 6))
+    shared = spark.sparkContext.broadcast(Grammar(words, stems, harm))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def features(text: pd.Series) -> pd.Series:
         return text.map(lambda t: shared.value.features(t).tolist())
 
-    second = rows.where("half = 1").select("label", features("text").alias("x")).toPandas()
-    x = np.array(second["x"].tolist()).reshape(-1, PATTERNS)
-    patterns, bias = calibrate(x, second["label"].to_numpy(float))
-    return Grammar(words, stems, patterns, bias)
+    second = rows.where("half = 1").select("label", features("text").alias("x")).toPandas()  # four numbers a row of the bounded sample
+    x = np.array(second["x"].tolist()).reshape(-1, len(PRIOR))
+    order = np.lexsort((*x.T, second["label"]))  # so that sums don't depend on the order of arrival
+    return Grammar(words, stems, harm, *calibrate(x[order], second["label"].to_numpy(float)[order]))
 
 
 def scorer(spark: SparkSession, grammar: Grammar):
-    """A column function text -> score. The grammar's size is bounded by the lexicon parameter."""
+    """A column function text -> score. The grammar's size is bounded by that of the sample it was learned from."""
     shared = spark.sparkContext.broadcast(grammar)
 
     @F.pandas_udf("double")

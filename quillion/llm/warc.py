@@ -2,8 +2,9 @@
 
 Pages become WARC/1.1 resource records; a record's place in the archive is the sum of the lengths before it in key order.
 The leaf of a record is the SHA-256 of its bytes. A range is the records that begin in one stretch of ``RANGE_BYTES`` of
-offsets; its digest is that of its leaves in order. Above the ranges stand levels of nodes, each over ``FANOUT`` children in order, up to one root. A manifest is the table of all
-nodes and leaves.
+offsets; its digest is that of its stretches', of which each holds a bounded number of leaves in order: a manifest's range
+has one, a replica's has more where keys that the reference lacks fill more than ``RANGE_BYTES``. Above the ranges stand
+levels of nodes, each over ``FANOUT`` children in order, up to one root. A manifest is the table of all nodes and leaves.
 
 An audit compares the roots and then, level by level, only the children of nodes that differ, down to ranges and their
 records. A replica is read against the manifest's key order, so a record that is lost or added damages its own range
@@ -82,10 +83,13 @@ def manifest(rows: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANO
 
 
 def tree(placed: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """(level, number, digest, children) over records with range_no, key and leaf."""
+    """(level, number, digest, children) over records with range_no, key and leaf, and stretch where a range has several."""
     # records that begin within range_bytes, each longer than its header: some thousands at most
     keyed = placed.withColumn("place", F.struct(F.col("key"), F.col("leaf")))
-    level = _digest(keyed, ["range_no"], "place", "leaf").select(F.lit(0).alias("level"), F.col("range_no").alias("number"), "digest", "children")
+    if "stretch" not in placed.columns:
+        keyed = keyed.withColumn("stretch", F.lit(0).cast("long"))
+    stretches = _digest(keyed, ["range_no", "stretch"], "place", "leaf")
+    level = _digest(stretches, ["range_no"], "stretch", "digest").select(F.lit(0).alias("level"), F.col("range_no").alias("number"), "digest", "children")
     level = store.materialise(level, "ranges")
     nodes, number = level, 0
     while level.agg(F.max("number")).first()[0]:  # until only node 0 is left
@@ -98,18 +102,23 @@ def tree(placed: DataFrame, fanout: int = FANOUT) -> DataFrame:
 
 
 def replica_records(reference: DataFrame, replica: DataFrame) -> DataFrame:
-    """The replica's leaves with the ranges of the reference's records: by key, or for keys that the reference lacks, the range of the last key before."""
+    """The replica's leaves with the ranges of the reference's records: by key, or for keys that the reference lacks, the range of the last key before.
+
+    Of the latter, stretches of ``RANGE_BYTES`` have numbers of their own, so that any number of them is digested in parts.
+    """
     ranges = reference.groupBy("key").agg(F.min("range_no").alias("range_no"))
-    known = replica.join(ranges, replica["key"].eqNullSafe(ranges["key"]), "left").select(replica["key"], "length", "leaf", "range_no")
+    known = replica.join(ranges, replica["key"].eqNullSafe(ranges["key"]), "left").select(replica["key"], "length", "leaf", "range_no", F.lit(0).cast("long").alias("stretch"))
     known = store.materialise(known, "known")
     if not store.has_rows(known.where("range_no is null")):
         return known
     spans = reference.groupBy("range_no").agg(F.min("key").alias("low")).select(F.col("range_no").alias("r"), "low")
-    lost = known.where("range_no is null").drop("range_no")
-    # few keys; ranges are one row each 1 MiB, so an as-of join by a running maximum over the union of both
-    both = lost.select("key", "length", "leaf", F.lit(None).cast("long").alias("r")).unionByName(spans.select(F.col("low").alias("key"), F.lit(None).cast("long").alias("length"), F.lit(None).cast("string").alias("leaf"), "r"))
+    lost = _placed(known.where("range_no is null").drop("range_no", "stretch"), "length", "before", ["key", "leaf"])
+    lost = lost.withColumn("stretch", F.floor(F.col("before") / RANGE_BYTES).cast("long") + 1)
+    # ranges are one row each 1 MiB, so an as-of join by a running maximum over the union of both
+    none = {c: F.lit(None).cast(kind).alias(c) for c, kind in (("length", "long"), ("leaf", "string"), ("stretch", "long"), ("r", "long"))}
+    both = lost.select("key", "length", "leaf", "stretch", none["r"]).unionByName(spans.select(F.col("low").alias("key"), none["length"], none["leaf"], none["stretch"], "r"))
     filled = _running(both)
-    return known.where("range_no is not null").unionByName(filled.where("leaf is not null").select("key", "length", "leaf", F.coalesce("filled", F.lit(0).cast("long")).alias("range_no")))
+    return known.where("range_no is not null").unionByName(filled.where("leaf is not null").select("key", "length", "leaf", F.coalesce("filled", F.lit(0).cast("long")).alias("range_no"), "stretch"))
 
 
 def _running(both: DataFrame) -> DataFrame:
