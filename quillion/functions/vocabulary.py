@@ -33,8 +33,14 @@ CLAIM_PATTERNS = [
     r"(?:^|[^\p{L}\p{N}_])(peut|peuvent|doit|doivent|faut|veut|veulent)(?:$|[^\p{L}\p{N}_])",
     r"(?:^|[^\p{L}\p{N}_])(existe|comprend|contient|inclut|nécessite|permet|requiert)(?:$|[^\p{L}\p{N}_])",
     r"(?:^|[^\p{L}\p{N}_])(faire|émettre|annuler|modifier|consulter|envoyer|traiter)(?:$|[^\p{L}\p{N}_])",
-    r"^\s*[0-9]+",
-    r":\s*[^\s]",
+    r"^\s*\d+",
+    r":\s*\S",
+]
+#: Claims as the verifier by embeddings knows them.
+EMBEDDING_CLAIM_PATTERNS = [
+    r"(?:^|[^\p{L}\p{N}_])(est|sont|avoir|être|pouvoir|devoir|vouloir)(?:$|[^\p{L}\p{N}_])",
+    r"(?:^|[^\p{L}\p{N}_])(existe|occupe|comprend|contient)(?:$|[^\p{L}\p{N}_])",
+    r"^\d+",
 ]
 COMMON_NUMBERS = [str(n) for n in range(25)] + ["30", "60", "90", "100", "1000", "2024", "2025", "2026"]
 REDIRECT_MARKERS = ("Whaller", "Consulter")
@@ -45,6 +51,22 @@ AUTO_CATEGORIES = {"amadeus_formats": ("amadeus", "gds", "format"), "absences":
 SAMPLE_THESAURUS = {"train": ["rail", "locomotive"], "guide": ["manuel", "notice"], "that": ["which"], "with": ["alongside", "together"], "für": ["wegen"]}
 
 
+def load_thesaurus(path: str | None) -> dict[str, list[str]]:
+    """Terms and their alternatives from a JSON file: an object of lists, or a list of [term, alternative] pairs; the sample without a path.
+
+    A thesaurus is data of an installation; a file that can't be read is an error.
+    """
+    if not path:
+        return dict(SAMPLE_THESAURUS)
+    found = json.loads(Path(path).read_text(encoding="utf-8"))
+    if isinstance(found, dict):
+        return {str(t): [str(a) for a in alternatives] for t, alternatives in found.items()}
+    out: dict[str, list[str]] = {}
+    for term, alternative in found:
+        out.setdefault(str(term), []).append(str(alternative))
+    return out
+
+
 def load_taxonomy(path: str | None) -> dict[str, list[str]]:
     """The taxonomy, with the keys of a JSON file that hold lists replaced; a missing or broken file changes nothing."""
     if not path:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillion.functions import text as X
@@ -79,6 +79,16 @@ def density(content: Column) -> Column:
     return F.size(F.array_distinct(ws)) / F.greatest(F.size(ws), F.lit(1))
 
 
+def with_metadata(df: DataFrame, **changes: Column) -> DataFrame:
+    """df with columns added or replaced; the given one stays as it is."""
+    return df.withColumns(changes)
+
+
+def with_parents(chunks: DataFrame, parents: DataFrame, parent_id: str = "parent_id", text: str = "text") -> DataFrame:
+    """chunks with the text of the document or section that each is part of (null where it isn't known)."""
+    return chunks.join(parents.select(parent_id, F.col(text).alias("parent_text")), parent_id, "left")
+
+
 def chunk_ids(filename: Column, post_id: Column, section_num: Column, section_title: Column) -> dict[str, Column]:
     """parent_id, and child_id of a section, or of the whole text where section_num is null."""
     whole = X.stable_id(filename, post_id, F.lit("full"))

@@ -21,9 +21,9 @@ def synonyms(questions: DataFrame, terms: DataFrame, id_col: str, question: str
 
     A theta join on substrings; the thesaurus is vocabulary, not data, and is broadcast.
     """
-    q = questions.select(id_col, F.lower(question).alias("q"))
-    found = q.join(F.broadcast(terms), F.contains("q", F.col("term")))
-    made = found.select(id_col, F.replace("q", "term", "alternative").alias("v"))
+    low = questions.select(id_col, F.lower(question).alias("_low"))
+    found = low.join(F.broadcast(terms), F.contains("_low", F.col("term")))
+    made = found.select(id_col, F.replace("_low", "term", "alternative").alias("v"))
     return made.select(id_col, F.explode(F.array("v", X.capitalised(F.col("v")))).alias("variant")).distinct()
 
 

@@ -8,8 +8,11 @@ from pyspark.sql.window import Window
 
 from quillion.functions import text as X
 from quillion.functions.vocabulary import BM25_STOP_WORDS
+from quillion.sources.shared import materialise
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Rows of questions' terms (some 50 bytes each) up to which they are broadcast.
+BROADCAST_TERMS = 200_000
 
 
 def term_frequencies(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -45,28 +48,38 @@ def bm25_scores(docs: DataFrame, questions: DataFrame, variant: str = "plus1", i
     white-space words as they are, idf = ln(N - n + .5) - ln(n + .5), negative ones replaced by a quarter of the mean,
     as the retriever's. A question's repeated terms count as often as they occur.
 
-    Postings are joined to the questions' terms by term; a term's weight depends on the document's length only, so it
-    is made once a posting, and partial sums are made before the last shuffle.
+    One pass over the documents counts them, their tokens and the documents that hold each term. Another keeps the
+    tokens that questions ask for and deals them out by document, once: term counts, scores and (in ``bm25_top``) the
+    first choice of the k best are then made where a document's tokens are, so that a term that stands in most documents
+    is spread over all tasks. The questions' terms are broadcast up to ``BROADCAST_TERMS`` rows.
     """
     cut = bm25_tokens if variant == "plus1" else X.spaced_words
     tokens = cut(F.coalesce(F.col(text_col), F.lit("")))
     wanted = questions.select(F.col(question_id).alias("q"), F.explode(cut(F.coalesce(F.col(question_col), F.lit("")))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
+    small = wanted.count() <= BROADCAST_TERMS
+    hint = F.broadcast if small else lambda df: df
     rows = docs.select(F.col(id_col).alias("d"), tokens.alias("tokens"))
-    stats = rows.agg(F.count("*").alias("n_docs"), (F.coalesce(F.sum(F.size("tokens")), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avg_length"))
-    tf = rows.select("d", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("d", "length", "term").agg(F.count("*").alias("tf"))
+    # a row without a term for each document stands for the document itself
+    held = rows.select(F.size("tokens").alias("length"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"))
+    if variant == "plus1":  # only the questions' terms are counted
+        terms = wanted.select("term", F.lit(True).alias("asked")).distinct()
+        held = held.join(hint(terms), "term", "left").where("asked or term is null")
+    counts = materialise(held.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("lengths")), "term-counts")
+    stats = counts.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n_docs"), (F.coalesce(F.sum("lengths"), F.lit(0)) / F.greatest(F.coalesce(F.sum("df"), F.lit(0)), F.lit(1))).alias("avg_length"))  # one row
     n, df = F.col("n_docs"), F.col("df")
+    dfs = counts.where("term is not null").crossJoin(F.broadcast(stats))
     if variant == "plus1":
-        asked = tf.join(wanted.select("term").distinct(), "term", "left_semi")  # only the questions' terms are counted
-        dfs = asked.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
         dfs = dfs.select("term", "avg_length", F.log((n - df + 0.5) / (df + 0.5) + 1).alias("idf"))
     else:
-        dfs = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
         dfs = dfs.select("term", "avg_length", (F.log(n - df + 0.5) - F.log(df + 0.5)).alias("raw"))
         mean = dfs.agg(F.avg("raw").alias("mean"))  # one row
         dfs = dfs.crossJoin(F.broadcast(mean)).select("term", "avg_length", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
+    weights = materialise(wanted.join(dfs, "term"), "term-weights")
+    asked = weights.select("term").distinct()
+    found = rows.select("d", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(hint(asked), "term", "left_semi")
+    tf = found.repartition("d").groupBy("d", "length", "term").agg(F.count("*").alias("tf"))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length"))
-    weights = wanted.join(dfs, "term")
-    hits = tf.join(weights, "term").select("q", "d", (F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("part"))
+    hits = tf.join(hint(weights), "term").select("q", "d", (F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("part"))
     return hits.groupBy("q", "d").agg(F.round(F.sum("part"), 6).alias("score")).select(F.col("q").alias(question_id), F.col("d").alias(id_col), "score")
 
 

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillion.operators.index import rank_similarity, top_k
 
 #: Query vectors up to which they are broadcast: 64 dimensions in double precision make 0.5 KB each.
 BROADCAST_QUERIES = 20_000
+#: Vectors of a block, about: each is compared with all queries, which stream by.
+BLOCK = 8_192
+#: Results that a block passes on beyond the k nearest, as distances are rounded before they are ranked.
+SPARE = 8
 
 
 def vector_fetch(k: int) -> int:
@@ -40,7 +47,7 @@ def dot(a: Column, b: Column) -> Column:
 def pairs(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, q, v): every query with every vector but itself.
 
-    Few queries are broadcast; more are dealt out against all vectors in blocks by Spark's own cross join.
+    For outputs that are all pairs; few queries are broadcast. Rankings go by ``nearest``.
     """
     q = queries.select(F.col(id_col).alias("query_id"), doubles(F.col(vector_col)).alias("q"))
     if queries.count() <= BROADCAST_QUERIES:
@@ -49,9 +56,59 @@ def pairs(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     return v.join(q, F.col(id_col) != F.col("query_id"))
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, same: bool = True) -> DataFrame:
+    """(query_id, id, distance): for each of queries (query_id, q) the k nearest of vectors (id, v) by squared distance, and some more.
+
+    Vectors are dealt into blocks, queries are copied to each; a task holds one block, lets the queries stream by and
+    emits a bounded number of rows a query. With ``same`` a vector of the query's own id is left out. Arrays that are
+    null or of another length than a block's first take no part.
+    """
+
+    def run(batches):
+        held, block = [], None
+        for batch in batches:
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            first = int(np.searchsorted(asks, True)) if block is None else 0
+            if first:
+                held.append(batch.slice(0, first))
+            if first == batch.num_rows or (block is None and not held):
+                continue
+            if block is None:
+                ids = np.concatenate([h.column("id").to_numpy() for h in held])
+                block, held = np.array([x for h in held for x in h.column("v").to_pylist()], np.float64), []
+            part = batch.slice(first)
+            out: list[list] = [[], [], []]
+            for q, w in zip(part.column("id").to_pylist(), part.column("v").to_pylist(), strict=True):
+                apart = ((block - np.asarray(w, np.float64)) ** 2).sum(axis=1)
+                if same:
+                    apart[ids == q] = np.inf
+                best = np.argpartition(apart, k + SPARE)[: k + SPARE] if len(ids) > k + SPARE else np.arange(len(ids))
+                if len(ids) > k + SPARE:  # all that tie with the last, once rounded
+                    best = np.flatnonzero(apart <= apart[best].max() + 1e-6)
+                    best = best[np.lexsort((ids[best], np.round(apart[best], 6)))][: k + SPARE]
+                best = best[np.isfinite(apart[best])]
+                out[0] += [q] * len(best)
+                out[1] += ids[best].tolist()
+                out[2] += apart[best].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "id", "distance"])
+
+    rows = vectors.where("v is not null and size(v) > 0")
+    n = rows.count()
+    blocks = max(1, -(-n // BLOCK))
+    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    fits = F.size("v") == (size["d"] if size else 0)
+    dealt = rows.where(fits).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"))
+    asked = queries.select(F.col("query_id").alias("id"), F.col("q").alias("v")).where(F.col("v").isNotNull() & fits)
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(True))
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("id", T.LongType()), T.StructField("distance", T.DoubleType())])
+    return dealt.unionByName(asked).repartitionById(blocks, "block").sortWithinPartitions("asks").mapInArrow(run, schema)
+
+
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, distance, similarity_score, rank_score): nearest by squared distance."""
-    scored = pairs(vectors, queries, id_col, vector_col).select("query_id", id_col, F.round(squared_distance(F.col("q"), F.col("v")), 6).alias("distance"))
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), doubles(F.col(vector_col)).alias("v"))
+    q = queries.select(F.col(id_col).cast("long").alias("query_id"), doubles(F.col(vector_col)).alias("q"))
+    scored = nearest(v, q, k).select("query_id", F.col("id").alias(id_col), F.round("distance", 6).alias("distance"))
     found = top_k(scored, "query_id", k, id_col, "distance", descending=False)
     return found.select("query_id", "rank", id_col, "distance", F.round(1 / (1 + F.greatest("distance", F.lit(0.0))), 6).alias("similarity_score"), F.round(rank_similarity(F.col("rank")), 6).alias("rank_score"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hmac
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def expansion(question: Column, taxonomy: dict[str, list[str]] | None = None) ->
     return F.when(off, 0).when(m["vague"], 2).otherwise(1)
 
 
+def authorised(given: str | None, expected: str | None) -> bool:
+    """Whether a request's key is the expected one, compared in constant time; without an expected key every request is."""
+    return not expected or hmac.compare_digest((given or "").encode(), expected.encode())
+
+
 def validated(questions: DataFrame, question: str = "question", most: int = 1000) -> DataFrame:
     """questions with ``error``: null, 'empty' (blank after stripping) or 'too long'."""
     q = F.coalesce(F.col(question), F.lit(""))

@@ -12,9 +12,11 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillion.functions import text as X
-from quillion.functions.vocabulary import CLAIM_PATTERNS, COMMON_NUMBERS, OVERLAP_STOP_WORDS
+from quillion.functions.vocabulary import CLAIM_PATTERNS, COMMON_NUMBERS, EMBEDDING_CLAIM_PATTERNS, OVERLAP_STOP_WORDS
+from quillion.sources.shared import materialise
 
 #: Patterns of tokens whose absence from the evidence refutes a claim.
 SENSITIVE = (
@@ -64,12 +66,21 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))
 
 
-def evidence_windows(text: Column) -> Column:
-    """Windows of three sentences, or the whole text if there is none."""
-    found = X.windows(X.sentences(text))
+def evidence_windows(text: Column, sentences: Column) -> Column:
+    """Windows of three of the text's sentences (a column, as they are read once for each window), or the whole text if there is none."""
+    found = X.windows(sentences)
     return F.when(F.size(found) > 0, found).otherwise(F.array(text))
 
 
+def windows_of(evidence: DataFrame, group: list[str], text: str = "evidence") -> DataFrame:
+    """(group, window_no, window) of each group's text, as ``evidence_windows`` has them: a sentence and the two behind it, read once."""
+    cut = evidence.select(*group, F.posexplode(X.sentences(F.col(text))).alias("window_no", "s"))
+    after = Window.partitionBy(*group).orderBy("window_no")
+    made = cut.select(*group, "window_no", F.concat_ws(" ", "s", F.lead("s", 1).over(after), F.lead("s", 2).over(after)).alias("window")).where(F.length("window") > 30)
+    whole = evidence.join(made.select(*group).distinct(), group, "left_anti").select(*group, F.lit(0).alias("window_no"), F.col(text).alias("window"))
+    return made.unionByName(whole)
+
+
 def tfidf_best(claims_: DataFrame, windows: DataFrame, group: list[str], claim_id: list[str]) -> DataFrame:
     """(claim ids, best_tfidf): each claim's largest cosine with a window of its group; claims without a positive one are absent.
 
@@ -106,8 +117,8 @@ def verdicts(answers: DataFrame, sources: DataFrame) -> DataFrame:
     c = c.withColumn("cited", F.sort_array(F.array_distinct(citations(F.col("claim")))))
     merged = X.strip(F.array_join(F.transform(F.filter("s", lambda x: F.array_contains(F.col("cited"), x["id"])), lambda x: x["content"]), " "))
     c = c.withColumn("cited_text", merged).withColumn("evidence", F.when(F.col("cited_text") != "", F.col("cited_text")).otherwise(F.col("full")))
-    low = F.lower("evidence")
-    missing = F.filter(sensitive_tokens(F.col("claim")), lambda t: ~F.contains(low, F.lower(t)))
+    c = c.withColumn("low", F.lower("evidence")).withColumn("sensitive", sensitive_tokens(F.col("claim")))  # columns, as a lambda would make them again each time
+    missing = F.filter("sensitive", lambda t: ~F.contains(F.col("low"), F.lower(t)))
     c = c.withColumn("missing", F.slice(missing, 1, 5)).withColumn("has_citation", F.size("cited") > 0)
     first = (
         F.when(F.contains(F.lower("full"), F.lower("claim")), F.when(F.col("has_citation"), "supported").otherwise("unclear:citation manquante"))
@@ -117,7 +128,7 @@ def verdicts(answers: DataFrame, sources: DataFrame) -> DataFrame:
     c = c.withColumn("first", first).withColumn("evidence_key", F.when(F.col("cited_text") != "", F.array_join("cited", "+")).otherwise(""))
     open_ = c.where(F.col("first").isNull()).select("answer_id", "evidence_key", "claim_no", "claim", "evidence")
     group = ["answer_id", "evidence_key"]
-    windows = open_.select(*group, "evidence").distinct().select(*group, F.posexplode(evidence_windows(F.col("evidence"))).alias("window_no", "window"))
+    windows = materialise(windows_of(open_.select(*group, "evidence").distinct(), group), "windows")
     key = [*group, "claim_no"]
     tfidf, overlap = tfidf_best(open_, windows, group, ["claim_no"]), overlap_best(open_, windows, group, ["claim_no"])
     c = c.join(tfidf, key, "left").join(overlap, key, "left")
@@ -159,6 +170,21 @@ def badge(confidence_: Column, hallucinated: Column) -> Column:
     return F.when((confidence_ > 0.85) & (hallucinated == 0), "high").when(confidence_ > 0.65, "medium").otherwise("low")
 
 
+def embedding_claims(response: Column) -> Column:
+    """Sentences that assert something, as the verifier by embeddings cuts and knows them; all sentences if none does."""
+    every = X.plain_sentences(F.coalesce(response, F.lit("")))
+    kept = F.filter(every, lambda s: _any([F.lower(s).rlike(p) for p in EMBEDDING_CLAIM_PATTERNS]))
+    return F.when(F.size(kept) > 0, kept).otherwise(every)
+
+
+def embedding_confidence(answers: DataFrame, found: DataFrame) -> DataFrame:
+    """(answer_id, n_claims, hallucinated, confidence) of every answer: the share of its claims that aren't hallucinated, 1 without claims."""
+    n = found.groupBy("answer_id").agg(F.count("*").alias("n_claims"), F.count_if(F.col("verdict") == "hallucinated").alias("hallucinated"))
+    out = answers.select("answer_id").join(n, "answer_id", "left").na.fill(0, ["n_claims", "hallucinated"])
+    share = (F.col("n_claims") - F.col("hallucinated")) / F.greatest("n_claims", F.lit(1))
+    return out.withColumn("confidence", F.when(F.col("n_claims") == 0, 1.0).otherwise(F.round(share, 6)))
+
+
 def embedding_verdicts(answers: DataFrame, sources: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
     """(answer_id, claim_no, claim, best, verdict) by an injected embedder: below .25 hallucinated, else supported."""
 
@@ -166,7 +192,7 @@ def embedding_verdicts(answers: DataFrame, sources: DataFrame, embed: Callable[[
     def vector(text: pd.Series) -> pd.Series:
         return pd.Series([list(map(float, v)) for v in embed(text.fillna("").tolist())])
 
-    c = answers.select("answer_id", F.posexplode(X.plain_sentences(F.coalesce("response", F.lit("")))).alias("claim_no", "claim")).withColumn("v", vector("claim"))
+    c = answers.select("answer_id", F.posexplode(embedding_claims(F.col("response"))).alias("claim_no", "claim")).withColumn("v", vector("claim"))
     full = sources.groupBy("answer_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("source_id", F.coalesce("content", F.lit("")).alias("content"))))["content"], " ").alias("full"))
     found = X.plain_sentences(F.col("full"))
     pieces = full.select("answer_id", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.left("full", F.lit(1000))))).alias("piece")).withColumn("w", vector("piece"))

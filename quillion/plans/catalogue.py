@@ -119,6 +119,12 @@ def _halves(spark, d):
     return q.select("item_id", F.posexplode(parts).alias("variant_no", "text")).withColumn("vid", F.col("item_id") * 10 + F.col("variant_no"))
 
 
+def hybrid_fusion(spark, d):
+    """A vector list and a lexical list: vectors' ids stand for documents', and the hundredths of the asking ones for questions'."""
+    near = vector_topk(spark, d).select(F.expr("query_id div 100").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank", "similarity_score")
+    return fuse.rrf(near, index.bm25_top(_docs(spark, d), _bench(spark, d), retrieve.bm25_fetch(K)), "item_id", "doc_id", retrieve.fused_limit(K))
+
+
 def multi_query_dedupe(spark, d):
     q = _halves(spark, d)
     found = index.bm25_top(_docs(spark, d), q, retrieve.bm25_fetch(K), question_id="vid")
@@ -289,8 +295,9 @@ def citations(spark, d):
 
 
 def sentence_windows(spark, d):
-    turns = _table(spark, d, "conversations")
-    return turns.select("conv_id", "turn", F.posexplode(verify.evidence_windows(F.coalesce("text", F.lit("")))).alias("window_no", "window"))
+    turns = _table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).withColumn("sentences", X.sentences(F.col("text")))
+    found = turns.withColumn("windows", verify.evidence_windows(F.col("text"), F.col("sentences")))
+    return found.select("conv_id", "turn", F.posexplode("windows").alias("window_no", "window"))
 
 
 def claim_verdicts(spark, d):
@@ -308,6 +315,16 @@ def embedding_verdicts(spark, d):
     return found.select("answer_id", "claim_no", "best", "verdict")
 
 
+def embedding_confidence(spark, d):
+    answers, sources = _answers(spark, d)
+    return verify.embedding_confidence(answers, verify.embedding_verdicts(answers, sources, models.hashing_embedder()))
+
+
+def embedding_claims(spark, d):
+    answers, _ = _answers(spark, d)
+    return answers.select("answer_id", F.posexplode(verify.embedding_claims(F.col("response"))).alias("claim_no", "claim"))
+
+
 def context_pack(spark, d):
     rows = index.bm25_top(_docs(spark, d), _bench(spark, d), K).select("item_id", "doc_id", "rank").join(_docs(spark, d).select("doc_id", F.col("text").alias("content")), "doc_id")
     return context.packed(rows, "item_id").select("item_id", "position", "doc_id", F.length("packed_text").alias("n_chars"), F.md5("packed_text").alias("text_md5"))
@@ -354,7 +371,22 @@ def eval_summary(spark, d):
 
 
 def ask_batch(spark, d):
-    return pipeline.ask_batch(_docs(spark, d), _bench(spark, d))
+    """Every third question is known to the cache; the last columns are its row's parts."""
+    settings = pipeline.Settings(corpus_build_id="standard")
+    known = _bench(spark, d).where("item_id % 3 = 0").select(settings.cache_key(F.col("text")).alias("query_hash"), F.lit("known").alias("response"), F.lit("[]").alias("sources"), F.lit('{"action": "ACCEPT"}').alias("metadata"), F.lit(0.0).alias("timestamp"), F.col("item_id").alias("entry_id"))
+    found = pipeline.ask_batch(_docs(spark, d), _bench(spark, d), settings, cache.latest(known))
+    m = F.col("metadata")
+    return found.select("item_id", "question", "answer", F.size("sources").alias("n_sources"), m["cache_hit"].alias("cache_hit"), m["top_k"].alias("top_k"), F.size(m["retrieval_debug"]).alias("n_queries"), m["confidence"].alias("confidence"), m["action"].alias("action"), m["error"].alias("error"))
+
+
+def probe(spark, d):
+    """Two fixed searches, as when an index is looked over: the three nearest of each."""
+    return pipeline.probe(_docs(spark, d), ["the first of them", "what is known"])
+
+
+def embedder_comparison(spark, d):
+    embedders = {f"hashing-{n}": models.hashing_embedder(n) for n in (32, 64)}
+    return pipeline.compare_embedders(_docs(spark, d), _bench(spark, d), embedders)
 
 
 def event_activity(spark, d):
@@ -365,11 +397,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_fold, term_frequencies, document_frequencies, corpus_stats, bm25_topk, bm25_okapi_topk, vector_topk, vector_cosine,
-        similarity_threshold, mmr_topk, rrf_fusion, multi_query_dedupe, rerank_score, rerank_topk, rerank_cross, keyword_match,
+        similarity_threshold, mmr_topk, rrf_fusion, hybrid_fusion, multi_query_dedupe, rerank_score, rerank_topk, rerank_cross, keyword_match,
         dynamic_topk, route_expansion, request_validation, synonym_expand, plural_expand, query_variants, chunk_config, size_category,
         section_split, section_summaries, doc_type, enrich_documents, freshness, stable_ids, doc_key, html_title, html_documents,
         adaptive_chunks, ingest_report, ingest_pages, sample_document, sentences, claims, sensitive_tokens, citations,
-        sentence_windows, claim_verdicts, answer_confidence, embedding_verdicts, context_pack, context_blocks, source_projection,
-        cache_upsert, cache_lookup, cache_sweep, eval_summary, ask_batch, event_activity,
+        sentence_windows, claim_verdicts, answer_confidence, embedding_verdicts, embedding_confidence, embedding_claims, context_pack, context_blocks, source_projection,
+        cache_upsert, cache_lookup, cache_sweep, eval_summary, ask_batch, probe, embedder_comparison, event_activity,
     )
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillion.functions.vocabulary import AUTO_CATEGORIES, BM25_STOP_WORDS, CLAIM_PATTERNS, COMMON_NUMBERS, KEYWORD_STOP_WORDS, OVERLAP_STOP_WORDS, PROCESS_MARKERS, RERANK_VAGUE_WORDS, SAMPLE_THESAURUS, TAXONOMY
+from quillion.functions.vocabulary import AUTO_CATEGORIES, BM25_STOP_WORDS, CLAIM_PATTERNS, COMMON_NUMBERS, EMBEDDING_CLAIM_PATTERNS, KEYWORD_STOP_WORDS, OVERLAP_STOP_WORDS, PROCESS_MARKERS, RERANK_VAGUE_WORDS, SAMPLE_THESAURUS, TAXONOMY
 from quillion.operators import enrich, verify
 
 
@@ -246,7 +246,43 @@ _DOC_TITLE = f"coalesce(nullif({strip(chr(34) + 'dt' + chr(34))}, ''), 'Document
 SECTIONS = rf"""sec AS (SELECT doc_id, text, regexp_extract(text, 'Titre du document : ([^\n]+)', 1) AS dt, {_TITLES} AS titles,
   string_split_regex(regexp_replace(text, '\+-([^\n])', chr(1) || '\1', 'g'), chr(1)) AS parts FROM {MARKED})"""
 
+#: The choice by marginal relevance, step by step: what was chosen is carried along as a list of vectors.
+MMR = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, a.e AS qe, b.e AS ve FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+dist AS (SELECT *, round(list_sum(list_transform(list_zip(qe, ve), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS distance FROM p),
+cand AS (SELECT *, list_cosine_similarity(qe, ve) AS rel FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS arrival FROM dist) WHERE arrival <= 30),
+sel AS (
+  SELECT DISTINCT query_id, 0 AS step, -1::BIGINT AS vec_id, []::BIGINT[] AS ids, []::DOUBLE[][] AS es FROM cand
+  UNION ALL
+  SELECT query_id, step + 1, vec_id, list_append(ids, vec_id), list_append(es, ve) FROM (
+    SELECT s.query_id, s.step, c.vec_id, s.ids, s.es, c.ve, row_number() OVER (PARTITION BY s.query_id ORDER BY
+      CASE WHEN s.step = 0 THEN c.rel ELSE 0.5 * c.rel - 0.5 * list_max(list_transform(s.es, lambda e: list_cosine_similarity(e, c.ve))) END DESC, c.arrival) AS n
+    FROM sel s JOIN cand c USING (query_id) WHERE s.step < 20 AND NOT list_contains(s.ids, c.vec_id)) WHERE n = 1)
+SELECT query_id, step::INT AS rank, vec_id FROM sel WHERE step > 0"""
+#: The budget is shared out document by document, in the order of rank.
+_CUT = "CASE WHEN length(text) > lim THEN CASE WHEN dot > lim * 0.7 THEN left(head, dot + 1) ELSE head END || '...' ELSE text END"
+PACK = f"""WITH RECURSIVE {DOCS_D}, {bm25('r', 'docs', 'asked', 'plus1', 6)},
+g AS (SELECT q, d, rank, count(*) OVER (PARTITION BY q) AS n, coalesce(t.text, '') AS text FROM r JOIN documents t ON t.doc_id = r.d),
+f AS (
+  SELECT DISTINCT q, 0::BIGINT AS rank, 0::BIGINT AS d, 0::BIGINT AS total, '' AS packed FROM g
+  UNION ALL
+  SELECT q, rank, d, total + length(packed), packed FROM (SELECT q, rank, d, total, {_CUT} AS packed FROM (
+    SELECT *, CASE WHEN contains(head, '.') THEN length(head) - position('.' IN reverse(head)) ELSE -1 END AS dot FROM (
+      SELECT *, left(text, lim) AS head FROM (
+        SELECT g.q, g.rank, g.d, f.total, g.text, greatest(1000, (3000 - f.total) // greatest(g.n - g.rank + 1, 1))::BIGINT AS lim FROM f JOIN g ON g.q = f.q AND g.rank = f.rank + 1)))))
+SELECT q AS item_id, rank::INT AS position, d AS doc_id, length(packed)::INT AS n_chars, md5(packed) AS text_md5 FROM f WHERE rank > 0"""
+_EMBEDDING_ANY = " OR ".join(f"regexp_matches(lower(s), {q(p)})" for p in EMBEDDING_CLAIM_PATTERNS)
+_PLAIN = f"list_filter(list_transform(string_split_regex(coalesce(response, ''), '[.!?]+'), lambda s: {strip('s')}), lambda s: length(s) > 15)"
+EMBEDDING_CLAIMS = f"""WITH {ANSWERS}, ss AS (SELECT answer_id, {_PLAIN} AS sents FROM answers),
+cl AS (SELECT *, list_filter(sents, lambda s: {_EMBEDDING_ANY}) AS good FROM ss), cs AS (SELECT answer_id, CASE WHEN len(good) > 0 THEN good ELSE sents END AS cc FROM cl)
+SELECT answer_id, (i - 1)::INT AS claim_no, cc[i] AS claim FROM (SELECT answer_id, cc, unnest(range(1, len(cc) + 1)) AS i FROM cs)"""
+_HYBRID = RRF.replace(f"one AS (SELECT q, d, rank, {SIM} AS s FROM okapi)", "one AS (SELECT query_id // 100 AS q, vec_id AS d, rank, round(1 / (1 + greatest(distance, 0.0)), 6) AS s FROM top)")
+
 SQL = {
+    "mmr_topk": MMR,
+    "context_pack": PACK,
+    "embedding_claims": EMBEDDING_CLAIMS,
+    "hybrid_fusion": f"WITH {DOCS_D}, {VECTORS}, {bm25('plus', 'docs', 'asked', 'plus1', 18)}, {_HYBRID} SELECT q AS item_id, d AS doc_id, rank, rrf_score, similarity_score, vector_rank, bm25_rank, retrieval_source FROM fused",
     "text_fold": f"SELECT doc_id, md5({fold('t')}) AS folded_md5, md5({query_key('t')}) AS key_md5, ({word_count('t')})::BIGINT AS n_words FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "term_frequencies": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens('text', 2, BM25_STOP_WORDS)}) AS term FROM documents) GROUP BY doc_id, term",
     "document_frequencies": f"WITH t AS (SELECT DISTINCT doc_id, unnest({tokens('text', 2, BM25_STOP_WORDS)}) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln(any_value(n) / (count(*) + 1)), 6) AS idf_tfidf, round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf_bm25 FROM t, n GROUP BY term",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -104,5 +104,25 @@ def report(df: DataFrame, path: str, kind: str = "json") -> None:
     df.write.mode("overwrite").format(kind).save(path)
 
 
+def report_lines(results: DataFrame, line: Column, summary: DataFrame, title: str = "REPORT") -> DataFrame:
+    """(value): a text report in order: a title, a line for each result (by ``line``), and the summary's columns as a footer."""
+    head = results.sparkSession.createDataFrame([(0, "", title)], "part int, place string, value string")
+    body = results.select(F.lit(1).alias("part"), F.format_string("%020d", F.monotonically_increasing_id()).alias("place"), line.alias("value"))
+    names = F.array(*(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in summary.columns))
+    foot = summary.select(F.lit(2).alias("part"), F.lit("").alias("place"), F.array_join(names, ", ").alias("value"))
+    return head.unionByName(body).unionByName(foot).orderBy("part", "place", "value").select("value")
+
+
+def from_json(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """Rows back from what ``as_json`` made; lines that aren't of the schema give nulls."""
+    return lines.select(F.from_json(column, schema).alias("r")).select("r.*")
+
+
+def enveloped(results: DataFrame, metadata: dict[str, str]) -> DataFrame:
+    """(value): each row as JSON in an envelope with what holds for the run: {"metadata": {...}, "result": {...}}."""
+    about = F.struct(*(F.lit(v).alias(k) for k, v in metadata.items()))
+    return results.select(F.to_json(F.struct(about.alias("metadata"), F.struct("*").alias("result"))).alias("value"))
+
+
 def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))

@@ -4,7 +4,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from quillion import models
+from quillion.functions import vocabulary
 from quillion.operators import cache, chunk, context, enrich, evaluate, expand, fuse, index, rerank, retrieve, route, sections, verify
+from quillion.plans import pipeline
 from quillion.sources import files, html
 
 
@@ -206,3 +209,90 @@ def test_evaluation(spark):
     rows = spark.createDataFrame([("x", True, 1.0), ("x", False, 3.0)], "g string, success boolean, seconds double")
     r = evaluate.summary(rows, ["g"]).first()
     assert (r["n_questions"], r["success_pct"], r["mean_seconds"]) == (2, 50.0, 2.0)
+
+
+# --- from question to answer -----------------------------------------------------------------------------------------
+
+
+def test_ask_batch_end_to_end(spark):
+    texts = ["The red fox sleeps in the old barn near the river. It hunts at night and eats mice in the field.", "A guide to the train: the ticket costs 25 euros. The train leaves at noon and arrives in the evening.", "Nothing here is of use to anyone who asks."]
+    docs = spark.createDataFrame([(i, t * 3) for i, t in enumerate(texts)], "doc_id long, text string")
+    asked = [(1, "where does the red fox sleep at night"), (2, "   "), (3, None), (4, "x" * 1200), (5, "known question")]
+    questions = spark.createDataFrame(asked, "item_id long, text string")
+    settings = pipeline.Settings(corpus_build_id="v1", rewrite=lambda q: "the fox in the barn\nanother way to say it")
+    stored = questions.where("item_id = 5").select(settings.cache_key(F.col("text")).alias("query_hash"), F.lit("stored").alias("response"), F.lit('[{"title": "t"}]').alias("sources"), F.lit('{"action": "ACCEPT", "cache_hit": false}').alias("metadata"), F.lit(0.0).alias("timestamp"))
+    rows = {r["item_id"]: r for r in pipeline.ask_batch(docs, questions, settings, stored).collect()}
+    assert sorted(rows) == [1, 2, 3, 4, 5]
+    one = rows[1]
+    assert one["sources"][0]["title"] == "0" and one["sources"][0]["content_preview"].startswith("The red fox") and one["metadata"]["num_sources"] == len(one["sources"]) > 0
+    assert one["metadata"]["error"] is None and not one["metadata"]["cache_hit"] and one["metadata"]["corpus_build_id"] == "v1"
+    assert one["metadata"]["retrieval_debug"][0]["query"] == asked[0][1] and one["metadata"]["retrieval_debug"][0]["mode"] == "rrf"
+    assert one["metadata"]["hallucination_check"]["confidence_score"] == one["metadata"]["confidence"]
+    assert [rows[i]["metadata"]["error"] for i in (2, 3, 4)] == ["empty", "empty", "too long"] and rows[2]["sources"] == []
+    assert rows[5]["answer"] == "stored" and rows[5]["metadata"]["cache_hit"] and rows[5]["sources"][0]["title"] == "t"
+    # nothing to be found
+    none = pipeline.ask_batch(docs.limit(0), questions.where("item_id = 1"), settings).collect()[0]
+    assert none["answer"] == pipeline.NO_DOCUMENTS and none["metadata"]["error"] == "NO_RELEVANT_DOCS" and none["sources"] == []
+    # what was accepted answers the next run
+    done = pipeline.ask_batch(docs, questions.where("item_id = 1"), settings)
+    kept = pipeline.to_cache(done, settings)
+    if one["metadata"]["action"] == "ACCEPT":
+        again = pipeline.ask_batch(docs, questions.where("item_id = 1"), settings, kept).collect()[0]
+        assert again["metadata"]["cache_hit"] and again["answer"] == one["answer"] and again["sources"] == one["sources"]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "BLOCK", 7)
+    rows = [(i, [float(i % 10), float(i // 10)]) for i in range(60)]
+    v = spark.createDataFrame([*rows, (60, None), (61, [1.0])], "vec_id long, embedding array<double>")
+    got = retrieve.vector_top(v, v.where("vec_id in (0, 33)"), 5).orderBy("query_id", "rank").collect()
+    for q in (0, 33):
+        x = rows[q][1]
+        want = sorted((round((a - x[0]) ** 2 + (b - x[1]) ** 2, 6), i) for i, (a, b) in rows if i != q)[:5]
+        assert [(r["distance"], r["vec_id"]) for r in got if r["query_id"] == q] == want
+
+
+def test_small_parts(spark, tmp_path):
+    assert route.authorised("k", "k") and not route.authorised("x", "k") and not route.authorised(None, "k") and route.authorised(None, None)
+    path = tmp_path / "t.json"
+    path.write_text('[["a", "b"], ["a", "c"]]')
+    assert vocabulary.load_thesaurus(str(path)) == {"a": ["b", "c"]} and vocabulary.load_thesaurus(None)
+    df = spark.createDataFrame([(1, "x"), (2, None)], "id long, name string")
+    assert files.from_json(files.as_json(df), "id long, name string").orderBy("id").collect() == df.orderBy("id").collect()
+    assert files.enveloped(df.where("id = 1"), {"run": "r1"}).first()["value"] == '{"metadata":{"run":"r1"},"result":{"id":1,"name":"x"}}'
+    lines = [r["value"] for r in files.report_lines(df, F.concat(F.lit("row "), F.col("id").cast("string")), df.agg(F.count("*").alias("n"))).collect()]
+    assert lines == ["REPORT", "row 1", "row 2", "n: 2"]
+    chunks = spark.createDataFrame([("p", "c1"), ("q", "c2")], "parent_id string, chunk string")
+    found = enrich.with_parents(chunks, spark.createDataFrame([("p", "whole")], "parent_id string, text string")).orderBy("chunk").collect()
+    assert [r["parent_text"] for r in found] == ["whole", None]
+    assert enrich.with_metadata(df, name=F.lit("y")).columns == df.columns
+    answers = spark.createDataFrame([("a", "Il existe une chose ici. Rien de plus là-bas ailleurs."), ("b", "")], "answer_id string, response string")
+    got = answers.select("answer_id", verify.embedding_claims(F.col("response")).alias("c")).collect()
+    assert got[0]["c"] == ["Il existe une chose ici"]
+    verdicts = spark.createDataFrame([("a", 0, "hallucinated"), ("a", 1, "supported")], "answer_id string, claim_no int, verdict string")
+    assert {r["answer_id"]: r["confidence"] for r in verify.embedding_confidence(answers, verdicts).collect()} == {"a": 0.5, "b": 1.0}
+
+
+def test_runs_and_comparisons(spark):
+    docs = spark.createDataFrame([(1, "The fox sleeps in the barn. " * 8), (2, "The train leaves at noon. " * 8)], "doc_id long, text string")
+    questions = spark.createDataFrame([(1, "where does the fox sleep", "a"), (2, "", "b")], "item_id long, text string, category string")
+    each, summary = pipeline.evaluate_batch(docs, questions, by=["category"])
+    assert {r["item_id"]: r["outcome"]["success"] for r in each.collect()} == {1: True, 2: False}
+    assert {r["category"]: r["n_success"] for r in summary.collect()} == {"a": 1, "b": 0}
+    both = pipeline.compare_embedders(docs, questions.where("item_id = 1"), {"a": models.hashing_embedder(16), "nomic-embed-text:v1": models.hashing_embedder(32)})
+    assert sorted(r["embedder"] for r in both.collect()) == ["a", "nomic-embed-text:v1"]
+    near = pipeline.probe(docs, ["fox barn"], k=1).collect()
+    assert [(r["rank"], r["doc_id"]) for r in near] == [(1, 1)]
+
+
+def test_scratch_deletes_its_tables(spark):
+    from quillion.sources.shared import materialise, scratch
+
+    with scratch(spark) as kept:
+        gone = materialise(spark.range(3), "gone")
+        stays = kept(gone.withColumn("x", F.lit(1)), "stays")
+        with scratch(spark) as inner:
+            inner(spark.range(2), "of-the-outer")
+    assert stays.count() == 3
+    with pytest.raises(Exception):
+        gone.count()
