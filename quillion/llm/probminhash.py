@@ -205,7 +205,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kept = first.select(F.col("r")["doc_id"].alias("_id"), F.col("r")["tie"].alias("_tie"))
     dropped = grouped.alias("g").join(kept.alias("k"), F.col("g.doc_id").eqNullSafe(F.col("k._id")) & (F.col("g.tie") == F.col("k._tie")), "left_anti")
     dropped = store.materialise(dropped.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct(), "dropped")
-    out = docs.join(dropped, docs[id_col].cast("long").eqNullSafe(dropped["_id"]) & (F.xxhash64(docs[text_col]) == dropped["_tie"]), "left_anti")
+    # rows that the filter clears stay without being shuffled; the join decides about the others
+    flags = bitmap.of(dropped.select(F.xxhash64("_id", "_tie").alias("key")), "key")
+    suspect = bitmap.passes(docs.sparkSession, flags, F.xxhash64(docs[id_col].cast("long"), F.xxhash64(docs[text_col])))
+    marked = docs.where(suspect)
+    out = docs.where(~suspect).unionByName(marked.join(dropped, marked[id_col].cast("long").eqNullSafe(dropped["_id"]) & (F.xxhash64(marked[text_col]) == dropped["_tie"]), "left_anti"))
     # rows without words are classes of their own, so their repeats stay
     repeated = grouped.groupBy("doc_id", "tie").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
     repeated = store.materialise(repeated, "repeated")
