@@ -56,8 +56,8 @@ def components(links: DataFrame) -> DataFrame:
 def _hubs(members: DataFrame) -> DataFrame:
     """(bucket, hub): of each bucket's nodes the one that meets most others in all its buckets, which is likely to be their original."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
-    met = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("met"))
-    return members.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("hub"))
+    met = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("met"), F.collect_list("bucket").alias("buckets"))
+    return met.select("node", "met", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("hub"))
 
 
 def _verified(pairs: DataFrame, payloads: DataFrame, near_pairs: NearPairs) -> DataFrame:
@@ -82,23 +82,19 @@ def _met_before(left: list[list[int]], right: list[list[int]], bucket: int) -> n
     return there[: len(left)] @ there[len(left) :].T > 0
 
 
-def _cells(outside: DataFrame, inside: DataFrame, payloads: DataFrame, near_cells: NearCells) -> DataFrame:
-    """Links between outside's (bucket, node, c) and inside's (with ``out``: whether it is outside too) of other components, bucket by bucket, in cells of bounded size.
+def _cells(large: DataFrame, payloads: DataFrame, near_cells: NearCells) -> DataFrame:
+    """Links of large's (bucket, node, c, out) between rows that are ``out`` and rows of other components, bucket by bucket, in cells of bounded size.
 
     Each side is cut into blocks of about ``CELL`` rows by a hash; a cell is a block of either. It gives links that span
-    what it joins, not all links. A pair is compared in the first bucket that both are in, and once there.
+    what it joins, not all links. A pair is compared in the first bucket that both are in, and once there. A node's
+    buckets, as many as its payload makes at most, are a list until its payload has joined them.
     """
-    every = inside.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # as many as a node's payload makes, at most
-    payloads = payloads.join(every, "node")
-
-    def blocks(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("bucket").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
-
-    n_out, n_in = blocks(outside).withColumnRenamed("n", "n_out"), blocks(inside).withColumnRenamed("n", "n_in")
-    both = n_out.join(n_in, "bucket")
+    blocks = large.groupBy("bucket").agg(F.ceil(F.count(F.when(F.col("out"), 1)) / CELL).cast("int").alias("n_out"), F.ceil(F.count("*") / CELL).cast("int").alias("n_in"))
+    in_ = F.collect_list(F.struct("bucket", "out", "n_out", "n_in")).alias("in_")
+    nodes = large.join(blocks, "bucket").groupBy("node", "c").agg(in_, F.collect_list("bucket").alias("buckets")).join(payloads, "node")
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
-        rows = rows.join(both, "bucket").join(payloads, "node")
+        rows = rows.select("node", "c", "buckets", "payload", F.explode("in_").alias("in_")).select("in_.*", "node", "c", "buckets", "payload")
         mine = F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias(own)
         return rows.select("bucket", "node", "c", "out", "buckets", "payload", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
 
@@ -125,7 +121,8 @@ def _cells(outside: DataFrame, inside: DataFrame, payloads: DataFrame, near_cell
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     keys = ["bucket", "n_out", "n_in"]
-    right = dealt(inside, "n_in", "n_out").select("bucket", "n_out", "n_in", "node", "c", "out", "buckets", "payload").toDF("bucket_", "n_out_", "n_in_", "node_", "c_", "out_", "buckets_", "payload_")
+    outside = nodes.withColumn("in_", F.filter("in_", lambda x: x["out"])).where(F.size("in_") > 0)
+    right = dealt(nodes, "n_in", "n_out").select("bucket", "n_out", "n_in", "node", "c", "out", "buckets", "payload").toDF("bucket_", "n_out_", "n_in_", "node_", "c_", "out_", "buckets_", "payload_")
     return dealt(outside, "n_out", "n_in").groupBy(*keys).cogroup(right.groupBy(*(f"{k}_" for k in keys))).applyInArrow(join, LINKS)
 
 
@@ -160,8 +157,7 @@ def linked(members: DataFrame, payloads: DataFrame, near_pairs: NearPairs, near_
         small, other = outside.where(F.col("size") <= SMALL), unresolved.where(F.col("size") <= SMALL).select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"))
         rest = small.join(other, "bucket").where("c != cx").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
         rest = store.materialise(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        large = F.col("size") > SMALL
-        sides = [rows.where(large).select("bucket", "node", "c", (F.col("c") != F.col("head")).alias("out")) for rows in (outside, unresolved)]
-        cells = _cells(*sides, payloads, near_cells)
+        large = unresolved.where(F.col("size") > SMALL).select("bucket", "node", "c", (F.col("c") != F.col("head")).alias("out"))
+        cells = _cells(large, payloads, near_cells)
         new = store.materialise(_verified(rest, payloads, near_pairs).unionByName(cells), "links")
         return kept(components(links.unionByName(new)), "comps")
