@@ -37,7 +37,7 @@ HOT = 1000
 BROADCAST_WORDS = 2_000_000
 #: Places whose suffixes one part holds, about.
 PART_PLACES = 2_000_000
-#: Suffixes are packed as two numbers in each of three columns, the last with the count.
+#: Suffixes are packed as two numbers in each of three columns; a task's own rows hold their count as the last number.
 _COLUMNS = ("k1", "k2", "k3")
 _LOW = 0xFFFFFFFF
 
@@ -98,7 +98,8 @@ def _suffixes(ids: np.ndarray, max_n: int) -> tuple[np.ndarray, np.ndarray]:
 
     ids: words' numbers one after another, with 0 at every border that no phrase may cross.
     """
-    grid = np.zeros((max_n, len(ids)), np.int64)
+    ids = ids.astype(np.int32)
+    grid = np.zeros((max_n, len(ids)), np.int32)
     alive = ids > 0
     grid[0] = ids
     for k in range(1, max_n):
@@ -115,10 +116,10 @@ def _suffixes(ids: np.ndarray, max_n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(grid: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """Columns k1, k2, k3 and n of rows of five numbers (fewer are filled up with 0)."""
-    full = np.zeros((5, grid.shape[1]), np.int64)
-    full[: len(grid)] = grid
-    return [full[0] << 32 | full[1], full[2] << 32 | full[3], full[4], n.astype(np.int64)]
+    """Columns k1, k2 and k3 of rows of five numbers (fewer are filled up with 0) and n, which is below 2**32."""
+    full = np.zeros((6, grid.shape[1]), np.int64)
+    full[: len(grid)], full[5] = grid, n
+    return [full[i] << 32 | full[i + 1] for i in (0, 2, 4)]
 
 
 def _bordered(ids: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -127,15 +128,15 @@ def _bordered(ids: np.ndarray, piece: np.ndarray) -> np.ndarray:
     return np.insert(ids, at, 0)
 
 
-_SUFFIX = "k1 long, k2 long, k3 long, n long"
+_SUFFIX, _PREFIX = "k1 long, k2 long, k3 long", "k1 long, k2 long, k3 long, n long"
 
 
 def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k1", "k2", "k3", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k1", "k2", "k3", "n"][: len(columns)])
 
 
 def _suffix_rows(docs: DataFrame, known: DataFrame, max_n: int, broadcast_words: int, text_col: str, lang_col: str) -> DataFrame:
-    """(k1, k2, k3, n): each task's distinct suffixes. known: (id, lang, word)."""
+    """(k1, k2, k3): each task's distinct suffixes. known: (id, lang, word)."""
     texts = _words(docs, text_col, lang_col)
     if known.count() <= broadcast_words:
         table = known.select("lang", "word", F.col("id").cast("long")).toArrow()
@@ -184,7 +185,7 @@ def _suffix_rows(docs: DataFrame, known: DataFrame, max_n: int, broadcast_words:
 
 def _word(i: int) -> Column:
     """The i-th of a row's five words."""
-    return F.shiftright(_COLUMNS[i // 2], 32) if i in (0, 2) else F.col(_COLUMNS[i // 2]).bitwiseAND(F.lit(_LOW))
+    return F.shiftright(_COLUMNS[i // 2], 32) if i in (0, 2, 4) else F.col(_COLUMNS[i // 2]).bitwiseAND(F.lit(_LOW))
 
 
 def _dealt_by(hot: int) -> Column:
@@ -201,10 +202,10 @@ def _stack(max_n: int, least: int, hot: int):
     def count(batches):
         last, counts = None, [0] * (max_n + 1)  # the open suffix, and the counts of its prefixes by length
         for batch in batches:
-            k1, k2, k3, n = (batch.column(i).to_numpy() for i in range(4))
-            if not len(n):
+            k1, k2, k3 = (batch.column(i).to_numpy() for i in range(3))
+            if not len(k1):
                 continue
-            rows = np.stack([k1 >> 32, k1 & _LOW, k2 >> 32, k2 & _LOW, k3])[:max_n]
+            rows, n = np.stack([k1 >> 32, k1 & _LOW, k2 >> 32, k2 & _LOW, k3 >> 32])[:max_n], k3 & _LOW
             before = np.concatenate([(np.full(max_n, -1) if last is None else last)[:, None], rows], axis=1)
             changed = np.zeros(len(n), bool)
             for depth in range(1, max_n + 1):
@@ -228,7 +229,7 @@ def _stack(max_n: int, least: int, hot: int):
 def _closed(prefix: np.ndarray, n: np.ndarray, depth: int, least: int, hot: int) -> Iterator[pa.RecordBatch]:
     keep = (prefix[depth - 1] > 0) & ((n >= least) | (prefix <= hot).all(axis=0))
     if keep.any():
-        yield _batch(_packed(prefix[:, keep], n[keep]))
+        yield _batch([*_packed(prefix[:, keep], 0), n[keep].astype(np.int64)])
 
 
 def frequent_phrases(docs: DataFrame, counts: DataFrame, max_n: int = 5, least: int = 100, broadcast_words: int = BROADCAST_WORDS, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -241,7 +242,7 @@ def frequent_phrases(docs: DataFrame, counts: DataFrame, max_n: int = 5, least:
     suffixes = _suffix_rows(docs, words, max_n, broadcast_words, text_col, lang_col)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART_PLACES)
     dealt = suffixes.repartition(parts, _dealt_by(hot)).sortWithinPartitions(*(F.desc(c) for c in _COLUMNS))
-    found = dealt.mapInArrow(_stack(max_n, least, hot), _SUFFIX).groupBy(*_COLUMNS).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = dealt.mapInArrow(_stack(max_n, least, hot), _PREFIX).groupBy(*_COLUMNS).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return words, store.materialise(found.select(F.filter(F.array(*(_word(i) for i in range(5))), lambda x: x > 0).alias("words"), "n"), "collocation-phrases")
 
 

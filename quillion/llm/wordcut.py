@@ -54,11 +54,11 @@ def cut(texts: pa.Array, spaces: bytes, breaks: bytes = b"") -> tuple[pa.Array,
     inner = starts[1:-1][starts[1:-1] < len(data)]
     opens[inner] = inside[inner]  # a text's first byte never goes on with the word before it
     first = np.flatnonzero(opens)
-    bytes_before = np.concatenate([[0], np.cumsum(inside)])
-    ends = bytes_before[np.append(first, len(data))]
-    words = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+    before = np.cumsum(inside, dtype=np.int32)[first] - 1  # bytes of words before each word
+    ends = np.append(before, np.count_nonzero(inside)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[inside]))])
     text = np.searchsorted(starts[1:], first, "right")
-    broken = np.concatenate([[0], np.cumsum(kinds == 2)])[first] if breaks else np.zeros(len(first), np.int64)
+    broken = np.cumsum(kinds == 2, dtype=np.int32)[first] if breaks else 0
     return words, text, broken + text
 
 
