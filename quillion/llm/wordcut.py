@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 8_000_000
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """(start, stop) of runs of about ``SLICE_BYTES`` each."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of about ``limit`` bytes each."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(column):
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield start, stop
         start = stop
 
