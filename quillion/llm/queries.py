@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillion.llm import align, ann, collocations, decontaminate, licences, linededup, packing, probminhash, quality, store, tokenio, toxicity, warc
+from quillion.llm import align, ann, collocations, decontaminate, licences, linededup, packing, ppm, probminhash, quality, store, tokenio, toxicity, warc
 
 
 def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
@@ -105,6 +105,12 @@ UNION ALL
 SELECT l.key, NULL, NULL, (coalesce(o."offset", (SELECT max("offset") FROM ours)) // {warc.RANGE_BYTES})::BIGINT, NULL, l.leaf, 'added' FROM l LEFT JOIN ours o ON o.key IS NOT DISTINCT FROM l.key WHERE l.v = 2"""
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = ppm.trained_on(F.col("doc_id"))
+    docs = store.documents(spark, sf_dir).withColumn("_train", training)
+    return ppm.scores(docs, F.col("_train")).select("doc_id", (~training).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -116,7 +122,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_quality, op4_token_output, op5_packing, op6_near_duplicates, op7_line_dedup, op8_nearest_neighbours, op9_warc_fixity, op10_licences, op12_alignment, op13_collocations)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_quality, op4_token_output, op5_packing, op6_near_duplicates, op7_line_dedup, op8_nearest_neighbours, op9_warc_fixity, op10_licences, op11_language_model, op12_alignment, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
