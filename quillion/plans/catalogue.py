@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from quillion import models
 from quillion.functions import text as X
 from quillion.functions.vocabulary import SAMPLE_THESAURUS, TAXONOMY
-from quillion.operators import cache, chunk, context, enrich, evaluate, expand, fuse, index, rerank, retrieve, route, sections, verify
+from quillion.operators import cache, chunk, context, enrich, evaluate, expand, fuse, index, postings, rerank, retrieve, route, sections, verify
 from quillion.plans import pipeline
 from quillion.sources import html
-from quillion.sources.shared import materialise
+from quillion.sources.shared import fresh_path, materialise
 from quillion.streaming import ingest as streaming
 
 AS_OF = "2025-01-01 00:00:00"
@@ -79,6 +79,49 @@ def bm25_okapi_topk(spark, d):
     return _bm25(spark, d, "okapi")
 
 
+def _stored_index(spark, d, variant):
+    stored = postings.StoredIndex(spark, fresh_path(spark, "index"))
+    stored.build(_docs(spark, d), variant)
+    return stored
+
+
+def _stored_bm25(spark, d, variant):
+    found = _stored_index(spark, d, variant).search(_bench(spark, d), retrieve.bm25_fetch(K))
+    return found.select("item_id", "rank", "doc_id", "score", F.round("similarity_score", 6).alias("similarity_score"))
+
+
+def stored_bm25_topk(spark, d):
+    return _stored_bm25(spark, d, "plus1")
+
+
+def stored_bm25_okapi_topk(spark, d):
+    return _stored_bm25(spark, d, "okapi")
+
+
+def index_pruning(spark, d):
+    return _stored_index(spark, d, "plus1").pruning(_bench(spark, d), retrieve.bm25_fetch(K))
+
+
+def _later(docs):
+    """The corpus after a while: some documents are gone, some have other texts, some are new."""
+    text = F.when(F.col("doc_id") % 13 == 5, F.concat(F.lit("what is new here: "), F.col("text"))).otherwise(F.col("text"))
+    return docs.where("doc_id % 17 <> 3").select("doc_id", text.alias("text")).unionByName(docs.where("doc_id % 11 = 1").select((F.col("doc_id") + 10**9).alias("doc_id"), "text"))
+
+
+def _updated_index(spark, d):
+    stored, docs = _stored_index(spark, d, "plus1"), _docs(spark, d)
+    stored.update(docs, _later(docs))
+    return stored
+
+
+def index_delta_frequencies(spark, d):
+    return _updated_index(spark, d).part("terms").select("term", "df")
+
+
+def index_delta_topk(spark, d):
+    return _updated_index(spark, d).search(_bench(spark, d), retrieve.bm25_fetch(K)).select("item_id", "rank", "doc_id", "score")
+
+
 def _vectors(spark, d):
     v = _table(spark, d, "embeddings").select("vec_id", "embedding")
     return v, v.where("vec_id % 100 = 0")
@@ -396,7 +439,8 @@ def event_activity(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        text_fold, term_frequencies, document_frequencies, corpus_stats, bm25_topk, bm25_okapi_topk, vector_topk, vector_cosine,
+        text_fold, term_frequencies, document_frequencies, corpus_stats, bm25_topk, bm25_okapi_topk, stored_bm25_topk, stored_bm25_okapi_topk,
+        index_pruning, index_delta_frequencies, index_delta_topk, vector_topk, vector_cosine,
         similarity_threshold, mmr_topk, rrf_fusion, hybrid_fusion, multi_query_dedupe, rerank_score, rerank_topk, rerank_cross, keyword_match,
         dynamic_topk, route_expansion, request_validation, synonym_expand, plural_expand, query_variants, chunk_config, size_category,
         section_split, section_summaries, doc_type, enrich_documents, freshness, stable_ids, doc_key, html_title, html_documents,

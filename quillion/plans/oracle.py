@@ -89,6 +89,9 @@ def bm25(name: str, docs: str, questions: str, variant: str, k: int) -> str:
 
 DOCS_D = "docs AS (SELECT doc_id AS d, text FROM documents), asked AS (SELECT item_id AS q, text FROM benchmark)"
 SIM = "greatest(0.35, 1 - (rank - 1) * 0.05)"
+#: The corpus after the changes of the catalogue's ``_later``.
+LATER = """later AS (SELECT doc_id AS d, CASE WHEN doc_id % 13 = 5 THEN 'what is new here: ' || text ELSE text END AS text FROM documents WHERE doc_id % 17 <> 3
+  UNION ALL SELECT doc_id + 1000000000, text FROM documents WHERE doc_id % 11 = 1), asked AS (SELECT item_id AS q, text FROM benchmark)"""
 VECTORS = """
 v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 p AS (SELECT a.vec_id AS query_id, b.vec_id, a.e AS qe, b.e AS ve FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
@@ -289,6 +292,8 @@ SQL = {
     "corpus_stats": f"SELECT count(*) AS n_docs, sum(len({tokens('text', 2, BM25_STOP_WORDS)}))::BIGINT AS n_tokens, round(sum(len({tokens('text', 2, BM25_STOP_WORDS)})) / greatest(count(*), 1), 6) AS avg_length FROM documents",
     "bm25_topk": f"WITH {DOCS_D}, {bm25('r', 'docs', 'asked', 'plus1', 18)} SELECT q AS item_id, rank, d AS doc_id, score, round({SIM}, 6)::DOUBLE AS similarity_score FROM r",
     "bm25_okapi_topk": f"WITH {DOCS_D}, {bm25('r', 'docs', 'asked', 'okapi', 18)} SELECT q AS item_id, rank, d AS doc_id, score, round({SIM}, 6)::DOUBLE AS similarity_score FROM r",
+    "index_delta_frequencies": f"WITH {LATER}, t AS (SELECT DISTINCT d, unnest({DOC_TOKENS}) AS term FROM later) SELECT term, count(*) AS df FROM t GROUP BY term",
+    "index_delta_topk": f"WITH {LATER}, {bm25('r', 'later', 'asked', 'plus1', 18)} SELECT q AS item_id, rank, d AS doc_id, score FROM r",
     "vector_topk": f"WITH {VECTORS} SELECT query_id, rank, vec_id, distance, round(1 / (1 + greatest(distance, 0.0)), 6) AS similarity_score, round({SIM}, 6)::DOUBLE AS rank_score FROM top",
     "vector_cosine": f"WITH {VECTORS} SELECT query_id, vec_id, round(list_cosine_similarity(qe, ve), 6) AS cosine FROM p",
     "similarity_threshold": f"WITH {VECTORS} SELECT query_id, rank, vec_id, round(1 / (1 + greatest(distance, 0.0)), 6) AS similarity_score FROM top WHERE round(1 / (1 + greatest(distance, 0.0)), 6) >= 0.4",

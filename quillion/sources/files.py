@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,13 +75,24 @@ class VersionedTable:
     def _point(self, version: str, n: int) -> None:
         self.spark.createDataFrame([(n, version)], "n long, version string").coalesce(1).write.mode("append").json(f"{self.path}/_versions")
 
-    def replace(self, df: DataFrame) -> str:
+    def commit(self, write: Callable[[str], None]) -> str:
+        """A new version of what ``write`` puts into the folder that it is given (a table, or folders of several)."""
         n = len(self.versions())
         version = f"v{n:06d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/{version}")
+        write(f"{self.path}/{version}")
         self._point(version, n)
         return version
 
+    def current(self) -> str:
+        """The folder of the current version."""
+        known = self.versions()
+        if not known:
+            raise ValueError(f"{self.path} holds no version")
+        return f"{self.path}/{known[-1]}"
+
+    def replace(self, df: DataFrame) -> str:
+        return self.commit(df.write.parquet)
+
     def restore(self) -> str:
         """Back to the version before the current one."""
         known = self.versions()
@@ -90,10 +102,7 @@ class VersionedTable:
         return known[-2]
 
     def read(self) -> DataFrame:
-        known = self.versions()
-        if not known:
-            raise ValueError(f"{self.path} holds no version")
-        return self.spark.read.parquet(f"{self.path}/{known[-1]}")
+        return self.spark.read.parquet(self.current())
 
     def count(self) -> int:
         return self.read().count()
