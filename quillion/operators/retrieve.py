@@ -36,6 +36,11 @@ def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
 
+def finite(v: Column) -> Column:
+    """Whether a vector is there, isn't empty and has neither null nor non-finite components."""
+    return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -61,7 +66,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, same: bool = True) -
 
     Vectors are dealt into blocks, queries are copied to each; a task holds one block, lets the queries stream by and
     emits a bounded number of rows a query. With ``same`` a vector of the query's own id is left out. Arrays that are
-    null or of another length than a block's first take no part.
+    null, of another length than most, or hold a null or non-finite component take no part.
     """
 
     def run(batches):
@@ -75,11 +80,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, same: bool = True) -
                 continue
             if block is None:
                 ids = np.concatenate([h.column("id").to_numpy() for h in held])
-                block, held = np.array([x for h in held for x in h.column("v").to_pylist()], np.float64), []
+                block, held = np.concatenate([h.column("v").flatten().to_numpy().reshape(h.num_rows, -1) for h in held]), []
             part = batch.slice(first)
             out: list[list] = [[], [], []]
-            for q, w in zip(part.column("id").to_pylist(), part.column("v").to_pylist(), strict=True):
-                apart = ((block - np.asarray(w, np.float64)) ** 2).sum(axis=1)
+            for q, w in zip(part.column("id").to_pylist(), part.column("v").flatten().to_numpy().reshape(part.num_rows, -1), strict=True):
+                apart = ((block - w) ** 2).sum(axis=1)
                 if same:
                     apart[ids == q] = np.inf
                 best = np.argpartition(apart, k + SPARE)[: k + SPARE] if len(ids) > k + SPARE else np.arange(len(ids))
@@ -92,7 +97,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, same: bool = True) -
                 out[2] += apart[best].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "id", "distance"])
 
-    rows = vectors.where("v is not null and size(v) > 0")
+    rows = vectors.where(finite(F.col("v")))
     n = rows.count()
     blocks = max(1, -(-n // BLOCK))
     size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillion import models
 from quillion.functions import text as X
 from quillion.functions.vocabulary import SAMPLE_THESAURUS, TAXONOMY
-from quillion.operators import cache, chunk, context, enrich, evaluate, expand, fuse, index, postings, rerank, retrieve, route, sections, verify
+from quillion.operators import cache, chunk, context, enrich, evaluate, expand, fuse, index, postings, rerank, retrieve, route, sections, vectors, verify
 from quillion.plans import pipeline
 from quillion.sources import html
 from quillion.sources.shared import fresh_path, materialise
@@ -131,6 +131,20 @@ def vector_topk(spark, d):
     return retrieve.vector_top(*_vectors(spark, d), retrieve.vector_fetch(K))
 
 
+def _stored_vectors(spark, d):
+    stored = vectors.VectorIndex(spark, fresh_path(spark, "vector-index"))
+    stored.build(_vectors(spark, d)[0])
+    return stored
+
+
+def stored_vector_topk(spark, d):
+    return _stored_vectors(spark, d).search(_vectors(spark, d)[1], retrieve.vector_fetch(K))
+
+
+def vector_coverage(spark, d):
+    return _stored_vectors(spark, d).coverage(_vectors(spark, d)[1], retrieve.vector_fetch(K))
+
+
 def vector_cosine(spark, d):
     return retrieve.cosines(*_vectors(spark, d))
 
@@ -440,7 +454,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_fold, term_frequencies, document_frequencies, corpus_stats, bm25_topk, bm25_okapi_topk, stored_bm25_topk, stored_bm25_okapi_topk,
-        index_pruning, index_delta_frequencies, index_delta_topk, vector_topk, vector_cosine,
+        index_pruning, index_delta_frequencies, index_delta_topk, vector_topk, stored_vector_topk, vector_coverage, vector_cosine,
         similarity_threshold, mmr_topk, rrf_fusion, hybrid_fusion, multi_query_dedupe, rerank_score, rerank_topk, rerank_cross, keyword_match,
         dynamic_topk, route_expansion, request_validation, synonym_expand, plural_expand, query_variants, chunk_config, size_category,
         section_split, section_summaries, doc_type, enrich_documents, freshness, stable_ids, doc_key, html_title, html_documents,

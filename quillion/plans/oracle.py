@@ -349,3 +349,5 @@ CASE WHEN confidence < 0.25 THEN 'REJECT' WHEN confidence < 0.5 THEN 'WARN' ELSE
     "eval_summary": "SELECT role, count(*) AS n_questions, count(*) FILTER (length(text) > 200) AS n_success, count(*) - count(*) FILTER (length(text) > 200) AS n_error, round(100.0::DOUBLE * count(*) FILTER (length(text) > 200) / count(*), 6) AS success_pct, round(100.0::DOUBLE * (count(*) - count(*) FILTER (length(text) > 200)) / count(*), 6) AS error_pct, round(sum(length(text) / 100.0::DOUBLE), 6) AS total_seconds, round(sum(length(text) / 100.0::DOUBLE) / count(*), 6) AS mean_seconds FROM conversations GROUP BY role",
     "event_activity": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
+#: Stored indexes give what the direct searches give.
+SQL |= {"stored_bm25_topk": SQL["bm25_topk"], "stored_bm25_okapi_topk": SQL["bm25_okapi_topk"], "stored_vector_topk": SQL["vector_topk"]}
