@@ -46,6 +46,7 @@ LISTED_TERMS = 1000
 
 _POSTING = "bucket int, shard int, term string, d long, count int, length int"
 _BLOCK = "bucket int, shard int, term string, block int, first long, last long, gaps array<long>, counts array<int>, lengths array<int>, impacts array<struct<count: int, length: int>>"
+_PARTS = {"documents": "d long, hash long, length long", "terms": "term string, df long", "stats": "n_docs long, n_tokens long, variant string, buckets int, shards int", "blocks": _BLOCK}
 
 
 def tokens_of(variant: str, text: Column) -> Column:
@@ -158,7 +159,7 @@ class StoredIndex:
         self.spark, self.table = spark, VersionedTable(spark, path)
 
     def part(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.table.current()}/{name}")
+        return self.spark.read.schema(_PARTS[name]).parquet(f"{self.table.current()}/{name}")
 
     def stats(self) -> dict:
         return self.part("stats").first().asDict()
