@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from quillion import models
 from quillion.functions import text as X
 from quillion.functions.vocabulary import SAMPLE_THESAURUS
-from quillion.operators import cache, chunk, context, enrich, evaluate, expand, fuse, index, rerank, retrieve, route, sections, verify
+from quillion.operators import cache, chunk, context, enrich, evaluate, expand, fuse, index, postings, rerank, retrieve, route, sections, verify
+from quillion.operators import vectors as stored_vectors
 from quillion.sources import html
 from quillion.sources.shared import materialise
 
@@ -65,6 +66,10 @@ class Settings:
     weights: tuple[float, float] = (0.5, 0.5)
     now: float = 0.0
     ttl_seconds: float | None = None
+    #: Stored indexes of the corpus: of words (``okapi`` or ``plus1``), and of ``corpus_vectors``. Without them the corpus
+    #: is tokenised and embedded for each batch of questions.
+    lexical: postings.StoredIndex | None = None
+    vectors: stored_vectors.VectorIndex | None = None
 
     def cache_key(self, question: Column) -> Column:
         return cache.key(question, cache.namespace(F.lit(self.generation_model), F.lit(self.embedding_model), F.lit(self.corpus_build_id)))
@@ -92,17 +97,28 @@ def _variants(spark: SparkSession, q: DataFrame, settings: Settings) -> DataFram
     return materialise(every.withColumn("vid", F.monotonically_increasing_id()), "queries")
 
 
+def corpus_vectors(corpus: DataFrame, settings: Settings) -> DataFrame:
+    """(id, v) of the corpus (d, content): what a stored vector index for these settings is built from."""
+    hold = models.prefixes(settings.embedding_model)[1]
+    return models.embedded(corpus, "content", settings.embed or models.hashing_embedder(), hold).select(F.col("d").alias("id"), retrieve.doubles(F.col("embedding")).alias("v"))
+
+
 def _retrieved(corpus: DataFrame, queries: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """(q, d, arrival, similarity_score) of what is found by all of a question's queries, and (q, retrieval_debug)."""
     embed = settings.embed or models.hashing_embedder()
-    ask, hold = models.prefixes(settings.embedding_model)
+    ask = models.prefixes(settings.embedding_model)[0]
     k = F.col("k")
     small = queries.select("vid", "q", "variant_no", "query", "k")
-    lexical = index.bm25_top(corpus, queries, 20, id_col="d", text_col="content", question_id="vid", question_col="query").join(small.select("vid", "k"), "vid")
+    if settings.lexical is not None:
+        lexical = settings.lexical.search(queries, 20, "vid", "query", "d").join(small.select("vid", "k"), "vid")
+    else:
+        lexical = index.bm25_top(corpus, queries, 20, id_col="d", text_col="content", question_id="vid", question_col="query").join(small.select("vid", "k"), "vid")
     lexical = materialise(lexical.where(F.col("rank") <= F.least(F.greatest(3 * k, F.lit(6)), F.lit(20))).drop("k"), "lexical")
-    vectors = models.embedded(corpus, "content", embed, hold).select(F.col("d").alias("id"), retrieve.doubles(F.col("embedding")).alias("v"))
     asked = models.embedded(queries, "query", embed, ask).select(F.col("vid").alias("query_id"), retrieve.doubles(F.col("embedding")).alias("q"))
-    near = retrieve.nearest(materialise(vectors, "vectors"), materialise(asked, "asked"), 30, same=False)
+    if settings.vectors is not None:
+        near = settings.vectors.search(materialise(asked, "asked").select(F.col("query_id").alias("id"), "q"), 30, "id", "q", same=False)
+    else:
+        near = retrieve.nearest(materialise(corpus_vectors(corpus, settings), "vectors"), materialise(asked, "asked"), 30, same=False)
     near = near.select(F.col("query_id").alias("vid"), F.col("id").alias("d"), F.round("distance", 6).alias("distance")).join(small.select("vid", "k"), "vid")
     near = index.top_k(near, "vid", F.least(F.greatest(4 * k, F.lit(8)), F.lit(30)), "d", "distance", descending=False)
     near = materialise(near.withColumn("similarity_score", models.similarity_of(F.col("distance"))).drop("k"), "nearest")

@@ -96,3 +96,20 @@ def test_vectors_with_holes_take_no_part(spark):
     made = [(i, [float(i), 0.0]) for i in range(5)] + [(10 + i, [float("nan"), 1.0]) for i in range(20)] + [(50, None), (51, [None, 1.0]), (52, [])]
     held = spark.createDataFrame(made, "vec_id long, embedding array<double>")
     assert [r[0] for r in retrieve.vector_top(held, held.where("vec_id = 0"), 3).select("vec_id").collect()] == [1, 2, 3]
+
+
+def test_questions_are_answered_alike_from_stored_indexes(spark, tmp_path):
+    from dataclasses import replace
+
+    from quillion.plans import pipeline
+
+    texts = ["The red fox sleeps in the old barn near the river. It hunts at night and eats mice.", "A guide to the train: the ticket costs 25 euros.", "The barn is old. The river is wide."]
+    docs = spark.createDataFrame([(i, t * 3) for i, t in enumerate(texts)], "doc_id long, text string")
+    questions = spark.createDataFrame([(1, "where does the red fox sleep at night"), (2, " ")], "item_id long, text string")
+    plain = pipeline.Settings()
+    words = postings.StoredIndex(spark, f"file://{tmp_path}/words")
+    words.build(docs)
+    near = vectors.VectorIndex(spark, f"file://{tmp_path}/vectors")
+    near.build(pipeline.corpus_vectors(docs.select(F.col("doc_id").alias("d"), F.col("text").alias("content")), plain), "id", "v")
+    found = [sorted(map(str, pipeline.ask_batch(docs, questions, s).collect())) for s in (plain, replace(plain, lexical=words, vectors=near))]
+    assert found[0] == found[1] and "red fox" in found[0][0]
