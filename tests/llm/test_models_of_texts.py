@@ -123,7 +123,7 @@ def test_language_model_equals_brute_force(docs, order, head):
     want = [(i, len(tokens(t)), sum(model.count[w] > 0 for w in tokens(t)), n, sum(math.log10((model.count[w] + 1) / (n + v + 1)) for w in tokens(t)), model.text(t)) for i, t in ODD]
     got = ppm.scores(docs, ppm.trained_on(F.col("doc_id")), order=order, head_words=head, head_bytes=head).collect()
     for g, w in zip(ordered(got), ordered(want), strict=True):
-        assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:], rel=1e-9)
+        assert g[:4] == w[:4] and g[4] == pytest.approx(w[4], rel=1e-9) and g[5] == pytest.approx(w[5], rel=1e-6)
 
 
 def test_bytes_probabilities_sum_to_one(spark):
