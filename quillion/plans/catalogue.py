@@ -13,6 +13,7 @@ from quillion import models
 from quillion.functions import text as X
 from quillion.functions.vocabulary import SAMPLE_THESAURUS, TAXONOMY
 from quillion.operators import cache, chunk, context, enrich, evaluate, expand, fuse, index, postings, rerank, retrieve, route, sections, vectors, verify
+from quillion.operators.stored_cache import StoredCache
 from quillion.plans import pipeline
 from quillion.sources import html
 from quillion.sources.shared import fresh_path, materialise
@@ -421,6 +422,33 @@ def cache_sweep(spark, d):
     return cache.swept(rows.crossJoin(F.broadcast(now)), F.col("now"), 6000.0).select("query_hash", "timestamp", "entry_id")
 
 
+def _stored_cache(spark, rows: DataFrame) -> StoredCache:
+    """A stored cache that got its entries in two commits; those of the second replace what they are newer than."""
+    stored = StoredCache(spark, fresh_path(spark, "cache"), buckets=8)
+    for part in (0, 1):
+        stored.upsert(rows.where(F.pmod(F.xxhash64("entry_id"), F.lit(2)) == part))
+    return stored
+
+
+def stored_cache_upsert(spark, d):
+    return _stored_cache(spark, _cache_rows(spark, d)).read()
+
+
+def stored_cache_lookup(spark, d):
+    rows = _cache_rows(spark, d)
+    now = rows.agg(F.max("timestamp")).first()[0] or 0.0
+    stored = _stored_cache(spark, rows.where("entry_id % 2 = 0"))
+    return stored.lookup(rows.select(F.col("entry_id").alias("asked"), "query_hash"), F.lit(now), 6000.0).select("asked", "query_hash", "hit", "entry_id")
+
+
+def stored_cache_sweep(spark, d):
+    rows = _cache_rows(spark, d)
+    stored = _stored_cache(spark, rows)
+    now = rows.agg(F.max("timestamp")).first()[0] or 0.0
+    stored.sweep(now, 6000.0)
+    return stored.read().select("query_hash", "timestamp", "entry_id")
+
+
 def eval_summary(spark, d):
     """A run is stood in for by turns: it succeeds if it has over 200 characters and takes a hundredth of a second each."""
     turns = _table(spark, d, "conversations").select("role", (F.length("text") > 200).alias("success"), (F.length("text") / 100.0).alias("seconds"))
@@ -460,6 +488,6 @@ QUERIES = {
         section_split, section_summaries, doc_type, enrich_documents, freshness, stable_ids, doc_key, html_title, html_documents,
         adaptive_chunks, ingest_report, ingest_pages, sample_document, sentences, claims, sensitive_tokens, citations,
         sentence_windows, claim_verdicts, answer_confidence, embedding_verdicts, embedding_confidence, embedding_claims, context_pack, context_blocks, source_projection,
-        cache_upsert, cache_lookup, cache_sweep, eval_summary, ask_batch, probe, embedder_comparison, event_activity,
+        cache_upsert, cache_lookup, cache_sweep, stored_cache_upsert, stored_cache_lookup, stored_cache_sweep, eval_summary, ask_batch, probe, embedder_comparison, event_activity,
     )
 }

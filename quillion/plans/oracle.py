@@ -351,3 +351,4 @@ CASE WHEN confidence < 0.25 THEN 'REJECT' WHEN confidence < 0.5 THEN 'WARN' ELSE
 }
 #: Stored indexes give what the direct searches give.
 SQL |= {"stored_bm25_topk": SQL["bm25_topk"], "stored_bm25_okapi_topk": SQL["bm25_okapi_topk"], "stored_vector_topk": SQL["vector_topk"]}
+SQL |= {f"stored_{name}": SQL[name] for name in ("cache_upsert", "cache_lookup", "cache_sweep")}

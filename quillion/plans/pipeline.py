@@ -13,6 +13,7 @@ from quillion.functions import text as X
 from quillion.functions.vocabulary import SAMPLE_THESAURUS
 from quillion.operators import cache, chunk, context, enrich, evaluate, expand, fuse, index, postings, rerank, retrieve, route, sections, verify
 from quillion.operators import vectors as stored_vectors
+from quillion.operators.stored_cache import StoredCache
 from quillion.sources import html
 from quillion.sources.shared import materialise
 
@@ -150,10 +151,11 @@ def _checked(answers: DataFrame, sources: DataFrame) -> DataFrame:
     return out.select("answer_id", "confidence", check.cast(CHECK).alias("hallucination_check"), of("supported").alias("supported_claims"))
 
 
-def ask_batch(docs: DataFrame, questions: DataFrame, settings: Settings = Settings(), stored: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", question_id: str = "item_id", question_col: str = "text") -> DataFrame:
+def ask_batch(docs: DataFrame, questions: DataFrame, settings: Settings = Settings(), stored: DataFrame | StoredCache | None = None, id_col: str = "doc_id", text_col: str = "text", question_id: str = "item_id", question_col: str = "text") -> DataFrame:
     """(question id, question, answer, sources, metadata): one row for every question.
 
-    A question is answered from ``stored`` (of ``CACHE_SCHEMA``) if its key is there and not too old. Any other is routed
+    A question is answered from ``stored`` (of ``CACHE_SCHEMA``, a table or a stored cache, of which only the questions'
+    buckets are read) if its key is there and not too old. Any other is routed
     (how many results, how many variants), each variant is searched by words and by vectors and the two lists are fused;
     what all variants found comes in the order of first arrival, is reranked, packed, put into a prompt, answered and
     verified. Blank and too long questions, and those for which nothing is found, have a row with an error and no
@@ -165,6 +167,8 @@ def ask_batch(docs: DataFrame, questions: DataFrame, settings: Settings = Settin
     spark = docs.sparkSession
     every = questions.select(F.col(question_id).alias("q"), F.col(question_col).alias("question")).withColumn("query_hash", settings.cache_key(F.col("question")))
     every = route.validated(every).withColumnRenamed("error", "invalid")
+    if isinstance(stored, StoredCache):
+        stored = stored.matching(every) if stored.count() else None
     known = (stored if stored is not None else spark.createDataFrame([], CACHE_SCHEMA)).select("query_hash", "response", "sources", "metadata", "timestamp")
     every = cache.lookup(every, known, F.lit(settings.now), settings.ttl_seconds).withColumn("hit", F.col("hit") & F.col("invalid").isNull())
     every = materialise(every, "questions")
@@ -210,7 +214,7 @@ def to_cache(answered: DataFrame, settings: Settings = Settings(), question_id:
     return cache.latest(rows)
 
 
-def evaluate_batch(docs: DataFrame, questions: DataFrame, settings: Settings = Settings(), stored: DataFrame | None = None, by: list[str] | None = None, **columns) -> tuple[DataFrame, DataFrame]:
+def evaluate_batch(docs: DataFrame, questions: DataFrame, settings: Settings = Settings(), stored: DataFrame | StoredCache | None = None, by: list[str] | None = None, **columns) -> tuple[DataFrame, DataFrame]:
     """A run over a question set: (each question's outcome and metrics, summary by the question columns ``by``)."""
     question_id = columns.get("question_id", "item_id")
     rows = materialise(ask_batch(docs, questions, settings, stored, **columns), "run")
