@@ -18,6 +18,7 @@ A frequent word's number stands for its language too, so phrases of different la
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,62 @@ HOT = 1000
 BROADCAST_WORDS = 2_000_000
 #: Places whose suffixes one part holds, about.
 PART_PLACES = 2_000_000
-#: Suffixes are packed as two numbers in each of three columns; a task's own rows hold their count as the last number.
-_COLUMNS = ("k1", "k2", "k3")
-_LOW = 0xFFFFFFFF
+#: Frequent words below which a word's number takes 21 bits, three to a column; from there on, 32 bits and two.
+NARROW_WORDS = 1 << 21
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Five words' numbers (0 where there is none) and a count, of ``bits`` bits each, as columns of whole numbers that sort like the words."""
+
+    bits: int
+
+    @property
+    def per(self) -> int:
+        return 64 // self.bits
+
+    @property
+    def mask(self) -> int:
+        return (1 << self.bits) - 1
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"k{i + 1}" for i in range(6 // self.per)]
+
+    @property
+    def suffix(self) -> str:
+        return ", ".join(f"{c} long" for c in self.columns)
+
+    @property
+    def prefix(self) -> str:
+        return f"{self.suffix}, n long"
+
+    def word(self, i: int) -> Column:
+        """The i-th word of a row."""
+        column, after = self.columns[i // self.per], self.bits * (self.per - 1 - i % self.per)
+        return F.shiftright(column, after).bitwiseAND(F.lit(self.mask))
+
+    def packed(self, grid: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        """Columns of rows of up to five numbers and n; a row whose n is too large becomes several that add up to it."""
+        if len(n) and n.max() > self.mask:
+            times = np.maximum(1, -(-n // self.mask))
+            grid, part = np.repeat(grid, times, axis=1), np.full(times.sum(), self.mask)
+            part[np.cumsum(times) - 1] = n - (times - 1) * self.mask
+            n = part
+        full = np.zeros((6, grid.shape[1]), np.int64)
+        full[: len(grid)], full[5] = grid, n
+        columns = full.reshape(6 // self.per, self.per, -1)
+        out = columns[:, 0]
+        for i in range(1, self.per):
+            out = out << self.bits | columns[:, i]
+        return list(out)
+
+    def unpacked(self, columns: list[np.ndarray]) -> np.ndarray:
+        """The six numbers of each row."""
+        return np.stack([c >> self.bits * (self.per - 1 - i) & self.mask for c in columns for i in range(self.per)])
+
+    def batch(self, columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [*self.columns, "n"][: len(columns)])
 
 
 def _words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -115,28 +169,14 @@ def _suffixes(ids: np.ndarray, max_n: int) -> tuple[np.ndarray, np.ndarray]:
     return grid[:, at], np.diff(np.append(at, grid.shape[1]))
 
 
-def _packed(grid: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """Columns k1, k2 and k3 of rows of five numbers (fewer are filled up with 0) and n, which is below 2**32."""
-    full = np.zeros((6, grid.shape[1]), np.int64)
-    full[: len(grid)], full[5] = grid, n
-    return [full[i] << 32 | full[i + 1] for i in (0, 2, 4)]
-
-
 def _bordered(ids: np.ndarray, piece: np.ndarray) -> np.ndarray:
     """ids with a 0 wherever the piece changes."""
     at = np.flatnonzero(np.diff(piece)) + 1
     return np.insert(ids, at, 0)
 
 
-_SUFFIX, _PREFIX = "k1 long, k2 long, k3 long", "k1 long, k2 long, k3 long, n long"
-
-
-def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k1", "k2", "k3", "n"][: len(columns)])
-
-
-def _suffix_rows(docs: DataFrame, known: DataFrame, max_n: int, broadcast_words: int, text_col: str, lang_col: str) -> DataFrame:
-    """(k1, k2, k3): each task's distinct suffixes. known: (id, lang, word)."""
+def _suffix_rows(docs: DataFrame, known: DataFrame, layout: Layout, max_n: int, broadcast_words: int, text_col: str, lang_col: str) -> DataFrame:
+    """Columns of the layout: each task's distinct suffixes. known: (id, lang, word)."""
     texts = _words(docs, text_col, lang_col)
     if known.count() <= broadcast_words:
         table = known.select("lang", "word", F.col("id").cast("long")).toArrow()
@@ -153,10 +193,10 @@ def _suffix_rows(docs: DataFrame, known: DataFrame, max_n: int, broadcast_words:
                         found, _, piece = wordcut.cut(part, SPACES, BREAKS)
                         distinct, codes = wordcut.numbered(found)
                         at = wordcut.placed(distinct, known_words)  # -1: the 0 at the end
-                        yield _batch(_packed(*_suffixes(_bordered(numbers[at][codes], piece), max_n)))
+                        yield layout.batch(layout.packed(*_suffixes(_bordered(numbers[at][codes], piece), max_n)))
             give_back()
 
-        return texts.mapInArrow(look_up, _SUFFIX)
+        return texts.mapInArrow(look_up, layout.suffix)
 
     def places(batches):
         doc, part = 0, TaskContext.get().partitionId() << 33
@@ -178,34 +218,29 @@ def _suffix_rows(docs: DataFrame, known: DataFrame, max_n: int, broadcast_words:
             text = batch.column("words").value_parent_indices().to_numpy()
             ids, piece = flat.field("id").to_numpy(), flat.field("piece").to_numpy()
             border = np.flatnonzero((np.diff(text) != 0) | (np.diff(piece) != 0)) + 1
-            yield _batch(_packed(*_suffixes(np.insert(ids, border, 0), max_n)))
-
-    return rows.select("words").mapInArrow(joined, _SUFFIX)
-
+            yield layout.batch(layout.packed(*_suffixes(np.insert(ids, border, 0), max_n)))
 
-def _word(i: int) -> Column:
-    """The i-th of a row's five words."""
-    return F.shiftright(_COLUMNS[i // 2], 32) if i in (0, 2, 4) else F.col(_COLUMNS[i // 2]).bitwiseAND(F.lit(_LOW))
+    return rows.select("words").mapInArrow(joined, layout.suffix)
 
 
-def _dealt_by(hot: int) -> Column:
+def _dealt_by(layout: Layout, hot: int) -> Column:
     """The hash of a suffix's words up to the first that isn't hot."""
-    found = F.hash(*(_word(i) for i in range(5)))
+    found = F.hash(*(layout.word(i) for i in range(5)))
     for i in reversed(range(4)):
-        found = F.when(_word(i) > hot, F.hash(*(_word(j) for j in range(i + 1)))).otherwise(found)
+        found = F.when(layout.word(i) > hot, F.hash(*(layout.word(j) for j in range(i + 1)))).otherwise(found)
     return found
 
 
-def _stack(max_n: int, least: int, hot: int):
+def _stack(layout: Layout, max_n: int, least: int, hot: int):
     """Counts of all prefixes of two words or more, from suffixes in order."""
 
     def count(batches):
         last, counts = None, [0] * (max_n + 1)  # the open suffix, and the counts of its prefixes by length
         for batch in batches:
-            k1, k2, k3 = (batch.column(i).to_numpy() for i in range(3))
-            if not len(k1):
+            if not batch.num_rows:
                 continue
-            rows, n = np.stack([k1 >> 32, k1 & _LOW, k2 >> 32, k2 & _LOW, k3 >> 32])[:max_n], k3 & _LOW
+            numbers = layout.unpacked([c.to_numpy() for c in batch.columns])
+            rows, n = numbers[:max_n], numbers[5]
             before = np.concatenate([(np.full(max_n, -1) if last is None else last)[:, None], rows], axis=1)
             changed = np.zeros(len(n), bool)
             for depth in range(1, max_n + 1):
@@ -216,20 +251,20 @@ def _stack(max_n: int, least: int, hot: int):
                     sums = np.add.reduceat(np.concatenate([[counts[depth]], n]), opens)
                     counts[depth] = int(sums[-1])
                     closed = before[:depth, opens[:-1]]
-                    yield from _closed(closed, sums[:-1], depth, least, hot)
+                    yield from _closed(layout, closed, sums[:-1], depth, least, hot)
             last = rows[:, -1]
         for depth in range(2, max_n + 1):
             if last is not None:
-                yield from _closed(last[:depth, None], np.array([counts[depth]]), depth, least, hot)
+                yield from _closed(layout, last[:depth, None], np.array([counts[depth]]), depth, least, hot)
         give_back()
 
     return count
 
 
-def _closed(prefix: np.ndarray, n: np.ndarray, depth: int, least: int, hot: int) -> Iterator[pa.RecordBatch]:
+def _closed(layout: Layout, prefix: np.ndarray, n: np.ndarray, depth: int, least: int, hot: int) -> Iterator[pa.RecordBatch]:
     keep = (prefix[depth - 1] > 0) & ((n >= least) | (prefix <= hot).all(axis=0))
     if keep.any():
-        yield _batch([*_packed(prefix[:, keep], 0), n[keep].astype(np.int64)])
+        yield layout.batch([*layout.packed(prefix[:, keep], np.zeros(keep.sum(), np.int64)), n[keep].astype(np.int64)])
 
 
 def frequent_phrases(docs: DataFrame, counts: DataFrame, max_n: int = 5, least: int = 100, broadcast_words: int = BROADCAST_WORDS, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -239,11 +274,12 @@ def frequent_phrases(docs: DataFrame, counts: DataFrame, max_n: int = 5, least:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).first()[0]
     words = store.materialise(_numbered(counts.where(F.col("n") >= least)), "collocation-numbers")
     hot = words.where(F.col("n") * HOT >= total).count()
-    suffixes = _suffix_rows(docs, words, max_n, broadcast_words, text_col, lang_col)
+    layout = Layout(21 if words.count() < NARROW_WORDS else 32)
+    suffixes = _suffix_rows(docs, words, layout, max_n, broadcast_words, text_col, lang_col)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART_PLACES)
-    dealt = suffixes.repartition(parts, _dealt_by(hot)).sortWithinPartitions(*(F.desc(c) for c in _COLUMNS))
-    found = dealt.mapInArrow(_stack(max_n, least, hot), _PREFIX).groupBy(*_COLUMNS).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return words, store.materialise(found.select(F.filter(F.array(*(_word(i) for i in range(5))), lambda x: x > 0).alias("words"), "n"), "collocation-phrases")
+    dealt = suffixes.repartition(parts, _dealt_by(layout, hot)).sortWithinPartitions(*(F.desc(c) for c in layout.columns))
+    found = dealt.mapInArrow(_stack(layout, max_n, least, hot), layout.prefix).groupBy(*layout.columns).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return words, store.materialise(found.select(F.filter(F.array(*(layout.word(i) for i in range(5))), lambda x: x > 0).alias("words"), "n"), "collocation-phrases")
 
 
 #: 1000 a n / (l r), rounded down; products of counts up to 10**17 fit.

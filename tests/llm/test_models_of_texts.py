@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -220,6 +221,22 @@ def test_collocations_equal_sql(docs, least, broadcast_words):
     assert ordered(collocations.mine(docs, least=least, first=20, broadcast_words=broadcast_words).collect()) == ordered(want)
 
 
+def test_collocations_in_wide_columns(docs, monkeypatch):
+    narrow = ordered(collocations.mine(docs, least=20, first=20).collect())
+    monkeypatch.setattr(collocations, "NARROW_WORDS", 0)
+    assert ordered(collocations.mine(docs, least=20, first=20).collect()) == narrow
+
+
+def test_suffix_rows_hold_any_count():
+    for layout in (collocations.Layout(21), collocations.Layout(32)):
+        grid, n = np.array([[7, 1, layout.mask >> 1], [8, 2, 0]]), np.array([1, 3 * layout.mask + 5, layout.mask])
+        back = layout.unpacked(layout.packed(grid, n))
+        sums = {}
+        for *words, count in back.T.tolist():
+            sums[tuple(words[:2])] = sums.get(tuple(words[:2]), 0) + count
+        assert sums == {tuple(w): c for w, c in zip(grid.T.tolist(), n.tolist(), strict=True)} and back[2:5].max() == 0
+
+
 def test_collocations_of_hot_words_and_of_nothing(spark):
     rows = [(i, "the the the of the of of the the of", "en") for i in range(30)] + [(99, None, None)]
     texts = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
