@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillion.functions import text as X
+from quillion.operators import patterns
 
 
 def thesaurus(spark: SparkSession, terms: dict[str, list[str]]) -> DataFrame:
@@ -19,10 +20,10 @@ def thesaurus(spark: SparkSession, terms: dict[str, list[str]]) -> DataFrame:
 def synonyms(questions: DataFrame, terms: DataFrame, id_col: str, question: str = "question") -> DataFrame:
     """(id, variant): each term in the lower-case question replaced by each alternative, plain and capitalised.
 
-    A theta join on substrings; the thesaurus is vocabulary, not data, and is broadcast.
+    Terms are found by an automaton in one pass over the questions, so a thesaurus may be long.
     """
     low = questions.select(id_col, F.lower(question).alias("_low"))
-    found = low.join(F.broadcast(terms), F.contains("_low", F.col("term")))
+    found = patterns.occurring(low, "_low", terms).join(terms, "term")
     made = found.select(id_col, F.replace("_low", "term", "alternative").alias("v"))
     return made.select(id_col, F.explode(F.array("v", X.capitalised(F.col("v")))).alias("variant")).distinct()
 

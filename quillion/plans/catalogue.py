@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillion import models
 from quillion.functions import text as X
 from quillion.functions.vocabulary import SAMPLE_THESAURUS, TAXONOMY
-from quillion.operators import cache, chunk, context, enrich, evaluate, expand, fuse, index, postings, rerank, retrieve, route, sections, vectors, verify
+from quillion.operators import cache, chunk, context, enrich, evaluate, expand, fuse, index, patterns, postings, rerank, retrieve, route, sections, vectors, verify
 from quillion.operators.stored_cache import StoredCache
 from quillion.plans import pipeline
 from quillion.sources import html
@@ -239,6 +239,19 @@ def synonym_expand(spark, d):
     return expand.synonyms(_bench(spark, d), expand.thesaurus(spark, SAMPLE_THESAURUS), "item_id", "text")
 
 
+def keyword_match_many(spark, d):
+    """As ``keyword_match``, by one automaton over all words of the taxonomy."""
+    asked = _questions(spark, d).select("conv_id", "turn", X.fold(F.coalesce("text", F.lit(""))).alias("folded"))
+    return patterns.labelled(asked, "folded").drop("folded")
+
+
+def synonym_expand_many(spark, d):
+    """A thesaurus of a thousand terms: the documents' most frequent words of four letters or more, each with itself reversed."""
+    words = _docs(spark, d).select(F.explode(F.split(F.lower("text"), " ")).alias("term")).where(F.col("term").rlike("^[a-z]{4,}$"))
+    most = materialise(words.groupBy("term").count().orderBy(F.desc("count"), "term").limit(1000).select("term", F.reverse("term").alias("alternative")), "thesaurus")
+    return expand.synonyms(_bench(spark, d), most, "item_id", "text")
+
+
 def plural_expand(spark, d):
     ends = F.regexp_replace("text", r"[.?!\s]+$", "")
     return _bench(spark, d).select("item_id", F.explode(expand.plurals(ends)).alias("variant"))
@@ -483,7 +496,7 @@ QUERIES = {
     for f in (
         text_fold, term_frequencies, document_frequencies, corpus_stats, bm25_topk, bm25_okapi_topk, stored_bm25_topk, stored_bm25_okapi_topk,
         index_pruning, index_delta_frequencies, index_delta_topk, vector_topk, stored_vector_topk, vector_coverage, vector_cosine,
-        similarity_threshold, mmr_topk, rrf_fusion, hybrid_fusion, multi_query_dedupe, rerank_score, rerank_topk, rerank_cross, keyword_match,
+        similarity_threshold, mmr_topk, rrf_fusion, hybrid_fusion, multi_query_dedupe, rerank_score, rerank_topk, rerank_cross, keyword_match, keyword_match_many, synonym_expand_many,
         dynamic_topk, route_expansion, request_validation, synonym_expand, plural_expand, query_variants, chunk_config, size_category,
         section_split, section_summaries, doc_type, enrich_documents, freshness, stable_ids, doc_key, html_title, html_documents,
         adaptive_chunks, ingest_report, ingest_pages, sample_document, sentences, claims, sensitive_tokens, citations,

@@ -352,3 +352,6 @@ CASE WHEN confidence < 0.25 THEN 'REJECT' WHEN confidence < 0.5 THEN 'WARN' ELSE
 #: Stored indexes give what the direct searches give.
 SQL |= {"stored_bm25_topk": SQL["bm25_topk"], "stored_bm25_okapi_topk": SQL["bm25_okapi_topk"], "stored_vector_topk": SQL["vector_topk"]}
 SQL |= {f"stored_{name}": SQL[name] for name in ("cache_upsert", "cache_lookup", "cache_sweep")}
+SQL["keyword_match_many"] = SQL["keyword_match"]
+_FREQUENT = "(SELECT term, reverse(term) AS alternative FROM (SELECT unnest(string_split(lower(text), ' ')) AS term FROM documents) WHERE regexp_full_match(term, '[a-z]{4,}') GROUP BY term ORDER BY count(*) DESC, term LIMIT 1000)"
+SQL["synonym_expand_many"] = f"WITH {SYNONYMS.replace(thesaurus(), _FREQUENT)} SELECT * FROM both_syn"
