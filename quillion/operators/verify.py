@@ -20,14 +20,14 @@ from quillion.sources.shared import materialise
 
 #: Patterns of tokens whose absence from the evidence refutes a claim.
 SENSITIVE = (
-    r"(?i)\b[0-9]{1,2}[/-][0-9]{1,2}(?:[/-][0-9]{2,4})?\b",
-    r"(?i)\b[0-9]+(?:[.,][0-9]+)?\s?(?:%|eur|€|euros?)\b",
-    r"\b[0-9]{2,}\b",
+    r"(?i)\b\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})?\b",
+    r"(?i)\b\d+(?:[.,]\d+)?\s?(?:%|eur|€|euros?)\b",
+    r"\b\d{2,}\b",
     r"(?i)\b[A-Z][A-Z0-9]{2,}(?:-[A-Z0-9]+)?\b",
 )
 #: Letters beyond ASCII stand as underscores while tokens are looked for, so that they are parts of words there too.
 BEYOND_ASCII = r"[^\x00-\x7F€\x{A0}«»…’]"
-CITATION = r"(?i)\[(S[0-9]+)\]"
+CITATION = r"(?i)\[(S\d+)\]"
 SIMILAR, OVERLAP, FAR, APART, UNCLEAR_WEIGHT = 0.18, 0.35, 0.08, 0.15, 0.35
 
 

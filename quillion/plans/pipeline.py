@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -215,12 +216,17 @@ def to_cache(answered: DataFrame, settings: Settings = Settings(), question_id:
 
 
 def evaluate_batch(docs: DataFrame, questions: DataFrame, settings: Settings = Settings(), stored: DataFrame | StoredCache | None = None, by: list[str] | None = None, **columns) -> tuple[DataFrame, DataFrame]:
-    """A run over a question set: (each question's outcome and metrics, summary by the question columns ``by``)."""
+    """A run over a question set: (each question's outcome and metrics, summary by the question columns ``by``).
+
+    ``seconds`` is the run's time by the clock shared evenly among its questions, as they are answered together.
+    """
     question_id = columns.get("question_id", "item_id")
+    began = time.monotonic()
     rows = materialise(ask_batch(docs, questions, settings, stored, **columns), "run")
+    seconds = (time.monotonic() - began) / max(1, rows.count())
     m = F.col("metadata")
     outcome = evaluate.outcome(m["error"].isNull(), F.when(m["error"].isNull(), 200), m["error"])
-    each = rows.select(question_id, "question", outcome.alias("outcome"), m["num_sources"].alias("num_sources"), m["confidence"].alias("confidence"), m["top_k"].alias("top_k"), m["action"].alias("action"), m["cache_hit"].alias("cache_hit"), F.lit(0.0).alias("seconds"))
+    each = rows.select(question_id, "question", outcome.alias("outcome"), m["num_sources"].alias("num_sources"), m["confidence"].alias("confidence"), m["top_k"].alias("top_k"), m["action"].alias("action"), m["cache_hit"].alias("cache_hit"), F.lit(seconds).alias("seconds"))
     kept = questions.select(question_id, *(by or []))
     joined = each.join(kept, question_id).withColumn("success", F.col("outcome.success"))
     return each, evaluate.summary(joined, by or [])
