@@ -122,3 +122,8 @@ def stable_id(*parts: Column) -> Column:
     """MD5 of the parts between bars; null, empty and zero parts are empty."""
     texts = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
     return F.md5(F.concat_ws("|", *(F.when(t == "0", "").otherwise(t) for t in texts)))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared items of two arrays by all their items; 0 if the first is empty."""
+    return F.when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))

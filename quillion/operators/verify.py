@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from quillion.functions import text as X
 from quillion.functions.vocabulary import CLAIM_PATTERNS, COMMON_NUMBERS, EMBEDDING_CLAIM_PATTERNS, OVERLAP_STOP_WORDS
+from quillion.operators import overlap
 from quillion.sources.shared import materialise
 
 #: Patterns of tokens whose absence from the evidence refutes a claim.
@@ -28,6 +29,8 @@ SENSITIVE = (
 #: Letters beyond ASCII stand as underscores while tokens are looked for, so that they are parts of words there too.
 BEYOND_ASCII = r"[^\x00-\x7F€\x{A0}«»…’]"
 CITATION = r"(?i)\[(S\d+)\]"
+#: Windows of one evidence from which on not every claim is compared with every window.
+LONG_EVIDENCE = 64
 SIMILAR, OVERLAP, FAR, APART, UNCLEAR_WEIGHT = 0.18, 0.35, 0.08, 0.15, 0.35
 
 
@@ -62,10 +65,6 @@ def overlap_words(text: Column) -> Column:
     return F.array_distinct(X.tokens(text, 3, OVERLAP_STOP_WORDS))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    return F.when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))
-
-
 def evidence_windows(text: Column, sentences: Column) -> Column:
     """Windows of three of the text's sentences (a column, as they are read once for each window), or the whole text if there is none."""
     found = X.windows(sentences)
@@ -101,11 +100,26 @@ def tfidf_best(claims_: DataFrame, windows: DataFrame, group: list[str], claim_i
     return both.groupBy(*group, *claim_id).agg(F.greatest(F.max(cosine), F.lit(0.0)).alias("best_tfidf"))
 
 
-def overlap_best(claims_: DataFrame, windows: DataFrame, group: list[str], claim_id: list[str]) -> DataFrame:
-    """(claim ids, best_overlap): each claim's largest word overlap with a window of its group."""
-    c = claims_.select(*group, *claim_id, overlap_words(F.col("claim")).alias("a"))
-    w = windows.select(*group, overlap_words(F.col("window")).alias("b"))
-    return c.join(w, group).groupBy(*group, *claim_id).agg(F.max(jaccard(F.col("a"), F.col("b"))).alias("best_overlap"))
+def overlap_best(claims_: DataFrame, windows: DataFrame, group: list[str], claim_id: list[str], long: int = LONG_EVIDENCE) -> DataFrame:
+    """(group, claim ids, best_overlap): each claim's largest word overlap with a window of its group.
+
+    Groups of up to ``long`` windows are compared whole; those of more go by bounds (``overlap.best``), with the same results.
+    windows: a written table, as it is read more than once.
+    """
+    c = claims_.select(*group, *claim_id, overlap_words(F.col("claim")).alias("words"))
+    w = windows.select(*group, overlap_words(F.col("window")).alias("words"))
+    large = windows.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > long).select(*group)
+    if large.isEmpty():
+        return _compared(c, w, group, claim_id)
+    large = materialise(large, "long_evidence")
+    short = _compared(c.join(large, group, "left_anti"), w.join(large, group, "left_anti"), group, claim_id)
+    far = overlap.best(c.join(large, group, "left_semi"), w.join(large, group, "left_semi"), group, claim_id)
+    return short.unionByName(far.select(*group, *claim_id, "best_overlap"))
+
+
+def _compared(claims_: DataFrame, windows: DataFrame, group: list[str], claim_id: list[str]) -> DataFrame:
+    both = claims_.withColumnRenamed("words", "a").join(windows.withColumnRenamed("words", "b"), group)
+    return both.groupBy(*group, *claim_id).agg(F.max(X.jaccard(F.col("a"), F.col("b"))).alias("best_overlap"))
 
 
 def verdicts(answers: DataFrame, sources: DataFrame) -> DataFrame:
@@ -130,8 +144,8 @@ def verdicts(answers: DataFrame, sources: DataFrame) -> DataFrame:
     group = ["answer_id", "evidence_key"]
     windows = materialise(windows_of(open_.select(*group, "evidence").distinct(), group), "windows")
     key = [*group, "claim_no"]
-    tfidf, overlap = tfidf_best(open_, windows, group, ["claim_no"]), overlap_best(open_, windows, group, ["claim_no"])
-    c = c.join(tfidf, key, "left").join(overlap, key, "left")
+    tfidf, shared = tfidf_best(open_, windows, group, ["claim_no"]), overlap_best(open_, windows, group, ["claim_no"])
+    c = c.join(tfidf, key, "left").join(shared, key, "left")
     c = c.withColumn("best_tfidf", F.when(F.col("first").isNull(), F.round(F.coalesce("best_tfidf", F.lit(0.0)), 6))).withColumn("best_overlap", F.when(F.col("first").isNull(), F.round(F.coalesce("best_overlap", F.lit(0.0)), 6)))
     t, o = F.col("best_tfidf"), F.col("best_overlap")
     then = F.when((t > SIMILAR) | (o > OVERLAP), F.when(F.col("has_citation"), "supported").otherwise("unclear:citation manquante")).when((t < FAR) & (o < APART), "hallucinated").otherwise("unclear")

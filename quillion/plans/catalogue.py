@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillion import models
 from quillion.functions import text as X
 from quillion.functions.vocabulary import SAMPLE_THESAURUS, TAXONOMY
-from quillion.operators import cache, chunk, context, enrich, evaluate, expand, fuse, index, patterns, postings, rerank, retrieve, route, sections, vectors, verify
+from quillion.operators import cache, chunk, context, enrich, evaluate, expand, fuse, index, overlap, patterns, postings, rerank, retrieve, route, sections, vectors, verify
 from quillion.operators.stored_cache import StoredCache
 from quillion.plans import pipeline
 from quillion.sources import html
@@ -375,6 +375,27 @@ def claim_verdicts(spark, d):
     return verify.verdicts(*_answers(spark, d)).select("answer_id", "claim_no", "verdict", "reason", "best_tfidf", "best_overlap")
 
 
+def _shelved(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(claims, windows): sentences of 4 documents that stand together, and windows of the 4 documents before them as long evidence."""
+    shelf = _docs(spark, d).select("doc_id", F.floor(F.col("doc_id") / 4).alias("shelf"), X.sentences(F.coalesce("text", F.lit(""))).alias("s"))
+    asked = shelf.select("doc_id", (F.col("shelf") - 1).alias("shelf"), F.posexplode("s").alias("sentence_no", "s"))
+    held = shelf.select("shelf", F.explode(X.windows(F.col("s"))).alias("w"))
+    return asked.select("shelf", "doc_id", "sentence_no", verify.overlap_words(F.col("s")).alias("words")), held.select("shelf", verify.overlap_words(F.col("w")).alias("words"))
+
+
+def _long_overlap(spark, d) -> DataFrame:
+    return overlap.best(*(materialise(rows, "shelved") for rows in _shelved(spark, d)), ["shelf"], ["doc_id", "sentence_no"])
+
+
+def long_evidence_overlap(spark, d):
+    return _long_overlap(spark, d).select("doc_id", "sentence_no", F.round("best_overlap", 6).alias("best_overlap"), "n_windows")
+
+
+def overlap_pruning(spark, d):
+    """How many pairs of claims and windows there are, and how many were compared."""
+    return _long_overlap(spark, d).agg(F.count("*").alias("n_claims"), F.sum("n_windows").alias("n_pairs"), F.sum("n_compared").alias("n_compared"))
+
+
 def answer_confidence(spark, d):
     answers, sources = _answers(spark, d)
     found = verify.confidence(answers, sources, materialise(verify.verdicts(answers, sources), "verdicts"))
@@ -500,7 +521,7 @@ QUERIES = {
         dynamic_topk, route_expansion, request_validation, synonym_expand, plural_expand, query_variants, chunk_config, size_category,
         section_split, section_summaries, doc_type, enrich_documents, freshness, stable_ids, doc_key, html_title, html_documents,
         adaptive_chunks, ingest_report, ingest_pages, sample_document, sentences, claims, sensitive_tokens, citations,
-        sentence_windows, claim_verdicts, answer_confidence, embedding_verdicts, embedding_confidence, embedding_claims, context_pack, context_blocks, source_projection,
+        sentence_windows, claim_verdicts, long_evidence_overlap, overlap_pruning, answer_confidence, embedding_verdicts, embedding_confidence, embedding_claims, context_pack, context_blocks, source_projection,
         cache_upsert, cache_lookup, cache_sweep, stored_cache_upsert, stored_cache_lookup, stored_cache_sweep, eval_summary, ask_batch, probe, embedder_comparison, event_activity,
     )
 }

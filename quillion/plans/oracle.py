@@ -335,6 +335,10 @@ round({_DENSITY}, 6) AS information_density, length(text) / 1024 AS chunk_size_k
     "citations": f"SELECT conv_id, turn, (i - 1)::INT AS n, CASE WHEN (i - 1) % 4 = 0 THEN 'S' || (i - 1)::VARCHAR ELSE '' END AS cited FROM (SELECT conv_id, turn, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT conv_id, turn, {sentences(chr(34) + 'text' + chr(34))} AS ss FROM conversations))",
     "sentence_windows": f"WITH s AS (SELECT conv_id, turn, text, {sentences(chr(34) + 'text' + chr(34))} AS ss FROM conversations), w AS (SELECT conv_id, turn, text, list_filter(list_transform(range(1, len(ss) + 1), lambda i: array_to_string(list_slice(ss, i, i + 2), ' ')), lambda x: length(x) > 30) AS ws FROM s), z AS (SELECT conv_id, turn, CASE WHEN len(ws) > 0 THEN ws ELSE [text] END AS ws FROM w) SELECT conv_id, turn, (i - 1)::INT AS window_no, ws[i] AS \"window\" FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM z)",
     "claim_verdicts": f"{VERDICTS} SELECT * FROM verdict",
+    "long_evidence_overlap": f"""WITH d AS (SELECT doc_id, doc_id // 4 AS shelf, {sentences("coalesce(text, '')")} AS ss FROM documents),
+c AS (SELECT doc_id, shelf - 1 AS shelf, (i - 1)::INT AS sentence_no, list_distinct({tokens('s', 3, OVERLAP_STOP_WORDS)}) AS a FROM (SELECT *, ss[i] AS s FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM d))),
+w AS (SELECT shelf, list_distinct({tokens('win', 3, OVERLAP_STOP_WORDS)}) AS b FROM (SELECT shelf, array_to_string(list_slice(ss, i, i + 2), ' ') AS win FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM d)) WHERE length(win) > 30)
+SELECT doc_id, sentence_no, round(max(CASE WHEN len(a) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1) END), 6) AS best_overlap, count(*) AS n_windows FROM c JOIN w USING (shelf) GROUP BY doc_id, sentence_no""",
     "answer_confidence": f"""{VERDICTS}, n AS (SELECT answer_id, count(*) AS n, count(*) FILTER (verdict = 'supported') AS s, count(*) FILTER (verdict = 'unclear') AS u, count(*) FILTER (verdict = 'hallucinated') AS h FROM verdict GROUP BY 1),
 a AS (SELECT answer_id, source IS NULL AS none, source IS NOT NULL AND {strip('source')} = '' AS blank, len(cc) AS total FROM cs),
 j AS (SELECT a.*, coalesce(n, 0) AS n, coalesce(s, 0) AS s, coalesce(u, 0) AS u, coalesce(h, 0) AS h FROM a LEFT JOIN n USING (answer_id)),
