@@ -37,10 +37,10 @@ def split(docs: DataFrame, id_col: str, text_col: str, anchored: bool = False) -
     text = F.col(text_col)
     rows = docs.select(id_col, text.alias("_t"), F.regexp_extract_all(text, F.lit(marker), F.lit(1)).alias("_titles"))
     rows = rows.where(F.size("_titles") > 0)
-    bodies = F.slice(F.split("_t", r"(?m)^\+-(?=[^\n])" if anchored else r"\+-(?=[^\n])"), 2, 2**30)
+    bodies = F.slice(F.split("_t", marker), 2, 2**30)  # a marker's whole line is the title, even if it holds another mark
     rows = rows.withColumn("_bodies", bodies).withColumn("_names", F.transform("_titles", X.strip))
     each = rows.select(id_col, "_t", "_names", F.size("_names").alias("total_sections"), F.posexplode("_bodies").alias("at", "body"))
-    rest = X.strip(F.regexp_replace("body", r"^[^\n]*\n?", ""))
+    rest = X.strip(F.col("body"))
     name = F.get("_names", F.col("at"))
     return each.select(
         id_col,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillion import models
 from quillion.functions import text as X
 from quillion.functions.vocabulary import SAMPLE_THESAURUS, TAXONOMY
-from quillion.operators import cache, chunk, context, enrich, evaluate, expand, fuse, index, overlap, patterns, postings, rerank, retrieve, route, sections, vectors, verify
+from quillion.operators import cache, chunk, context, enrich, evaluate, expand, fuse, index, overlap, patterns, postings, rerank, retrieve, route, sections, tables, vectors, verify
 from quillion.operators.stored_cache import StoredCache
 from quillion.plans import pipeline
 from quillion.sources import html
@@ -328,6 +328,23 @@ def adaptive_chunks(spark, d):
     return found.select("doc_id", "chunk_index", "start_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"), "chunk_id")
 
 
+def adaptive_chunks_sql(spark, d):
+    """``adaptive_chunks`` as SQL text: a lateral join with a table function."""
+    tables.register(spark)
+    text = """SELECT d.doc_id, c.chunk_index, c.start_index, length(c.chunk) AS n_chars, md5(c.chunk) AS chunk_md5
+        FROM {docs} d, LATERAL text_chunks(d.content, d.chunk_size, d.chunk_overlap) c"""
+    return spark.sql(text, docs=_paragraphs(spark, d))
+
+
+def section_split_sql(spark, d):
+    """``section_split`` as SQL text: a table function over lines, partitioned by document."""
+    tables.register(spark)
+    lines = _marked(spark, d).select(F.col("doc_id").cast("string").alias("id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    text = """SELECT CAST(id AS BIGINT) AS doc_id, section_num, total_sections, section_title, prev_section_title, next_section_title, md5(content) AS content_md5
+        FROM marked_sections(TABLE(SELECT id, line_no, line FROM {lines}) PARTITION BY id ORDER BY line_no)"""
+    return spark.sql(text, lines=lines)
+
+
 def ingest_report(spark, d):
     return evaluate.ingest_report(_paragraphs(spark, d), chunk.chunked(_paragraphs(spark, d), ["doc_id"]), "content")
 
@@ -520,7 +537,7 @@ QUERIES = {
         similarity_threshold, mmr_topk, rrf_fusion, hybrid_fusion, multi_query_dedupe, rerank_score, rerank_topk, rerank_cross, keyword_match, keyword_match_many, synonym_expand_many,
         dynamic_topk, route_expansion, request_validation, synonym_expand, plural_expand, query_variants, chunk_config, size_category,
         section_split, section_summaries, doc_type, enrich_documents, freshness, stable_ids, doc_key, html_title, html_documents,
-        adaptive_chunks, ingest_report, ingest_pages, sample_document, sentences, claims, sensitive_tokens, citations,
+        adaptive_chunks, adaptive_chunks_sql, section_split_sql, ingest_report, ingest_pages, sample_document, sentences, claims, sensitive_tokens, citations,
         sentence_windows, claim_verdicts, long_evidence_overlap, overlap_pruning, answer_confidence, embedding_verdicts, embedding_confidence, embedding_claims, context_pack, context_blocks, source_projection,
         cache_upsert, cache_lookup, cache_sweep, stored_cache_upsert, stored_cache_lookup, stored_cache_sweep, eval_summary, ask_batch, probe, embedder_comparison, event_activity,
     )

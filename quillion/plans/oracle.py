@@ -359,3 +359,4 @@ SQL |= {f"stored_{name}": SQL[name] for name in ("cache_upsert", "cache_lookup",
 SQL["keyword_match_many"] = SQL["keyword_match"]
 _FREQUENT = "(SELECT term, reverse(term) AS alternative FROM (SELECT unnest(string_split(lower(text), ' ')) AS term FROM documents) WHERE regexp_full_match(term, '[a-z]{4,}') GROUP BY term ORDER BY count(*) DESC, term LIMIT 1000)"
 SQL["synonym_expand_many"] = f"WITH {SYNONYMS.replace(thesaurus(), _FREQUENT)} SELECT * FROM both_syn"
+SQL["section_split_sql"] = SQL["section_split"]
