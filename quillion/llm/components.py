@@ -83,15 +83,14 @@ def _met_before(left: list[list[int]], right: list[list[int]], bucket: int) -> n
 
 
 def _cells(large: DataFrame, payloads: DataFrame, near_cells: NearCells) -> DataFrame:
-    """Links of large's (bucket, node, c, out) between rows that are ``out`` and rows of other components, bucket by bucket, in cells of bounded size.
+    """Links of large's (bucket, node, c, out, n_out, n_in) between rows that are ``out`` and rows of other components, bucket by bucket, in cells of bounded size.
 
-    Each side is cut into blocks of about ``CELL`` rows by a hash; a cell is a block of either. It gives links that span
+    Each side is cut into blocks of about ``CELL`` rows by a hash, n_out and n_in of them; a cell is a block of either. It gives links that span
     what it joins, not all links. A pair is compared in the first bucket that both are in, and once there. A node's
     buckets, as many as its payload makes at most, are a list until its payload has joined them.
     """
-    blocks = large.groupBy("bucket").agg(F.ceil(F.count(F.when(F.col("out"), 1)) / CELL).cast("int").alias("n_out"), F.ceil(F.count("*") / CELL).cast("int").alias("n_in"))
     in_ = F.collect_list(F.struct("bucket", "out", "n_out", "n_in")).alias("in_")
-    nodes = large.join(blocks, "bucket").groupBy("node", "c").agg(in_, F.collect_list("bucket").alias("buckets")).join(payloads, "node")
+    nodes = large.groupBy("node", "c").agg(in_, F.collect_list("bucket").alias("buckets")).join(payloads, "node")
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
         rows = rows.select("node", "c", "buckets", "payload", F.explode("in_").alias("in_")).select("in_.*", "node", "c", "buckets", "payload")
@@ -142,7 +141,8 @@ def linked(members: DataFrame, payloads: DataFrame, near_pairs: NearPairs, near_
     """
     with store.scratch(members.sparkSession) as kept:
         hubs = store.materialise(_hubs(members), "hubs")
-        pairs = members.join(hubs, "bucket").where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+        hubbed = store.materialise(members.join(hubs, "bucket"), "hubbed")
+        pairs = hubbed.where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
         pairs = pairs.distinct() if more is None else pairs.distinct().join(more, ["a", "b"], "left_anti").unionByName(more)
         pairs = store.materialise(pairs, "pairs")
         links = store.materialise(_verified(pairs, payloads, near_pairs), "links")
@@ -150,14 +150,17 @@ def linked(members: DataFrame, payloads: DataFrame, near_pairs: NearPairs, near_
             return kept(components(links), "comps")
         comps = store.materialise(components(links), "comps")
 
-        placed = store.materialise(members.join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c")), "placed")
-        heads = placed.join(hubs, "bucket").groupBy("bucket").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("node") == F.col("hub"), F.col("c"))).alias("head")).where("low < high")
-        unresolved = store.materialise(placed.join(heads.select("bucket", "size", "head"), "bucket"), "unresolved")
+        placed = store.materialise(hubbed.join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"), (F.col("node") == F.col("hub")).alias("is_hub")), "placed")
+        each = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.max("is_hub").alias("is_hub"))
+        own = lambda x: F.max(F.when(F.col("is_hub"), F.col(x)))
+        heads = each.groupBy("bucket").agg(F.sum("n").alias("size"), F.count("*").alias("comps"), own("c").alias("head"), own("n").alias("n_head")).where("comps > 1")
+        heads = heads.select("bucket", "size", "head", F.ceil((F.col("size") - F.col("n_head")) / CELL).cast("int").alias("n_out"), F.ceil(F.col("size") / CELL).cast("int").alias("n_in"))
+        unresolved = store.materialise(placed.drop("is_hub").join(heads, "bucket"), "unresolved")
         outside = unresolved.where("c != head")
         small, other = outside.where(F.col("size") <= SMALL), unresolved.where(F.col("size") <= SMALL).select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"))
         rest = small.join(other, "bucket").where("c != cx").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
         rest = store.materialise(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        large = unresolved.where(F.col("size") > SMALL).select("bucket", "node", "c", (F.col("c") != F.col("head")).alias("out"))
+        large = unresolved.where(F.col("size") > SMALL).select("bucket", "node", "c", (F.col("c") != F.col("head")).alias("out"), "n_out", "n_in")
         cells = _cells(large, payloads, near_cells)
         new = store.materialise(_verified(rest, payloads, near_pairs).unionByName(cells), "links")
         return kept(components(links.unionByName(new)), "comps")

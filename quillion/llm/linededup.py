@@ -16,10 +16,11 @@ hash in the window is that of the same substring (winnowing). A line enters an i
 its position) for the smallest of each window, and probes the next cell, and the next class below, where a match could
 be.
 
-An entry is a record of 17 bytes with the substring's place and the line's length. Each task sorts its records by bucket
-and sends them as one pack for each partition, where numpy sorts them again; of two lines in a bucket those become
-candidates of which one is indexed and whose places and lengths could come from edits within the limit. Large buckets
-go on as members (see ``components.linked``), parted by cells of length; a bucket that holds more than ``HOT`` of a pack's records is spread over
+An entry is a record of 21 bytes with the substring's place, the line's length and its bag: how many characters of each of
+eight kinds the line has, modulo 16. Each task sorts its records by bucket and sends them as one pack for each partition
+(in columns, see ``packed``), where numpy sorts them again; of two lines in a bucket those become candidates of which one is
+indexed and whose places, lengths and bags could come from edits within the limit. Large buckets do the same as long as
+that leaves few pairs a line; the others go on as members (see ``components.linked``), parted by cells of length; a bucket that holds more than ``HOT`` of a pack's records is spread over
 all tasks as members at once, so that no task meets all of a substring that very many lines share. Candidates are
 verified by a banded bit-parallel edit distance, for many pairs of lines at once.
 
@@ -63,21 +64,24 @@ FLUSH = 1_000_000
 COLUMNS = 32
 #: Nodes of a bucket up to which its pairs are candidates at once.
 SMALL = 256
+#: Nodes up to which a large bucket's pairs are tried, and pairs a node up to which they are candidates.
+TRIED, FEW = 4096, 4
 #: Records of one bucket in one flush beyond which they are spread over all tasks.
 HOT = 256
 
 _BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse modulo 2**64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: low and high: 40 bits of the bucket; kind: flags, and the class of lengths from the third bit on; what doesn't fit
+#: low and high: the bucket's 40 first bits; kind: flags, and the class of lengths from the third bit on; what doesn't fit
 #: into at and size is _LARGE, which rules nothing out.
-_RECORD = np.dtype([("low", "<u4"), ("high", "u1"), ("kind", "u1"), ("node", "<i8"), ("at", "<u2"), ("size", "<u2")])
+_RECORD = np.dtype([("low", "<u4"), ("high", "u1"), ("kind", "u1"), ("node", "<i8"), ("at", "<u2"), ("size", "<u2"), ("bag", "<u4")])
 _INDEXED, _SPREAD, _CLASS, _LARGE = 1, 2, 4, 0xFFFF
 
 _LINE = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("tie", "<i8"), ("line_no", "<i4"), ("node", "<i8")])
 _PACKS = T.StructType([T.StructField("to", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("spread", T.BooleanType()), T.StructField("records", T.BinaryType())])
 _FOUND = T.StructType([T.StructField("kind", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("bucket", "a", "b", "doc_id", "tie")), T.StructField("line_no", T.IntegerType()), T.StructField("node", T.LongType())])
-#: Kinds of rows that tasks find: lines of documents, candidate pairs (a, b), members (bucket, a) of large buckets.
-LINE, PAIR, MEMBER = range(3)
+#: Kinds of rows that tasks find: lines of documents, candidate pairs (a, b), members (bucket, a) of large
+#: buckets, and of those that are spread.
+LINE, PAIR, MEMBER, SPREAD = range(4)
 _TEXTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("payload", T.BinaryType())])
 
 
@@ -196,6 +200,64 @@ def _segments(lines: list[str], sizes: np.ndarray, which: np.ndarray) -> Entries
     return _together(out)
 
 
+def bags(lines: list[str]) -> np.ndarray:
+    """Each line's counts of characters of eight kinds, modulo 16, in four bits each: n edits change them by 2 n together at most."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    kinds = (_codes(lines) * np.uint32(0x9E3779B1) >> np.uint32(29)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(lines)) * 8, sizes) + kinds, minlength=8 * len(lines)).reshape(len(lines), 8)
+    return (counts % 16 << np.arange(0, 32, 4)).sum(axis=1).astype(np.uint32)
+
+
+def _byte_apart() -> np.ndarray:
+    one = np.arange(256)
+    by_nibble = [np.minimum((x := (one[:, None] >> shift) - (one >> shift) & 15), 16 - x) for shift in (0, 4)]
+    return sum(by_nibble).astype(np.uint8).ravel()
+
+
+_APART = _byte_apart()
+
+
+def bags_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By how much the counts of two bags differ together, at least."""
+    total = np.zeros(len(a), np.int64)
+    for shift in (0, 8, 16, 24):
+        total += _APART[(a >> np.uint32(shift) & np.uint32(255)) << np.uint32(8) | b >> np.uint32(shift) & np.uint32(255)]
+    return total
+
+
+_ZSTD = pa.Codec("zstd", compression_level=1)
+#: Bytes of a record, gaps between buckets in place of buckets, that are as good as random: they go as they are.
+_RANDOM = np.array([0, 1, *range(6, 14)])
+_OTHER = np.setdiff1d(np.arange(_RECORD.itemsize), _RANDOM)
+
+
+def packed(records: bytes) -> bytes:
+    """Records of one pack, in order of bucket, byte by byte in columns: a quarter shorter."""
+    rows = np.frombuffer(records, _RECORD).copy()
+    bucket = rows["low"].astype(np.int64) | rows["high"].astype(np.int64) << 32
+    gaps = np.diff(bucket, prepend=0) & ((1 << 40) - 1)
+    rows["low"], rows["high"] = gaps & 0xFFFFFFFF, gaps >> 32
+    planes = rows.view(np.uint8).reshape(len(rows), -1).T
+    short = [_ZSTD.compress(np.ascontiguousarray(planes[i]), asbytes=True) for i in _OTHER]
+    head = np.array([len(rows), *map(len, short)], "<i4").tobytes()
+    return b"".join([head, np.ascontiguousarray(planes[_RANDOM]).tobytes(), *short])
+
+
+def unpacked(pack: bytes) -> np.ndarray:
+    n, *sizes = np.frombuffer(pack, "<i4", 1 + len(_OTHER)).tolist()
+    planes = np.empty((_RECORD.itemsize, n), np.uint8)
+    at = 4 * (1 + len(_OTHER))
+    planes[_RANDOM] = np.frombuffer(pack, np.uint8, n * len(_RANDOM), at).reshape(len(_RANDOM), n)
+    at += n * len(_RANDOM)
+    for i, size in zip(_OTHER, sizes, strict=True):
+        planes[i] = np.frombuffer(_ZSTD.decompress(pack[at : at + size], n), np.uint8)
+        at += size
+    rows = np.ascontiguousarray(planes.T).reshape(-1).view(_RECORD)
+    bucket = np.cumsum(rows["low"].astype(np.int64) | rows["high"].astype(np.int64) << 32) & ((1 << 40) - 1)
+    rows["low"], rows["high"] = bucket & 0xFFFFFFFF, bucket >> 32
+    return rows
+
+
 def _together(parts: list[Entries]) -> Entries:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
@@ -257,7 +319,7 @@ class Packs:
 
     def _empty(self) -> None:
         self.nodes: set[int] = set()
-        self.held: list[tuple] = [tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.uint16, np.uint16, np.uint8))]
+        self.held: list[tuple] = [tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.uint16, np.uint16, np.uint8, np.uint32))]
         self.size = 0
 
     def add(self, lines: list[str], nodes: np.ndarray) -> None:
@@ -269,7 +331,7 @@ class Packs:
         lines, nodes = list(fresh.values()), np.fromiter(fresh, np.int64, len(fresh))
         sizes = np.minimum(np.fromiter(map(len, lines), np.int64, len(lines)), _LARGE)
         key, which, at, kind = entries(lines)
-        self.held.append((key, nodes[which], np.minimum(at, _LARGE).astype(np.uint16), sizes[which].astype(np.uint16), kind))
+        self.held.append((key, nodes[which], np.minimum(at, _LARGE).astype(np.uint16), sizes[which].astype(np.uint16), kind, bags(lines)[which]))
         self.size += len(key)
 
     def flush(self) -> list[pa.RecordBatch]:
@@ -278,8 +340,8 @@ class Packs:
         order = np.argsort(key)
         key = key[order]
         rows = np.empty(len(key), _RECORD)
-        rows["low"], rows["high"] = key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint8)
-        for name, x in zip(("node", "at", "size", "kind"), columns, strict=True):
+        rows["low"], rows["high"] = (key >> np.uint64(24)).astype(np.uint32), (key >> np.uint64(56)).astype(np.uint8)
+        for name, x in zip(("node", "at", "size", "kind", "bag"), columns, strict=True):
             rows[name] = x[order]
         part = ((key >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
         first = _firsts(key)
@@ -323,10 +385,10 @@ def _by_length(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(mix(bucket[at]) + cell.astype(np.uint64)).view(np.int64), rows["node"][at]
 
 
-def _pairs(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (sorted by bucket) of one bucket, one of which is indexed, whose places and lengths fit."""
+def _fitting(bucket: np.ndarray, rows: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs of rows (sorted by bucket) of one bucket, one of which is indexed, whose places, lengths and bags fit; None if they are more than ``most``."""
     size, at, indexed = rows["size"].astype(np.int64), rows["at"].astype(np.int64), rows["kind"] & _INDEXED > 0
-    left, right = [], []
+    left, right, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
     first = _firsts(bucket)
     count = np.diff(np.append(first, len(rows)))
     stop = np.repeat(first + count, count)
@@ -342,19 +404,59 @@ def _pairs(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
         unknown = (at[i] == _LARGE) | (at[j] == _LARGE)
         ok = np.where(unknown, np.abs(longer), np.abs(shift) + np.abs(longer - shift)) <= limit
         ok |= (size[i] == _LARGE) | (size[j] == _LARGE)
-        ok &= indexed[i] | indexed[j]
+        ok = np.flatnonzero(ok & (indexed[i] | indexed[j]))
+        ok = ok[bags_apart(rows["bag"][i[ok]], rows["bag"][j[ok]]) <= 2 * limit[ok]]
         left.append(i[ok])
         right.append(j[ok])
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b = rows["node"][np.concatenate(left)], rows["node"][np.concatenate(right)]
+        found += len(ok)
+        if most is not None and found > most:
+            return None
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _distinct(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = left, right
     a, b = np.minimum(a, b), np.maximum(a, b)
     _, one = np.unique(mix(a.view(np.uint64)) * np.uint64(3) + mix(b.view(np.uint64)), return_index=True)
     return a[one], b[one]
 
 
+def _few(bucket: np.ndarray, rows: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which large rows (distinct nodes) are of buckets whose pairs that fit are few a node, and these pairs."""
+    done, pairs = np.zeros(len(rows), bool), [(np.empty(0, np.int64),) * 2]
+    at = np.flatnonzero(large)
+    cuts = np.append(_firsts(bucket[at]), len(at)).tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b - a <= TRIED and (met := _fitting(bucket[at[a:b]], rows[at[a:b]], FEW * (b - a))) is not None:
+            done[at[a:b]] = True
+            pairs.append(tuple(rows["node"][at[a:b][x]] for x in met))
+    return done, *(np.concatenate(x) for x in zip(*pairs, strict=True))
+
+
+def _named(cell: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, node) where buckets of nearly the same nodes are one, as those of a long substring's parts are: they are named by two least hashes of their nodes, so that what two buckets have in common is how likely they become one. No pair of a bucket is parted."""
+    order = np.lexsort((node, cell))
+    cell, node = cell[order], node[order]
+    first = _firsts(cell)
+    count = np.diff(np.append(first, len(cell)))
+    if not len(first):
+        return cell, node
+    hashed = mix(node.view(np.uint64))
+    name = np.repeat(mix(np.minimum.reduceat(hashed, first)) ^ np.minimum.reduceat(mix(hashed ^ _ODD), first), count).view(np.int64)[np.repeat(count > 1, count)]
+    node = node[np.repeat(count > 1, count)]
+    order = np.lexsort((node, name))
+    order = order[_firsts(name[order], node[order])]
+    return name[order], node[order]
+
+
 def candidates(packs: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(a, b) of candidate pairs, and (bucket, node) of the members of large buckets, from (part, records)."""
+    a, b, own, spread = candidates_and_spread(packs)
+    return a, b, *(np.append(x, y) for x, y in zip(own, spread, strict=True))
+
+
+def candidates_and_spread(packs: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of candidate pairs, (bucket, node) of the members of large buckets, and of spread ones, whose other members are elsewhere."""
     bucket = np.concatenate([np.empty(0, np.uint64), *(_bucket(r, p) for p, r in packs)])
     order = np.argsort(bucket)
     bucket = bucket[order]
@@ -362,15 +464,22 @@ def candidates(packs: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndar
     bucket = bucket[shared]
     rows = np.concatenate([np.empty(0, _RECORD), *(r for _, r in packs)])[order[shared]]
     if not len(rows):
-        return (np.empty(0, np.int64),) * 4
+        none = np.empty(0, np.int64)
+        return none, none, (none, none), (none, none)
     (again, several), first = _repeated(bucket, rows), _firsts(bucket)
     count, kind = np.diff(np.append(first, len(rows))), np.bitwise_or.reduceat(rows["kind"], first)
     lines = np.add.reduceat(~again, first, dtype=np.int64)
-    large = np.repeat((lines > SMALL) & (kind & _INDEXED > 0) | (kind & _SPREAD > 0), count)
-    name, node = _by_length(bucket[large], rows[large])
-    small = ~large & ~again
+    spread = np.repeat(kind & _SPREAD > 0, count)
+    large = np.repeat((lines > SMALL) & (kind & _INDEXED > 0), count) & ~spread
+    small = ~large & ~spread & ~again
     rows["at"][several] = _LARGE  # a line that holds a substring more than once is at no certain place
-    return *_pairs(bucket[small], rows[small]), name, node
+    large &= ~again
+    few, left, right = _few(bucket, rows, large)
+    large &= ~few
+    i, j = _fitting(bucket[small], rows[small])
+    some = rows["node"][small]
+    pairs = _distinct(np.append(some[i], left), np.append(some[j], right))
+    return *pairs, _named(*_by_length(bucket[large], rows[large])), _by_length(bucket[spread], rows[spread])
 
 
 # --- edit distance ---------------------------------------------------------------------------------------------------
@@ -533,13 +642,18 @@ def _linkable(texts: list) -> list[str]:
 
 
 def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of the kinds ``LINE``, ``PAIR`` and ``MEMBER``; docs are read once."""
+    """Rows of the kinds ``LINE``, ``PAIR``, ``MEMBER`` and ``SPREAD``; docs are read once."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches):
         first = TaskContext.get().partitionId()
         packs, held, turn = Packs(parts, first), [], first
 
+        def flushed():
+            for batch in packs.flush():
+                short = pa.array([packed(x.as_buffer()) for x in batch.column(3)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], short], names=batch.schema.names)
+
         def lines_so_far():
             to = pa.array([turn % parts], pa.int32())
             return pa.RecordBatch.from_arrays([to, pa.array([-1], pa.int32()), pa.array([False]), pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["to", "part", "spread", "records"])
@@ -554,10 +668,10 @@ def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     yield lines_so_far()
                     held, turn = [], turn + 1
                 if packs.size >= FLUSH:
-                    yield from packs.flush()
+                    yield from flushed()
         if held:
             yield lines_so_far()
-        yield from packs.flush()
+        yield from flushed()
         give_back()
 
     def rows(kind: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -573,16 +687,17 @@ def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     x = np.frombuffer(records.as_buffer(), _LINE)
                     yield rows(LINE, doc_id=pa.array(x["doc_id"], mask=x["null"] > 0), tie=pa.array(x["tie"]), line_no=pa.array(x["line_no"]), node=pa.array(x["node"]))
                     continue
-                x = np.frombuffer(records.as_buffer(), _RECORD)
+                x = unpacked(records.as_py())
                 if spread:
                     bucket, node = _by_length(_bucket(x, part), x)
-                    yield rows(MEMBER, bucket=pa.array(bucket), a=pa.array(node))
+                    yield rows(SPREAD, bucket=pa.array(bucket), a=pa.array(node))
                 else:
                     packs.append((part, x))
-        a, b, bucket, node = candidates(packs)
+        a, b, own, spread = candidates_and_spread(packs)
         packs.clear()
         yield rows(PAIR, a=pa.array(a), b=pa.array(b))
-        yield rows(MEMBER, bucket=pa.array(bucket), a=pa.array(node))
+        for kind, (bucket, node) in ((MEMBER, own), (SPREAD, spread)):
+            yield rows(kind, bucket=pa.array(bucket), a=pa.array(node))
         give_back()
 
     arrow = pa.schema([(f.name, pa.int32() if f.dataType == T.IntegerType() else pa.int64()) for f in _FOUND])
@@ -591,8 +706,8 @@ def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _merged(members: DataFrame) -> DataFrame:
-    """(bucket, node) where buckets of the same nodes are one, as those of a long substring's parts are: they are named by a hash of their nodes."""
-    names = members.groupBy("bucket").agg(F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("node")), F.sum(F.hash("node"))).alias("name"))
+    """(bucket, node) of spread buckets, named as by ``_named``."""
+    names = members.groupBy("bucket").agg(F.xxhash64(F.min(F.xxhash64("node")), F.min(F.xxhash64("node", F.lit(1)))).alias("name"), F.count("*").alias("n")).where("n > 1")
     return members.join(names, "bucket").select(F.col("name").alias("bucket"), "node").distinct()
 
 
@@ -620,7 +735,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     with store.scratch(docs.sparkSession) as kept:
         made = store.materialise(found_in(docs, id_col, text_col), "found")
         pairs = store.materialise(made.where(F.col("kind") == PAIR).select("a", "b").distinct(), "line-pairs")
-        members = store.materialise(_merged(made.where(F.col("kind") == MEMBER).select("bucket", F.col("a").alias("node")).distinct()), "line-members")
+        spread = _merged(made.where(F.col("kind") == SPREAD).select("bucket", F.col("a").alias("node")).distinct())
+        members = made.where(F.col("kind") == MEMBER).select("bucket", F.col("a").alias("node")).distinct()
+        members = store.materialise(members.unionByName(spread), "line-members")
         wanted = store.materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct(), "wanted")
         table = store.materialise(_texts_of(texts, wanted), "line-texts")
         comps = components.linked(members, table, near_pairs, near_cells, pairs)

@@ -776,3 +776,40 @@ def test_pipeline_of_odd_tables(spark, odd_tables):
     assert 37 not in {r["doc_id"] for r in seen["decontamination"].collect()}
     pieces = seen["packing"].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t"), F.countDistinct("doc_id")).collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in seen["decontamination"].collect()} and all(r["n"] % r["t"] == 0 for r in pieces)
+
+
+def test_bags_rule_out_strangers_only_and_packs_come_back():
+    rng = random.Random(21)
+    lines = ["".join(rng.choice("abcdefgh éX0 ") for _ in range(rng.randint(20, 300))) for _ in range(300)]
+    bag = linededup.bags(lines)
+    for edits in (1, 4, 9):
+        others = [edited(rng, s, edits) for s in lines]
+        assert (linededup.bags_apart(bag, linededup.bags(others)) <= 2 * edits).all()
+    assert (linededup.bags_apart(bag[:-1], bag[1:]) > 8).mean() > 0.9
+    packs = linededup.Packs(3, 0)
+    packs.add(lines, np.array([linededup.node_of(s) for s in lines]))
+    for batch in packs.flush():
+        for records in batch["records"].to_pylist():
+            assert linededup.unpacked(linededup.packed(records)).tobytes() == records
+            assert len(linededup.packed(records)) < 0.85 * len(records)
+
+
+def test_strangers_in_a_large_bucket_and_buckets_alike_make_few_members():
+    """Lines that share a passage alone are no candidates; copies whose windows share most of their nodes are members of few buckets."""
+    rng = random.Random(22)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(n))
+    passage, base = word(60), word(180)
+
+    def met(lines):
+        packs = linededup.Packs(1, 0)
+        packs.add(lines, np.array([linededup.node_of(s) for s in lines]))
+        return linededup.candidates([(0, np.frombuffer(r, linededup._RECORD)) for batch in packs.flush() for r, spread in zip(batch["records"].to_pylist(), batch["spread"].to_pylist(), strict=True) if not spread])
+
+    hot, linededup.HOT = linededup.HOT, 10**9
+    try:
+        a, _, _, node = met([passage + word(60) for _ in range(600)])
+        assert len(a) < 4 * 600 and not len(node)
+        _, _, bucket, node = met(list({edited(rng, base, 2) for _ in range(900)}))
+        assert len(set(node.tolist())) > 850 and len(node) < 15 * 900
+    finally:
+        linededup.HOT = hot
