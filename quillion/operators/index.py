@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +13,8 @@ from quillion.sources.shared import materialise
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Rows of questions' terms (some 50 bytes each) up to which they are broadcast.
 BROADCAST_TERMS = 200_000
+#: Documents' tokens, and scores (one a question and document), of one task, about.
+TASK_ROWS = 1_000_000
 
 
 def term_frequencies(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -41,6 +43,11 @@ def bm25_tokens(x: Column) -> Column:
     return X.tokens(x, 2, BM25_STOP_WORDS)
 
 
+def tasks(spark: SparkSession, n_docs: int, n_tokens: int, n_questions: int) -> int:
+    """Tasks that documents are dealt to, at least as many as run at once."""
+    return max(spark.sparkContext.defaultParallelism, -(-(n_tokens + n_docs * n_questions) // TASK_ROWS))
+
+
 def bm25_scores(docs: DataFrame, questions: DataFrame, variant: str = "plus1", id_col: str = "doc_id", text_col: str = "text", question_id: str = "item_id", question_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(question id, id, score) of all documents that share a term with a question.
 
@@ -51,7 +58,8 @@ def bm25_scores(docs: DataFrame, questions: DataFrame, variant: str = "plus1", i
     One pass over the documents counts them, their tokens and the documents that hold each term. Another keeps the
     tokens that questions ask for and deals them out by document, once: term counts, scores and (in ``bm25_top``) the
     first choice of the k best are then made where a document's tokens are, so that a term that stands in most documents
-    is spread over all tasks. The questions' terms are broadcast up to ``BROADCAST_TERMS`` rows.
+    is spread over all tasks. There are as many tasks as ``TASK_ROWS`` asks for, so that what one holds doesn't grow with
+    the corpus. The questions' terms are broadcast up to ``BROADCAST_TERMS`` rows.
     """
     cut = bm25_tokens if variant == "plus1" else X.spaced_words
     tokens = cut(F.coalesce(F.col(text_col), F.lit("")))
@@ -77,7 +85,8 @@ def bm25_scores(docs: DataFrame, questions: DataFrame, variant: str = "plus1", i
     weights = materialise(wanted.join(dfs, "term"), "term-weights")
     asked = weights.select("term").distinct()
     found = rows.select("d", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(hint(asked), "term", "left_semi")
-    tf = found.repartition("d").groupBy("d", "length", "term").agg(F.count("*").alias("tf"))
+    about = counts.where("term is null").agg(F.sum("df"), F.sum("lengths")).first()
+    tf = found.repartition(tasks(docs.sparkSession, about[0] or 0, about[1] or 0, wanted.select("q").distinct().count()), "d").groupBy("d", "length", "term").agg(F.count("*").alias("tf"))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length"))
     hits = tf.join(hint(weights), "term").select("q", "d", (F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("part"))
     return hits.groupBy("q", "d").agg(F.round(F.sum("part"), 6).alias("score")).select(F.col("q").alias(question_id), F.col("d").alias(id_col), "score")

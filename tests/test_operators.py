@@ -302,3 +302,15 @@ def test_scratch_deletes_its_tables(spark):
     assert stays.count() == 3
     with pytest.raises(Exception):
         gone.count()
+
+
+def test_bm25_deals_more_tasks_to_more_documents(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * k) % 7}" for k in range(1, 6))) for i in range(40)]
+    docs, asked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, "w1 w2"), (2, "w3")], "item_id long, text string")
+    parallel = spark.sparkContext.defaultParallelism
+    assert index.tasks(spark, 10, 100, 2) == parallel
+    assert index.tasks(spark, 10**8, 10**10, 40) == 14_000
+    whole = {tuple(r) for r in index.bm25_top(docs, asked, 3).collect()}
+    monkeypatch.setattr(index, "TASK_ROWS", 10)
+    assert index.tasks(spark, 40, 200, 2) == max(parallel, 28)
+    assert {tuple(r) for r in index.bm25_top(docs, asked, 3).collect()} == whole
