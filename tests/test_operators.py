@@ -321,3 +321,11 @@ def test_title_keeps_references_without_an_end():
     assert cut("a &amp;&amp; b &amp") == "a && b &amp"
     assert cut("a &lt;b&gt; &#233; & c ") == "a <b> é & c"
     assert cut("") == ""
+
+
+def test_sensitive_tokens_read_citations_once(spark):
+    rows = spark.createDataFrame([("Le 12/03/2024, 15 % et 2000 € à CODE-7, CODE-7, [S2] S2 word SIGLE été",), ("",), ("plain words",)], "text string")
+    found = rows.select(verify.sensitive_tokens(F.col("text")).alias("t"))
+    assert [r["t"] for r in found.collect()] == [["12/03/2024", "03", "2000", "CODE-7", "SIGLE"], [], []]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 5  # four patterns, and the citations once
