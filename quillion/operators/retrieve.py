@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -49,15 +51,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def pairs(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, q, v): every query with every vector but itself.
+def pairs(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", more: Callable[[str], Column] | None = None) -> DataFrame:
+    """(query_id, id, q, v): every query with every vector but itself; with ``more`` of the columns q and v too, as q_more and v_more.
 
     For outputs that are all pairs; few queries are broadcast. Rankings go by ``nearest``.
     """
     q = queries.select(F.col(id_col).alias("query_id"), doubles(F.col(vector_col)).alias("q"))
+    v = vectors.select(F.col(id_col), doubles(F.col(vector_col)).alias("v"))
+    if more:
+        q, v = (x.withColumn(f"{name}_more", more(name)) for x, name in ((q, "q"), (v, "v")))
     if queries.count() <= BROADCAST_QUERIES:
         q = F.broadcast(q)
-    v = vectors.select(F.col(id_col), doubles(F.col(vector_col)).alias("v"))
     return v.join(q, F.col(id_col) != F.col("query_id"))
 
 
@@ -123,7 +127,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosines(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    return pairs(vectors, queries, id_col, vector_col).select("query_id", id_col, F.round(cosine(F.col("q"), F.col("v")), 6).alias("cosine"))
+    """Cosines of all pairs; a vector's length is made once, not once a pair."""
+    long = lambda x: F.sqrt(dot(F.col(x), F.col(x)))
+    found = pairs(vectors, queries, id_col, vector_col, long)
+    value = F.try_divide(dot(F.col("q"), F.col("v")), F.col("q_more") * F.col("v_more"))
+    return found.select("query_id", id_col, F.round(F.coalesce(value, F.lit(0.0)), 6).alias("cosine"))
 
 
 def above_threshold(vectors: DataFrame, queries: DataFrame, threshold: float, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

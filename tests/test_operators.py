@@ -329,3 +329,14 @@ def test_sensitive_tokens_read_citations_once(spark):
     assert [r["t"] for r in found.collect()] == [["12/03/2024", "03", "2000", "CODE-7", "SIGLE"], [], []]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 5  # four patterns, and the citations once
+
+
+def test_cosines_make_lengths_once_a_vector(spark):
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (100, [3.0, 4.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = retrieve.cosines(v, v.where("vec_id % 100 = 0"))
+    got = {(r["query_id"], r["vec_id"]): r["cosine"] for r in found.collect()}
+    assert got == {(r["query_id"], r["vec_id"]): r["c"] for r in retrieve.pairs(v, v.where("vec_id % 100 = 0")).select("query_id", "vec_id", F.round(retrieve.cosine(F.col("q"), F.col("v")), 6).alias("c")).collect()}
+    assert got[0, 1] == 0.8 and got[0, 2] == got[100, 3] == got[0, 4] == 0.0
+    join = found._jdf.queryExecution().optimizedPlan().toString().index("Join")
+    assert found._jdf.queryExecution().optimizedPlan().toString()[:join].count("SQRT") == 0  # below the join alone
