@@ -52,3 +52,23 @@ def test_verdicts_are_alike_for_short_and_long_evidence(spark):
     group = ["answer_id", "evidence_key"]
     rows = lambda long: verify.overlap_best(claims, windows, group, ["claim_no"], long).orderBy("answer_id", "claim_no").select("answer_id", "claim_no", F.col("best_overlap")).collect()
     assert rows(10**9) == rows(64) == rows(0) and len(rows(64)) == 36
+
+
+def test_large_groups_are_cut_into_cells_and_pairs_are_never_shuffled(spark, monkeypatch):
+    windows = _sets(4, 3, 200, 40) + [(1, ["w1", "w2"])] * 50 + [(1, [])] * 20
+    asked = _sets(5, 4, 90, 50) + [(1, ["w2", "w1"]), (1, []), (2, ["nowhere"])]
+    c = spark.createDataFrame([(g, 0, words) for g, words in asked] * 2, "g long, i long, words array<string>")  # ids that repeat
+    w = spark.createDataFrame(windows, "g long, words array<string>")
+    n = {g: sum(h == g for h, _ in windows) for g, _ in windows}
+    want = sorted((g, max(_jaccard(set(words), set(b)) for h, b in windows if h == g), n[g]) for g, words in asked * 2 if g in n)
+    whole = overlap.best(c, w, ["g"], ["i"])
+    assert "Join" not in whole._jdf.queryExecution().toString()
+    monkeypatch.setattr(overlap, "PAIRS", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for df in (whole, overlap.best(c, w, ["g"], ["i"]), overlap.best(c, w, ["g"], ["i"], cell_words=60)):
+            assert sorted(df.select("g", "best_overlap", "n_windows").collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with pytest.raises(Exception, match="unit separator"):
+        overlap.best(spark.createDataFrame([(1, 1, ["a\x1fb"])], c.schema), w, ["g"], ["i"]).collect()
