@@ -113,3 +113,17 @@ def test_questions_are_answered_alike_from_stored_indexes(spark, tmp_path):
     near.build(pipeline.corpus_vectors(docs.select(F.col("doc_id").alias("d"), F.col("text").alias("content")), plain), "id", "v")
     found = [sorted(map(str, pipeline.ask_batch(docs, questions, s).collect())) for s in (plain, replace(plain, lexical=words, vectors=near))]
     assert found[0] == found[1] and "red fox" in found[0][0]
+
+
+def test_vector_search_passes_on_few_rows_a_query(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)  # no clusters: bounds leave most vectors open
+    held = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=16)]) for i in range(1500)], "vec_id long, embedding array<double>")
+    asked = held.where("vec_id % 50 = 0")
+    stored = vectors.VectorIndex(spark, f"file://{tmp_path}/vectors")
+    stored.build(held, lists=12)
+    made, write = [], vectors.materialise
+    monkeypatch.setattr(vectors, "materialise", lambda df, tag: made.append(write(df, tag)) or made[-1])
+    monkeypatch.setattr(vectors, "BLOCK", 100)  # lists of more are cut
+    columns = ("query_id", "rank", "vec_id", "distance")
+    assert rows(stored.search(asked, 5), *columns) == rows(retrieve.vector_top(held, asked, 5), *columns)
+    assert made and all(df.count() <= 30 * 5 for df in made)
