@@ -11,9 +11,10 @@ A version of an index is a folder with four tables:
   into as few bits as they need), and the block's ``impacts``, those (count, length) that no other of the block beats in
   both. The block's largest score follows from them for any statistics, so blocks stay valid while a corpus changes.
 
-A search reads impacts of the asked terms' blocks alone. What a block's documents can score at most is its own bound and
-the bounds of the other terms' blocks that overlap it. The k-th best score of the most promising blocks is a threshold that
-the result must reach, and only blocks that can reach it are read and scored. The result is the same as without pruning.
+A search deals the asked terms' blocks by shard and brings the questions to them; postings and scores are never rows of a
+shuffle. What a block's documents can score at most is its own bound and the bounds of the other terms' blocks that overlap
+it. The k-th best score of the most promising blocks is a threshold that the result must reach, and only blocks that can
+reach it are scored. A task passes on the best of a question and shard. The result is the same as without pruning.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillion.functions import text as X
 from quillion.operators import index
@@ -33,14 +34,20 @@ from quillion.sources.shared import materialise
 
 #: Postings of a block.
 BLOCK = 128
-#: Documents of a shard, about.
-SHARD_DOCS = 1 << 17
+#: Documents of a shard, about: a task of a search holds their postings of asked terms.
+SHARD_DOCS = 1 << 15
 #: Folders of blocks.
 BUCKETS = 16
 #: Of a question's blocks in a shard, so many with the largest bounds are scored first, for the threshold.
 SEEDS = 16
 #: Scores are rounded to six digits before they are ranked.
 SLACK = 1e-6
+#: Scores that a shard passes on beyond the k best, as they are rounded before they are ranked.
+SPARE = 8
+#: Questions that meet a shard in one task, about.
+ASKING = 1024
+#: Tokens that are counted at once, and blocks that are unpacked at once.
+TOKENS, UNPACKED = 1 << 20, 2048
 #: Question terms up to which they are handed to the scan as a list.
 LISTED_TERMS = 1000
 
@@ -62,11 +69,21 @@ def _shard(d: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(d), F.lit(shards)).cast("int")
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of some ``TOKENS`` tokens, or one document."""
+    stop = np.cumsum(pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(stop, (stop[a - 1] if a else 0) + TOKENS, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def _postings(rows: DataFrame, buckets: int, shards: int) -> DataFrame:
     """One row a document and term, of rows (d, tokens); a document's tokens are counted where they are."""
 
     def count(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             tokens = batch.column("tokens")
             of, coded = tokens.value_parent_indices().to_numpy(), tokens.flatten().dictionary_encode()
             size = max(1, len(coded.dictionary))
@@ -142,6 +159,46 @@ def _unpacked(blocks: DataFrame) -> DataFrame:
     return blocks.select("bucket", "shard", "term", "first", "gaps", "counts", "lengths").mapInArrow(run, _POSTING)
 
 
+def _merged(batches) -> Iterator[pa.RecordBatch]:
+    """Postings in order, of rows in order of bucket, shard, term and kind: 0 old blocks, 1 documents whose postings go, 2 postings that come."""
+    kept = None  # rows of the open list
+    keys = ["bucket", "shard", "term"]
+    for part in (whole.slice(i, UNPACKED) for whole in batches for i in range(0, whole.num_rows, UNPACKED)):
+        table = pa.Table.from_batches([part]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([part])]).combine_chunks()
+        last = table.slice(table.num_rows - 1)
+        same = np.ones(table.num_rows, bool)
+        for c in keys:
+            same &= pc.equal(table[c], last[c][0]).to_numpy(zero_copy_only=False)
+        done = int(np.argmax(same))  # lists are whole before the last one
+        kept = table.slice(done)
+        if done:
+            yield _left(table.slice(0, done))
+    if kept is not None:
+        yield _left(kept)
+
+
+def _left(table: pa.Table) -> pa.RecordBatch:
+    """The postings of whole lists after the change."""
+    batch = table.combine_chunks().to_batches()[0]
+    kind, new = batch.column("kind").to_numpy(), np.zeros(batch.num_rows, bool)
+    for c in ("bucket", "shard", "term"):
+        x = batch.column(c)
+        new[1:] |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
+    of = np.cumsum(new)
+    held, gone = batch.filter(pa.array(kind != 1)), np.flatnonzero(kind == 1)
+    row, d = _decoded(held)
+    row = np.flatnonzero(kind != 1)[row]
+    every = np.concatenate([d, batch.column("first").to_numpy()[gone]])
+    lists, number = np.concatenate([of[row], of[gone]]), np.unique(every, return_inverse=True)[1]
+    pair = lists * (int(number.max(initial=0)) + 1) + number
+    go = (kind[row] == 0) & np.isin(pair[: len(d)], pair[len(d) :])
+    stay = np.flatnonzero(~go)
+    stay = stay[np.argsort(pair[stay], kind="stable")]
+    at = pa.array(stay)
+    columns = [batch.column(c).take(pa.array(row[stay])) for c in ("bucket", "shard", "term")]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(d[stay]), held.column("counts").flatten().take(at), held.column("lengths").flatten().take(at)], ["bucket", "shard", "term", "d", "count", "length"])
+
+
 def _decoded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Each posting's row in the batch, and its document's id."""
     of = batch.column("counts").value_parent_indices().to_numpy()
@@ -168,11 +225,18 @@ class StoredIndex:
     def _rows(docs: DataFrame, variant: str, id_col: str, text_col: str) -> DataFrame:
         return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), tokens_of(variant, F.col(text_col)).alias("tokens"))
 
-    def _write(self, documents: DataFrame, terms: DataFrame, blocks: DataFrame, about: dict) -> str:
+    @staticmethod
+    def _of(docs: DataFrame, wanted: DataFrame, variant: str, id_col: str, text_col: str) -> DataFrame:
+        """Rows (d, tokens) of the wanted documents, whose texts alone are cut."""
+        texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text")).join(wanted, "d", "left_semi")
+        return texts.select("d", tokens_of(variant, F.col("text")).alias("tokens"))
+
+    def _write(self, documents: DataFrame, terms: DataFrame | None, blocks: DataFrame, about: dict) -> str:
         def write(folder: str) -> None:
             documents.write.parquet(f"{folder}/documents")
-            terms.sortWithinPartitions("term").write.parquet(f"{folder}/terms")
             blocks.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/blocks")
+            held = self.spark.read.schema(_BLOCK).parquet(f"{folder}/blocks").groupBy("term").agg(F.sum(F.size("counts")).cast("long").alias("df")) if terms is None else terms
+            held.sortWithinPartitions("term").write.parquet(f"{folder}/terms")
             total = self.spark.read.parquet(f"{folder}/documents").agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("n_tokens"))
             total.select("*", *(F.lit(v).alias(k) for k, v in about.items())).coalesce(1).write.parquet(f"{folder}/stats")
 
@@ -183,9 +247,7 @@ class StoredIndex:
         rows = self._rows(docs, variant, id_col, text_col)
         documents = materialise(rows.select("d", "hash", F.size("tokens").cast("long").alias("length")), "index-documents")
         shards = max(1, -(-documents.count() // shard_docs))
-        blocks = materialise(_packed(_postings(rows, buckets, shards)), "index-blocks")
-        terms = blocks.groupBy("term").agg(F.sum(F.size("counts")).cast("long").alias("df"))
-        return self._write(documents, terms, blocks, {"variant": variant, "buckets": buckets, "shards": shards})
+        return self._write(documents, None, _packed(_postings(rows, buckets, shards)), {"variant": variant, "buckets": buckets, "shards": shards})
 
     def update(self, before: DataFrame, after: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, int]:
         """Write the next version for a changed corpus, and count what changed.
@@ -198,25 +260,32 @@ class StoredIndex:
         about = self.stats()
         variant, buckets, shards = about["variant"], about["buckets"], about["shards"]
         old, new = self.part("documents"), self._rows(after, variant, id_col, text_col)
-        seen = new.select("d", "hash", F.size("tokens").cast("long").alias("length"))
-        both = old.select("d", F.col("hash").alias("was")).join(seen.select("d", "hash", "length"), "d", "full")
+        both = old.select("d", F.col("hash").alias("was"), F.col("length").alias("was_long")).join(new.select("d", "hash"), "d", "full")
         kind = F.when(F.col("was").isNull(), "inserted").when(F.col("hash").isNull(), "deleted").when(F.col("was") != F.col("hash"), "changed")
         both = materialise(both.withColumn("kind", kind), "index-changes")
         changes = both.where("kind is not null")
         gone, come = changes.where("kind <> 'inserted'").select("d"), changes.where("kind <> 'deleted'").select("d")
-        added = materialise(_postings(new.join(come, "d", "left_semi"), buckets, shards), "index-added")
-        lost = materialise(_postings(self._rows(before, variant, id_col, text_col).join(gone, "d", "left_semi"), buckets, shards), "index-lost")
+        fresh = self._of(after, come, variant, id_col, text_col)
+        added = materialise(_postings(fresh, buckets, shards), "index-added")
+        lost = materialise(_postings(self._of(before, gone, variant, id_col, text_col), buckets, shards), "index-lost")
         signed = added.select("term", F.lit(1).alias("sign")).unionByName(lost.select("term", F.lit(-1).alias("sign"))).groupBy("term").agg(F.sum("sign").alias("sign"))
         terms = self.part("terms").join(signed, "term", "full").select("term", (F.coalesce("df", F.lit(0)) + F.coalesce("sign", F.lit(0))).alias("df")).where("df > 0")
         lists = added.select("bucket", "shard", "term").unionByName(lost.select("bucket", "shard", "term")).distinct()
         keys = ["bucket", "shard", "term"]
         blocks = self.part("blocks")
         touched = blocks.join(lists, keys, "left_semi")
-        left = _unpacked(touched).join(lost.select("term", "shard", "d"), ["term", "shard", "d"], "left_anti")
-        packed = _packed(left.unionByName(added))
+        nothing = lambda kind: F.array().cast(f"array<{kind}>")
+        one = lambda c: F.array(F.col(c).cast("int")).alias(f"{c}s")
+        rows = touched.select(*keys, F.lit(0).alias("kind"), "first", "gaps", "counts", "lengths")
+        rows = rows.unionByName(lost.select(*keys, F.lit(1).alias("kind"), F.col("d").alias("first"), nothing("long").alias("gaps"), nothing("int").alias("counts"), nothing("int").alias("lengths")))
+        rows = rows.unionByName(added.select(*keys, F.lit(2).alias("kind"), F.col("d").alias("first"), nothing("long").alias("gaps"), one("count"), one("length")))
+        # lists are unpacked, changed and packed where they are
+        packed = rows.repartition("bucket", "shard").sortWithinPartitions(*keys, "kind", "first").mapInArrow(lambda batches: _pack(_merged(batches)), _BLOCK)
         kept = blocks.join(lists, keys, "left_anti").select(packed.columns)
-        documents = both.where("hash is not null").select("d", "hash", "length")
-        self._write(documents, terms, materialise(kept.unionByName(packed), "index-blocks"), {"variant": variant, "buckets": buckets, "shards": shards})
+        lengths = fresh.select("d", F.size("tokens").cast("long").alias("length"))
+        stay = both.where("kind is null").select("d", "hash", F.col("was_long").alias("length"))
+        documents = stay.unionByName(changes.where("hash is not null").select("d", "hash").join(lengths, "d"))
+        self._write(documents, terms, kept.unionByName(packed), {"variant": variant, "buckets": buckets, "shards": shards})
         return {"inserted": 0, "changed": 0, "deleted": 0} | {r["kind"]: r["count"] for r in changes.groupBy("kind").count().collect()}
 
     # searching
@@ -243,61 +312,161 @@ class StoredIndex:
         few = weights.select("term").distinct().limit(LISTED_TERMS + 1).collect()
         return blocks.where(F.col("term").isin([r[0] for r in few])) if len(few) <= LISTED_TERMS else blocks
 
-    def plan(self, questions: DataFrame, k: int, question_id: str = "item_id", question_col: str = "text", k1: float = index.K1, b: float = index.B) -> tuple[DataFrame, DataFrame, dict]:
-        """(blocks, needed, about): what each question's blocks can score (q, weight, keys, best, seed), and those to read."""
+    def _gone_through(self, questions: DataFrame, k: int, question_id: str, question_col: str, k1: float, b: float, count: bool) -> DataFrame:
+        """(q, d, score) of what can be among the k best, or with ``count`` (q, blocks, read) of each shard."""
         about = self.stats()
         average = about["n_tokens"] / max(1, about["n_docs"])
         weights = self._weights(questions, question_id, question_col, about)
-        part = lambda count, length: count * (k1 + 1) / (count + k1 * (1 - b + b * length / average if average else 1 - b))
-        most = F.aggregate("impacts", F.lit(0.0), lambda s, x: F.greatest(s, part(x["count"], x["length"])))
-        bounds = self._asked_blocks(weights).select("bucket", "shard", "term", "block", "first", "last", most.alias("most")).join(weights, ["bucket", "term"])
-        bounds = bounds.withColumn("bound", F.col("weight") * F.col("most"))
-        reach = bounds.groupBy("q", "shard").applyInArrow(_reach, "q long, bucket int, shard int, term string, block int, weight double, best double, seed boolean")
-        reach = materialise(reach, "index-reach")
-        seeds = self._scored(reach.where("seed"), about, average, k1, b)
+        norm = lambda count, length: count + k1 * (1 - b + b * length / average if average else 1 - b)
+        most = F.aggregate("impacts", F.lit(0.0), lambda s, x: F.greatest(s, x["count"] * (k1 + 1) / norm(x["count"], x["length"])))
+        sinking = weights.groupBy("q").agg(F.min("weight").alias("least"))
+        slices = -(-sinking.count() // ASKING)
+        blocks = self._asked_blocks(weights).join(weights.select("bucket", "term", _slice("q", slices)).distinct(), ["bucket", "term"])
+        blocks = blocks.select("shard", "slice", F.lit(False).alias("asks"), "term", "block", "first", "last", "gaps", "counts", "lengths", most.alias("most"), F.lit(None).cast("long").alias("q"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("double").alias("threshold"))
+        empty = {c: F.lit(None).cast(blocks.schema[c].dataType) for c in ("block", "first", "last", "gaps", "counts", "lengths", "most")}
+
+        def go(threshold: DataFrame | None, mode: str, schema: str) -> DataFrame:
+            asks = weights if threshold is None else weights.join(threshold, "q", "left")
+            asks = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(about["shards"] - 1)))).withColumn("slice", _slice("q", slices)).withColumn("asks", F.lit(True))
+            asks = asks.withColumns(empty).withColumn("threshold", F.lit(None).cast("double") if threshold is None else F.col("threshold")).select(blocks.columns)
+            rows = blocks.unionByName(asks).repartition("shard", "slice").sortWithinPartitions("shard", "slice", "asks", "q", "term", "block")
+            return rows.mapInArrow(lambda batches: _shards(batches, mode, k, norm, k1), schema)
+
+        seeds = go(None, "seeds", "q long, d long, score double")
+        best = index.top_k(seeds, "q", k, "d")
         # partial sums are lower bounds only if no term can take from a score
-        sinking = weights.where("weight < 0").select("q").distinct()
-        best = seeds.groupBy("q", "d").agg(F.sum("part").alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("rank") <= k)
-        threshold = best.groupBy("q").agg(F.min("score").alias("threshold"), F.count("*").alias("n")).where(F.col("n") >= k).join(sinking, "q", "left_anti")
-        needed = reach.join(threshold.select("q", "threshold"), "q", "left").where(F.col("threshold").isNull() | (F.col("best") >= F.col("threshold") - 2 * SLACK))
-        return reach, materialise(needed.drop("threshold"), "index-needed"), about | {"average": average}
-
-    def _scored(self, chosen: DataFrame, about: dict, average: float, k1: float, b: float) -> DataFrame:
-        """(q, d, part) of the postings in the chosen blocks (q, weight, keys)."""
-
-        def run(batches):
-            for batch in batches:
-                of, d = _decoded(batch)
-                count, length = (batch.column(c).flatten().to_numpy().astype(np.float64) for c in ("counts", "lengths"))
-                norm = count + k1 * (1 - b + b * length / average if average else 1 - b)
-                parts = batch.column("weight").to_numpy()[of] * count * (k1 + 1) / norm
-                yield pa.RecordBatch.from_arrays([batch.column("q").take(pa.array(of)), pa.array(d), pa.array(parts)], ["q", "d", "part"])
-
-        blocks = self._asked_blocks(chosen)
-        rows = blocks.join(chosen.select("q", "weight", "bucket", "shard", "term", "block"), ["bucket", "shard", "term", "block"])
-        return rows.select("q", "weight", "first", "gaps", "counts", "lengths").mapInArrow(run, "q long, d long, part double")
+        threshold = best.groupBy("q").agg(F.min("score").alias("threshold"), F.count("*").alias("n")).where(F.col("n") >= k).join(sinking.where("least >= 0"), "q", "left_semi")
+        threshold = materialise(threshold.select("q", "threshold"), "index-thresholds")
+        return go(threshold, "count", "q long, blocks long, read long") if count else go(threshold, "score", "q long, d long, score double")
 
     def search(self, questions: DataFrame, k: int, question_id: str = "item_id", question_col: str = "text", id_col: str = "doc_id", k1: float = index.K1, b: float = index.B) -> DataFrame:
         """(question id, id, score, rank, similarity_score, retrieval_source) as ``index.bm25_top``; documents aren't read. Question ids are whole numbers."""
-        _, needed, about = self.plan(questions, k, question_id, question_col, k1, b)
-        scored = self._scored(needed, about, about["average"], k1, b).groupBy("q", "d").agg(F.round(F.sum("part"), 6).alias("score"))
+        scored = self._gone_through(questions, k, question_id, question_col, k1, b, False).withColumn("score", F.round("score", 6))
         found = index.top_k(scored.select(F.col("q").alias(question_id), F.col("d").alias(id_col), "score"), question_id, k, id_col)
         return found.withColumn("similarity_score", index.rank_similarity(F.col("rank"))).withColumn("retrieval_source", F.lit("bm25"))
 
-    def pruning(self, questions: DataFrame, k: int, question_id: str = "item_id", **columns) -> DataFrame:
-        """(question id, blocks, read): how many blocks hold a question's terms, and how many of them a search reads."""
-        reach, needed, _ = self.plan(questions, k, question_id, **columns)
-        total, read = (df.groupBy("q").agg(F.count("*").alias(n)) for df, n in ((reach, "blocks"), (needed, "read")))
-        return total.join(read, "q", "left").select(F.col("q").alias(question_id), "blocks", F.coalesce("read", F.lit(0)).alias("read"))
-
-
-def _reach(group: pa.Table) -> pa.Table:
+    def pruning(self, questions: DataFrame, k: int, question_id: str = "item_id", question_col: str = "text", k1: float = index.K1, b: float = index.B) -> DataFrame:
+        """(question id, blocks, read): how many blocks hold a question's terms, and how many of them a search scores."""
+        each = self._gone_through(questions, k, question_id, question_col, k1, b, True)
+        return each.groupBy(F.col("q").alias(question_id)).agg(F.sum("blocks").alias("blocks"), F.sum("read").alias("read"))
+
+
+def _slice(q: str, slices: int) -> Column:
+    return F.pmod(F.xxhash64(q), F.lit(max(1, slices))).cast("int").alias("slice")
+
+
+def _shards(batches, mode: str, k: int, norm, k1: float) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of shard, slice and question, blocks first: a shard's blocks are held while its questions pass by."""
+    now, blocks, shard, open_ = None, [], None, None
+    out = _Out(mode)
+    for whole in batches:
+        keys = whole.column("shard").to_numpy().astype(np.int64) << 32 | whole.column("slice").to_numpy()
+        cuts = np.flatnonzero(np.diff(keys)) + 1
+        for a, z in zip(np.append(0, cuts).tolist(), np.append(cuts, len(keys)).tolist(), strict=True):
+            if z > a and keys[a] != now:
+                if open_ is not None and shard is not None:
+                    out.add(open_.column("q")[0].as_py(), shard.asked(open_, mode, k))
+                now, blocks, shard, open_ = keys[a], [], None, None
+            part = whole.slice(a, z - a)
+            own = int(np.count_nonzero(~part.column("asks").to_numpy(zero_copy_only=False)))
+            if own:
+                blocks.append(part.slice(0, own).select(["term", "first", "last", "gaps", "counts", "lengths", "most"]))
+            asks = part.slice(own)
+            if not asks.num_rows or not (blocks or shard):
+                continue
+            if shard is None:
+                shard, blocks = _Shard(blocks, norm, k1), []
+            if open_ is not None:
+                asks = pa.Table.from_batches([open_, asks]).combine_chunks().to_batches()[0]
+            q = asks.column("q").to_numpy()
+            ends = np.append(np.flatnonzero(np.diff(q)) + 1, len(q)).tolist()
+            for i, j in zip([0, *ends[:-1]], ends, strict=True):
+                if j == len(q):  # the last question may go on in the next batch
+                    open_ = asks.slice(i)
+                else:
+                    out.add(int(q[i]), shard.asked(asks.slice(i, j - i), mode, k))
+        yield from out.full(1 << 16)
+    if open_ is not None and shard is not None:
+        out.add(open_.column("q")[0].as_py(), shard.asked(open_, mode, k))
+    yield from out.full(1)
+
+
+class _Out:
+    """Rows on their way."""
+
+    def __init__(self, mode: str):
+        self.names, self.rows, self.n = (["q", "blocks", "read"] if mode == "count" else ["q", "d", "score"]), [], 0
+
+    def add(self, q: int, found: tuple[np.ndarray, np.ndarray]) -> None:
+        self.rows.append((np.full(len(found[0]), q, np.int64), *found))
+        self.n += len(found[0])
+
+    def full(self, n: int) -> Iterator[pa.RecordBatch]:
+        if self.n >= n:
+            columns = [pa.array(np.concatenate(x)) for x in zip(*self.rows, strict=True)]
+            self.rows, self.n = [], 0
+            yield pa.RecordBatch.from_arrays(columns, self.names)
+
+
+class _Shard:
+    """The asked terms' postings of a shard."""
+
+    def __init__(self, batches: list[pa.RecordBatch], norm, k1: float):
+        parts = [(b.slice(i, UNPACKED)) for b in batches for i in range(0, b.num_rows, UNPACKED)]
+        ids, values = [], []
+        for x in parts:
+            ids.append(_decoded(x)[1])
+            count, length = (x.column(c).flatten().to_numpy().astype(np.float64) for c in ("counts", "lengths"))
+            values.append(count * (k1 + 1) / norm(count, length))
+        self.value = np.concatenate(values)
+        self.ids, doc = np.unique(np.concatenate(ids), return_inverse=True)
+        self.doc = doc.astype(np.int32)
+        sizes = np.concatenate([pc.list_value_length(x.column("counts")).to_numpy() for x in parts])
+        self.stop = np.cumsum(sizes)
+        self.begin = self.stop - sizes
+        self.first, self.last, self.most = (np.concatenate([x.column(c).to_numpy() for x in parts]) for c in ("first", "last", "most"))
+        coded = pa.chunked_array([x.column("term") for x in parts]).combine_chunks().dictionary_encode()
+        term = coded.indices.to_numpy()
+        starts = np.append(0, np.flatnonzero(np.diff(term)) + 1)  # a term's blocks stand together
+        names = coded.dictionary.to_pylist()
+        self.of = {names[term[a]]: (int(a), int(b)) for a, b in zip(starts, np.append(starts[1:], len(term)), strict=True)}
+
+    def asked(self, rows: pa.RecordBatch, mode: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """One question's terms: ids and scores of the best documents, or the numbers of blocks there are and to be scored."""
+        terms = [(*self.of[t], w) for t, w in zip(rows.column("term").to_pylist(), rows.column("weight").to_pylist(), strict=True) if t in self.of]
+        if not terms:
+            return np.empty(0, np.int64), np.empty(0, np.int64 if mode == "count" else float)
+        at = np.concatenate([np.arange(a, b) for a, b, _ in terms])
+        weight = np.repeat([w for *_, w in terms], [b - a for a, b, _ in terms])
+        best = _reach(self.first[at], self.last[at], weight * self.most[at])
+        chosen, threshold = np.ones(len(at), bool), rows.column("threshold")[0].as_py()
+        if mode == "seeds":
+            chosen[np.argsort(-best, kind="stable")[SEEDS:]] = False
+        elif threshold is not None:
+            chosen = best >= threshold - 2 * SLACK
+        if mode == "count":
+            return np.array([len(at)]), np.array([np.count_nonzero(chosen)])
+        score, seen = np.zeros(len(self.ids)), np.zeros(len(self.ids), bool)
+        at, weight = at[chosen], weight[chosen]
+        cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(weight) != 0)) + 1
+        for i, j in zip(np.append(0, cuts).tolist(), np.append(cuts, len(at)).tolist(), strict=True):
+            if j > i:  # blocks that follow each other, maybe of two terms of the same weight
+                run = slice(self.begin[at[i]], self.stop[at[j - 1]])
+                np.add.at(score, self.doc[run], weight[i] * self.value[run])
+                seen[self.doc[run]] = True
+        found = np.flatnonzero(seen)
+        if len(found) > k + SPARE:
+            found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k] - 2 * SLACK]
+            found = found[np.lexsort((self.ids[found], -np.round(score[found], 6)))[: k + SPARE]]
+        return self.ids[found], score[found]
+
+
+def _reach(first: np.ndarray, last: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """What any document of each block can score at most, of one question and shard: its blocks overlap as intervals of ids.
 
     The borders of all blocks cut the ids into stretches. In a stretch, a term adds the bound of its block there, if it
     has one and it is above 0; a block reaches the largest sum among its stretches.
     """
-    first, last, bound = (group[c].to_numpy() for c in ("first", "last", "bound"))
     bound = np.maximum(bound, 0.0)
     cuts = np.unique(np.concatenate([first, last + 1]))
     change = np.zeros(len(cuts) + 1)
@@ -305,7 +474,4 @@ def _reach(group: pa.Table) -> pa.Table:
     np.add.at(change, begin, bound)
     np.add.at(change, stop, -bound)
     sums = np.cumsum(change)[: len(cuts)]
-    best = np.array([sums[a:b].max() for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]) * (1 + 1e-12) + 1e-9
-    seed = np.zeros(len(best), bool)
-    seed[np.argsort(-best, kind="stable")[:SEEDS]] = True
-    return pa.table({**{c: group[c] for c in ("q", "bucket", "shard", "term", "block", "weight")}, "best": best, "seed": seed}).cast(pa.schema([("q", pa.int64()), ("bucket", pa.int32()), ("shard", pa.int32()), ("term", pa.string()), ("block", pa.int32()), ("weight", pa.float64()), ("best", pa.float64()), ("seed", pa.bool_())]))
+    return np.array([sums[a:b].max() for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]) * (1 + 1e-12) + 1e-9

@@ -127,3 +127,26 @@ def test_vector_search_passes_on_few_rows_a_query(spark, tmp_path, monkeypatch):
     columns = ("query_id", "rank", "vec_id", "distance")
     assert rows(stored.search(asked, 5), *columns) == rows(retrieve.vector_top(held, asked, 5), *columns)
     assert made and all(df.count() <= 30 * 5 for df in made)
+
+
+def test_lists_are_changed_where_they_are(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(postings, "UNPACKED", 2)  # lists go on from part to part
+    made = [("a", 0, 1, [1, 1], [1, 2, 3]), ("a", 0, 9, [], [4]), ("a", 1, 2, [], []), ("a", 2, 5, [], [7]), ("b", 1, 4, [], []), ("b", 2, 4, [], [5]), ("c", 0, 6, [2], [1, 1]), ("c", 1, 6, [], []), ("c", 1, 8, [], [])]
+    column = lambda i, kind: pa.array([m[i] for m in made], kind)
+    zero, counts = pa.array([0] * len(made), pa.int32()), column(4, pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([zero, zero, column(0, pa.string()), column(1, pa.int32()), column(2, pa.int64()), column(3, pa.list_(pa.int64())), counts, counts], ["bucket", "shard", "term", "kind", "first", "gaps", "counts", "lengths"])
+    got = [(r["term"], r["d"], r["count"]) for x in postings._merged([batch]) for r in x.to_pylist()]
+    assert got == [("a", 1, 1), ("a", 3, 3), ("a", 5, 7), ("a", 9, 4), ("b", 4, 5)]
+
+
+def test_shards_pass_on_few_rows_a_question(spark, corpus, tmp_path, monkeypatch):
+    stored = postings.StoredIndex(spark, f"file://{tmp_path}/index")
+    stored.build(corpus, shard_docs=1000)
+    monkeypatch.setattr(postings, "ASKING", 8)  # questions in several slices
+    asked = spark.createDataFrame([(i, f"often rare word{i}") for i in range(30)], "item_id long, text string")
+    passed = stored._gone_through(asked, 3, "item_id", "text", index.K1, index.B, False)
+    assert passed.count() <= 30 * stored.stats()["shards"] * (3 + postings.SPARE)
+    columns = ("item_id", "rank", "doc_id", "score")
+    assert rows(stored.search(asked, 3), *columns) == rows(index.bm25_top(corpus, asked, 3), *columns)
