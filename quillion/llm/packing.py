@@ -181,7 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = None, limits: Lim
                         yield flush(False)
         yield flush(True)
         examples.clear()
-        give_back()
+        give_back(tokens.STEP)
 
     arrow = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("loss", pa.bool_()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
     bears = F.lit(True) if loss is None else F.coalesce(loss, F.lit(False))

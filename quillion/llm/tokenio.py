@@ -56,7 +56,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str =
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype("<i4") * ids.itemsize
                 column = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], column], names=["doc_id", "tie", "ids"])
-        give_back()
+        give_back(tokens.STEP)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text")).mapInArrow(run, _TOKENS)
 

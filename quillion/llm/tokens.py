@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quillion.llm.words import leave
+
 #: Words that a worker keeps, and those that stay (the first to come, which hold the frequent ones) when there are more.
 KEEP, STAY = 900_000, 600_000
 #: Slots of the table of words are 2**SLOTS.
@@ -273,11 +275,14 @@ class Encoder:
         return out
 
 
+#: By this name tasks that encode keep the encoders for the next one.
+STEP = "tokens"
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """This process's encoder for the file."""
+    """This process's encoder for the file, until a task of another step gives it back."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+        leave(STEP, _ENCODERS.clear)
     return _ENCODERS[path]

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillion.llm import ann, components, decontaminate, licences, linededup, packing, probminhash, quality, rans, tokenio, tokens, toxicity, warc
+from quillion.llm.words import give_back
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -211,6 +212,15 @@ def check_packing(rows, ids, limits):
     return seq
 
 
+def test_a_worker_keeps_its_encoder_for_tasks_that_encode_only(tokenizer):
+    first = tokens.encoder(tokenizer)
+    give_back(tokens.STEP)
+    assert tokens.encoder(tokenizer) is first
+    give_back()  # a task of another step ends
+    assert not tokens._ENCODERS
+    assert tokens.encoder(tokenizer).encode(["one two"]) == first.encode(["one two"])
+
+
 def test_packing_keeps_every_token(spark, tokenizer):
     rng = random.Random(2)
     texts = [*ODD, *(" ".join(words(rng, rng.randint(1, 900))) for _ in range(80))]
