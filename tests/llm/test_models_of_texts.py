@@ -127,6 +127,81 @@ def test_language_model_equals_brute_force(docs, order, head):
         assert g[:4] == w[:4] and g[4] == pytest.approx(w[4], rel=1e-9) and g[5] == pytest.approx(w[5], rel=1e-6)
 
 
+class Across(Model):
+    """The same with contexts that reach over the beginnings of words."""
+
+    def __init__(self, rows, order, head):
+        super().__init__(rows, order, head)
+        self.levels([t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2])
+
+    def places(self, text):
+        """The grams of each token."""
+        before, out = b" " * self.order, []
+        for w in tokens(text):
+            b = b"\n" if w == "\n" else w.encode() + b" "
+            padded = before + b
+            out.append([padded[i : i + self.order + 1] for i in range(len(b))])
+            before = padded[-self.order :]
+        return out
+
+    def levels(self, train):
+        levels = {self.order: Counter(g for t in train for token in self.places(t) for g in token)}
+        for k in range(self.order - 1, -1, -1):
+            levels[k] = Counter(g[1:] for g in levels[k + 1])
+        self.nodes = {k: defaultdict(dict) for k in levels}
+        self.seen = {k: defaultdict(lambda: [0, 0]) for k in levels}
+        for k, grams in levels.items():
+            for g, c in grams.items():
+                self.nodes[k][g[:-1]][g[-1]] = c
+            for node in self.nodes[k].values():
+                n, q, once = sum(node.values()), len(node), sum(c == 1 for c in node.values())
+                if n > 1:
+                    self.seen[k][self.kind(n - 1), self.kind(q)][1] += n - once
+                    if q > 1:
+                        self.seen[k][self.kind(n - 1), self.kind(q - 1)][0] += once
+
+    def text(self, text):
+        w = tokens(text)
+        each = [sum(map(self.byte, token)) for token in self.places(text)]
+        at = [i for i, x in enumerate(w) if x in self.rare]
+        total = sum(each[: (at or [len(w) - 1])[0] + 1])
+        for i, j, (x, path) in zip(at, [*at[1:], len(w) - 1], self.paths(text), strict=False):
+            own, n = sum(each[i + 1 : j + 1]), sum(self.after[x].values())
+            if n:
+                escape = (sum(c == 1 for c in self.after[x].values()) + 1) / (n + 2)
+                own = math.log10((1 - escape) * self.after[x][path] / n) if self.after[x][path] else math.log10(escape) + own
+            total += own
+        return total
+
+
+@pytest.mark.parametrize(("order", "head", "small"), [(7, 1 << 20, False), (3, 10, True), (1, 30, True), (2, 30, False), (7, 2, True)])
+def test_contexts_reach_over_words(docs, order, head, small, monkeypatch):
+    for name in ("PART_BYTES", "CELL_KEYS", "MERGE_KEYS", "LOOK_UP") if small else ():
+        monkeypatch.setattr(ppm, name, 3)
+    model = Across(ODD, order, head)
+    want = [(i, len(tokens(t)), model.text(t)) for i, t in ODD]
+    got = ppm.scores(docs, ppm.trained_on(F.col("doc_id")), order=order, head_words=head, across=True).select("doc_id", "n_tokens", "score").collect()
+    for g, w in zip(ordered(got), ordered(want), strict=True):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], rel=1e-6)
+
+
+def test_words_are_likelier_after_words_they_follow(spark):
+    texts = ["old cat new dog"] * 40 + ["new cat", "old cat"]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    kept = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [*zip(kept, texts[:40], strict=False), *zip(held, texts[40:], strict=False)]
+    found = {r["doc_id"]: r["score"] for r in ppm.scores(spark.createDataFrame(rows, "doc_id long, text string"), ppm.trained_on(F.col("doc_id")), across=True).collect()}
+    apart = {r["doc_id"]: r["score"] for r in ppm.scores(spark.createDataFrame(rows, "doc_id long, text string"), ppm.trained_on(F.col("doc_id"))).collect()}
+    assert found[held[1]] - found[held[0]] > apart[held[1]] - apart[held[0]] + 1
+
+
+def test_packs_of_grams_hold_any_count():
+    keys = np.array([0x6162_0000_0000_0063, 0x6162_0000_0000_0064, 0x6162_FFFF_FFFF_FFFF], np.uint64)
+    n = np.array([0, 1 << 40, 3])
+    back = ppm._unpacked(0x6162, 3, ppm._packed(keys, n))
+    assert (back[0] == keys).all() and (back[1] == n).all()
+
+
 def test_bytes_probabilities_sum_to_one(spark):
     text = "abra cadabra abracadabra"
     words = spark.createDataFrame([(w, 1, 1) for w in text.split()], "word string, n long, train long")
