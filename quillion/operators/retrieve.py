@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,10 @@ BROADCAST_QUERIES = 20_000
 BLOCK = 8_192
 #: Results that a block passes on beyond the k nearest, as distances are rounded before they are ranked.
 SPARE = 8
+#: Vectors of a block, about, where each pair with a query is a row of the result: fewer, so that tasks stay short.
+ROWS_BLOCK = 4_096
+#: Cosines that a task holds at once.
+PAIRS = 1 << 17
 
 
 def vector_fetch(k: int) -> int:
@@ -51,15 +57,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def pairs(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", more: Callable[[str], Column] | None = None) -> DataFrame:
-    """(query_id, id, q, v): every query with every vector but itself; with ``more`` of the columns q and v too, as q_more and v_more.
+def pairs(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, id, q, v): every query with every vector but itself.
 
-    For outputs that are all pairs; few queries are broadcast. Rankings go by ``nearest``.
+    For outputs that are all pairs; few queries are broadcast. Rankings go by ``nearest``, cosines by ``cosines``.
     """
     q = queries.select(F.col(id_col).alias("query_id"), doubles(F.col(vector_col)).alias("q"))
     v = vectors.select(F.col(id_col), doubles(F.col(vector_col)).alias("v"))
-    if more:
-        q, v = (x.withColumn(f"{name}_more", more(name)) for x, name in ((q, "q"), (v, "v")))
     if queries.count() <= BROADCAST_QUERIES:
         q = F.broadcast(q)
     return v.join(q, F.col(id_col) != F.col("query_id"))
@@ -126,12 +130,102 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
+def _by_size(rows: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, components and lengths of a batch's vectors by how many components they have; those without a length are left out."""
+    size = np.where(rows.column("long").is_valid().to_numpy(zero_copy_only=False), pc.list_value_length(rows.column("v")).fill_null(-1).to_numpy(), -1)
+    found = {}
+    for d in np.unique(size[size >= 0]).tolist():
+        at = np.flatnonzero(size == d)
+        part = rows if len(at) == len(size) else rows.take(pa.array(at))
+        found[d] = at, part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(at), d), part.column("long").to_numpy(zero_copy_only=False)
+    return found
+
+
+def _unit(x: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Rows of length one; NaN where a length is zero, isn't finite, or products of its square might leave the range of doubles."""
+    return x / np.where((long > 1e-140) & (long < 1e140), long, np.nan)[:, None]
+
+
+def _six_digits(x: np.ndarray) -> np.ndarray:
+    """Rounded as Spark's ``round`` does: half up, by a number's decimal form."""
+    found = np.rint(x * 1e6) / 1e6 + 0.0
+    near = np.flatnonzero(np.abs(x * 1e6 - np.rint(x * 1e6)) > 0.5 - 1e-6)
+    values, at = np.unique(x[near], return_inverse=True)
+    found[near] = np.array([float(Decimal(repr(v)).quantize(Decimal("1e-6"), ROUND_HALF_UP)) for v in values.tolist()], float)[at]
+    return found
+
+
+def _all_cosines(q: np.ndarray, q_long: np.ndarray, v: np.ndarray, v_long: np.ndarray, v_unit: np.ndarray) -> np.ndarray:
+    """Cosines of each q with each v, to six digits, as ``cosine`` in double precision has them.
+
+    A product of matrices sums in another order. Where that could lead to another sixth digit, and where a vector has no
+    unit form, the sum is made again in the order of the components.
+    """
+    with np.errstate(all="ignore"):
+        value = (_unit(q, q_long) * 1e6) @ v_unit.T
+        found = np.rint(value)
+        value -= found
+        i, j = np.nonzero(~(np.abs(value, out=value) < 0.5 - 1e-9 * (q.shape[1] + 8)))
+        found /= 1e6
+        found += 0.0  # no negative zeros
+        if len(i):
+            scale = q_long[i] * v_long[j]
+            found[i, j] = 0.0
+            i, j, scale = i[scale != 0], j[scale != 0], scale[scale != 0]
+            total = np.zeros(len(i))
+            for x, y in zip(q.T, v.T, strict=True):
+                total += x[i] * y[j]
+            found[i, j] = _six_digits(total / scale)
+    return found
+
+
+def _cosine_batches(batches: Iterable[pa.RecordBatch], names: list[str], at_once: int) -> Iterator[pa.RecordBatch]:
+    """The cosines of a task's vectors, which come first, with each of the queries that stream by."""
+    held, block = [], None
+    for batch in batches:
+        first = int(np.searchsorted(batch.column("asks").to_numpy(zero_copy_only=False), True))
+        if first:
+            held.append(batch.slice(0, first))
+        if first == batch.num_rows or not held:
+            continue
+        if block is None:
+            ids = pa.concat_arrays([h.column("id") for h in held])
+            known = ids.dictionary_encode()
+            block = _by_size(pa.RecordBatch.from_arrays([pa.concat_arrays([h.column(c) for h in held]) for c in ("v", "long")], names=["v", "long"]))
+            with np.errstate(all="ignore"):
+                block = {d: (at, v, long, _unit(v, long)) for d, (at, v, long) in block.items()}
+        step = max(1, at_once // len(ids))
+        for start in range(first, batch.num_rows, step):
+            asked = batch.slice(start, min(step, batch.num_rows - start))
+            found = np.zeros((asked.num_rows, len(ids)))  # 0 for vectors of other sizes, and for those without a length
+            for d, (at, q, long) in _by_size(asked).items():
+                if d in block:
+                    found[np.ix_(at, block[d][0])] = _all_cosines(q, long, *block[d][1:])
+            who = asked.column("id").take(pa.array(np.repeat(np.arange(asked.num_rows), len(ids))))
+            out = pa.RecordBatch.from_arrays([who, pa.concat_arrays([ids] * asked.num_rows), pa.array(found.ravel())], names=names)
+            own = pc.index_in(asked.column("id"), known.dictionary).fill_null(-1).to_numpy()
+            if (own >= 0).any():
+                out = out.filter(pa.array((known.indices.to_numpy() != own[:, None]).ravel()))
+            yield out
+
+
 def cosines(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Cosines of all pairs; a vector's length is made once, not once a pair."""
-    long = lambda x: F.sqrt(dot(F.col(x), F.col(x)))
-    found = pairs(vectors, queries, id_col, vector_col, long)
-    value = F.try_divide(dot(F.col("q"), F.col("v")), F.col("q_more") * F.col("v_more"))
-    return found.select("query_id", id_col, F.round(F.coalesce(value, F.lit(0.0)), 6).alias("cosine"))
+    """Cosines of all pairs; a vector's length is made once, not once a pair.
+
+    Vectors are dealt into blocks, queries are copied to each; a task holds one block, lets the queries stream by and emits
+    their cosines as products of matrices, a bounded number at a time. Pairs are never shuffled.
+    """
+    of = doubles(F.col(vector_col))
+    measured = lambda df: df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.sqrt(dot(of, of)).alias("long"))
+    blocks = max(1, -(-vectors.count() // ROWS_BLOCK))
+    every = vectors.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
+    asked = measured(queries).crossJoin(F.broadcast(every)).withColumn("asks", F.lit(True))
+    dealt = measured(vectors).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
+    met = asked.unionByName(dealt).repartitionById(blocks, "block").sortWithinPartitions("asks").select("asks", "id", doubles(F.col("v")).alias("v"), "long")
+    kind, names = met.schema["id"].dataType, ["query_id", id_col, "cosine"]
+    schema = T.StructType([T.StructField(name, t) for name, t in zip(names, (kind, kind, T.DoubleType()), strict=True)])
+    at_once = PAIRS
+    return met.mapInArrow(lambda batches: _cosine_batches(batches, names, at_once), schema)
 
 
 def above_threshold(vectors: DataFrame, queries: DataFrame, threshold: float, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -340,3 +340,31 @@ def test_cosines_make_lengths_once_a_vector(spark):
     assert got[0, 1] == 0.8 and got[0, 2] == got[100, 3] == got[0, 4] == 0.0
     join = found._jdf.queryExecution().optimizedPlan().toString().index("Join")
     assert found._jdf.queryExecution().optimizedPlan().toString()[:join].count("SQRT") == 0  # below the join alone
+
+
+def test_cosines_are_dealt_out_however_vectors_lie_in_files(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "ROWS_BLOCK", 50, raising=False)
+    v = spark.range(400).select(F.col("id").alias("vec_id"), F.array(*((F.hash("id", F.lit(i)) / 1e9).cast("float") for i in range(4))).alias("embedding")).coalesce(1)
+    found = retrieve.cosines(v, v.where("vec_id % 100 = 0"))
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 4 * 399 and len(tasks) == 8 and max(tasks) <= 4 * 80  # before: all pairs in the one task that reads the file
+
+
+def test_cosines_of_odd_vectors_equal_those_of_the_expression(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "ROWS_BLOCK", 9, raising=False)
+    monkeypatch.setattr(retrieve, "PAIRS", 40, raising=False)
+    nan, inf = float("nan"), float("inf")
+    five = [[1, 0, 0, 0, 0], [1, 1999999, 1995, 127, 62], [-1, 1999999, 1995, 127, 62], [246913, 1984699, 1962, 19, 5], [-246913, 1984699, 1962, 19, 5], [246911, 1984699, 2199, 41, 14]]  # halves of the sixth digit
+    five += [[0, 0, 0, 0, 0], [-0.0, 1, 0, 0, 0], [1e-170, 0, 0, 2e-170, 0], [3e-162, 1e-162, 0, 0, 0], [1e-155, 0, 1e-150, 0, 0], [1e200, 1, 0, 0, 0], [1e150, -1e150, 1e149, 0, 0], [1e308, 1e308, -1e308, 0, 0], [nan, 1, 0, 0, 0], [inf, 1, 0, 0, 0], [-inf, 0, 0, 0, 0], [1e-3, -1e5, 0, 0, 0]]
+    five += [[math.sin(i * j) for j in range(1, 6)] for i in range(1, 8)]
+    rows = [*five, None, [], [1, 2], [2, 1], [None, 1, 0, 0, 0], [None], [0, 0]]
+    for kind in ("long", "string"):
+        v = spark.createDataFrame([(i, None if x is None else [None if y is None else float(y) for y in x]) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
+        v = v.union(v.where("vec_id = 1")).union(v.where("vec_id = 3").select(F.lit(None), "embedding")).withColumn("vec_id", F.col("vec_id").cast(kind))
+        found = retrieve.cosines(v, v)
+        expected = retrieve.pairs(v, v).select("query_id", "vec_id", F.round(retrieve.cosine(F.col("q"), F.col("v")), 6).alias("cosine"))
+        assert found.schema == expected.schema
+        got = sorted(map(repr, found.collect()))
+        assert got == sorted(map(repr, expected.collect())) and len(got) == len(rows) ** 2 - len(rows) + 2 * (len(rows) - 1)
+    ties = {(int(r["query_id"]), int(r["vec_id"])): r["cosine"] for r in found.collect()}
+    assert ties[0, 1] == 1e-6 and ties[0, 2] == -1e-6 and ties[0, 3] == 0.123457 and ties[0, 5] == 0.123456
